@@ -56,31 +56,49 @@ class Lexicon:
 
     @classmethod
     def from_tables(cls, tables: LexiconTables, strict: bool = False) -> "Lexicon":
+        """Resolve entries with Spark, then keep the (checked, small) result as local relations.
+
+        One job parses and resolves the file; if the entry count is within the
+        broadcast bound the rows are brought to the driver once and re-created
+        as local relations, so every later match plan broadcasts a literal
+        table instead of re-running the parse.  Beyond the bound the tables
+        stay distributed and matching uses shuffle joins.
+        """
+        from ..sources.lexicon import resolved_entries
+
         if strict:
             check_not_empty(tables)
         ec = entry_categories(tables, strict=strict).drop("source")
-        # all resolved entries, also those without categories (they still shadow other entries)
-        from ..sources.lexicon import resolved_entries
-
         res = resolved_entries(tables).drop("source", "ids")
         cats_per_entry = ec.groupBy("entry_no").agg(
-            F.sort_array(F.collect_list(F.struct("id_pos", "category"))).alias("c")
-        ).select("entry_no", F.col("c.category").alias("cats"))
+            F.sort_array(F.collect_list(F.struct("id_pos", "category", "cat_pos"))).alias("c")
+        ).select("entry_no", F.col("c.category").alias("cats"), F.col("c.cat_pos").alias("cat_poss"))
         entries = res.join(cats_per_entry, "entry_no", "left").select(
             "entry_no", "pattern", "stem", "is_prefix",
             F.coalesce(F.col("cats"), F.array().cast("array<string>")).alias("cats"),
-        ).cache()
-        # Driver-side facts, all bounded by the size of a hand-written lexicon.
+            F.coalesce(F.col("cat_poss"), F.array().cast("array<int>")).alias("cat_poss"),
+        )
+        categories = tables.categories.drop("source")
         n_entries = entries.count()
+        spark = entries.sparkSession
+        if n_entries <= BROADCAST_ROW_LIMIT:
+            entries = spark.createDataFrame(entries.collect(), entries.schema)
+            categories = spark.createDataFrame(categories.collect(), categories.schema)
+        else:
+            entries = entries.cache()
+            categories = categories.cache()
         lengths = sorted(
             r[0] for r in entries.filter("is_prefix").select(F.length("stem")).distinct().collect()
         )
-        categories = tables.categories.drop("source").cache()
-        names = [r["category"] for r in categories.orderBy("pos").collect()]
+        names = [r["category"] for r in categories.orderBy("pos").select("category").collect()]
+        entry_cats = entries.select(
+            "entry_no", "pattern", "stem", "is_prefix",
+            F.explode(F.arrays_zip(F.col("cats").alias("category"), F.col("cat_poss").alias("cat_pos"))).alias("z"),
+        ).select("entry_no", "pattern", "stem", "is_prefix", "z.category", "z.cat_pos")
         return cls(
             categories=categories,
-            entry_cats=ec.drop("id_pos").cache(),
-            entries=entries,
+            entry_cats=entry_cats,
+            entries=entries.drop("cat_poss"),
             stem_lengths=lengths,
             category_names=names,
             n_entries=n_entries,

@@ -8,6 +8,9 @@ from .registry import ORACLES, QUERIES
 
 _MODULES = [
     "q_lexicon",
+    "q_prep",
+    "q_sampling",
+    "q_eval",
 ]
 
 

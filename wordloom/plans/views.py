@@ -49,13 +49,18 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.unpivot("doc_id", ["quality", "toxic"], "level", "y")
 
 
+def _longer_with_prefix(tok: str):
+    # one-argument lambda: a second parameter would be taken as the element index
+    return lambda t: F.startswith(t, F.lit(tok)) & (t != F.lit(tok))
+
+
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     toks = word_tokens("text")
     cols = []
     for lv in LEVELS:
         tok = LEVEL_TOKENS[lv]
-        k = F.size(F.filter(toks, lambda t, tok=tok: F.startswith(t, F.lit(tok)) & (t != F.lit(tok))))
+        k = F.size(F.filter(toks, _longer_with_prefix(tok)))
         cols.append(
             F.struct(
                 F.lit(lv).alias("level"),
