@@ -11,6 +11,7 @@ _MODULES = [
     "q_prep",
     "q_sampling",
     "q_eval",
+    "q_features",
 ]
 
 
