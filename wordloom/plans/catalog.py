@@ -12,6 +12,7 @@ _MODULES = [
     "q_sampling",
     "q_eval",
     "q_features",
+    "q_models",
 ]
 
 

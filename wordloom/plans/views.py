@@ -21,17 +21,18 @@ from ..functions.text import WORD_TOKEN, word_tokens
 from ..session import read_table
 
 
+def with_level_labels(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add the six level labels: 1.0 if the text's word tokens contain the level token, else null."""
+    toks = word_tokens(text_col)
+    return df.select(
+        "*",
+        *[F.when(F.array_contains(toks, LEVEL_TOKENS[lv]), F.lit(1.0)).alias(lv) for lv in LEVELS],
+    )
+
+
 def objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    toks = word_tokens("text")
-    return docs.select(
-        "doc_id",
-        "text",
-        *[
-            F.when(F.array_contains(toks, LEVEL_TOKENS[lv]), F.lit(1.0)).alias(lv)
-            for lv in LEVELS
-        ],
-    )
+    return with_level_labels(docs)
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
