@@ -13,6 +13,7 @@ _MODULES = [
     "q_eval",
     "q_features",
     "q_models",
+    "q_ml",
 ]
 
 
