@@ -14,6 +14,7 @@ _MODULES = [
     "q_features",
     "q_models",
     "q_ml",
+    "q_io",
 ]
 
 

@@ -26,7 +26,7 @@ from ..operators import features as ft
 from ..operators import models as md
 from ..operators import sampling as sm
 from ..operators import search as se
-from ..session import scratch_path
+from ..session import reliable_checkpoint, scratch_path
 from . import views
 from .q_features import feature_state, split_docs
 from .registry import register
@@ -72,7 +72,7 @@ def model_frame(spark, sf_dir) -> DataFrame:
         .join(folds_wide, "doc_id", "left")
         .join(rungs, "doc_id", "left")
     )
-    frame = frame.checkpoint(eager=True)
+    frame = reliable_checkpoint(frame)
     _FRAMES[key] = frame
     return frame
 
@@ -87,7 +87,7 @@ def second_frame(spark, sf_dir) -> DataFrame:
         lab = views.with_level_labels(sec).select(
             "item_id", *[F.coalesce(F.col(lv), F.lit(0.0)).alias(lv) for lv in LEVELS]
         )
-        _FRAMES[key] = lab.join(vec, "item_id").checkpoint(eager=True)
+        _FRAMES[key] = reliable_checkpoint(lab.join(vec, "item_id"))
     return _FRAMES[key]
 
 
@@ -148,7 +148,7 @@ def _multilabel(spark, sf_dir) -> DataFrame:
     if key not in _FRAMES:
         frame = model_frame(spark, sf_dir)
         fitted = fit_all_levels(frame, "rf", MULTI_RF)
-        _FRAMES[key] = predict_all(fitted, _test(frame)).checkpoint(eager=True)
+        _FRAMES[key] = reliable_checkpoint(predict_all(fitted, _test(frame)))
     return _FRAMES[key]
 
 
