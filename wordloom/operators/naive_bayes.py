@@ -32,7 +32,6 @@ class GaussianNBModel:
 def fit(features: DataFrame, targets: DataFrame, feature_names: list[str], id_col: str = "doc_id",
         var_smoothing: float = 1e-9) -> GaussianNBModel:
     """``features`` (id, feature, value) non-zero entries; ``targets`` (id, level, y) training rows."""
-    spark = features.sparkSession
     tgt = targets.select(id_col, "level", "y")
     ids = tgt.select(id_col).distinct()
     feats = features.join(ids, id_col, "left_semi")
@@ -49,9 +48,8 @@ def fit(features: DataFrame, targets: DataFrame, feature_names: list[str], id_co
     sums = feats.join(tgt, id_col).groupBy("level", "y", "feature").agg(
         F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("s2")
     )
-    names = spark.createDataFrame([(f, 1) for f in feature_names], "feature string, _k int")
-    # (level, y) × feature grid: both sides are tiny; equi join on a constant key
-    grid = sizes.withColumn("_k", F.lit(1)).join(F.broadcast(names), "_k").drop("_k")
+    # (level, y) × feature grid without a join: the feature names are a literal array
+    grid = sizes.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in feature_names])))
     stats = grid.join(sums, ["level", "y", "feature"], "left").select(
         "level", "y", "feature", "n_c",
         (F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n_c")).alias("mean"),
