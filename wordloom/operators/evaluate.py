@@ -198,11 +198,14 @@ def auc_scores(df: DataFrame, group: list[str], y: str = "y", score: str = "scor
     only affect balance), a bucket-level prefix sum gives each bucket's offset
     (small table), and each bucket computes its own running sum.
     """
+    from pyspark import StorageLevel
+    from pyspark.ml.feature import Bucketizer
+
+    # distinct scores per group, read three times (quantiles, offsets, sums): persisted once
     per = df.groupBy(*group, score).agg(
         F.sum(F.col(y).cast("long")).alias("_pos"),
         (F.count(F.lit(1)) - F.sum(F.col(y).cast("long"))).alias("_neg"),
-    )
-    from pyspark.ml.feature import Bucketizer
+    ).persist(StorageLevel.MEMORY_AND_DISK)
 
     qs = per.approxQuantile(score, [i / n_buckets for i in range(1, n_buckets)], 0.001) if n_buckets > 1 else []
     splits = sorted(set(q for q in qs if q is not None))

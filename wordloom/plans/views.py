@@ -13,20 +13,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import LEVEL_TOKENS, LEVELS
-from ..functions.text import WORD_TOKEN, word_tokens
+from ..functions.text import WORD_TOKEN
 from ..session import read_table
 
 
+# A word token is a maximal run of word characters (see functions.text.WORD_TOKEN); a level
+# token is present when such a run equals it, found by one bounded regex instead of a token array.
+_WC = "[\\p{L}\\p{N}_]"
+
+
+def has_token(text: Column, tok: str) -> Column:
+    return text.rlike(f"(?<!{_WC}){tok}(?!{_WC})")
+
+
+def count_longer_with_prefix(text: Column, tok: str) -> Column:
+    """Number of word tokens that start with ``tok`` and are longer than it."""
+    return F.size(F.regexp_extract_all(text, F.lit(f"(?<!{_WC}){tok}{_WC}+"), 0))
+
+
 def with_level_labels(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the six level labels: 1.0 if the text's word tokens contain the level token, else null."""
-    toks = word_tokens(text_col)
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     return df.select(
         "*",
-        *[F.when(F.array_contains(toks, LEVEL_TOKENS[lv]), F.lit(1.0)).alias(lv) for lv in LEVELS],
+        *[F.when(has_token(low, LEVEL_TOKENS[lv]), F.lit(1.0)).alias(lv) for lv in LEVELS],
     )
 
 
@@ -50,23 +64,17 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.unpivot("doc_id", ["quality", "toxic"], "level", "y")
 
 
-def _longer_with_prefix(tok: str):
-    # one-argument lambda: a second parameter would be taken as the element index
-    return lambda t: F.startswith(t, F.lit(tok)) & (t != F.lit(tok))
-
-
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    toks = word_tokens("text")
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     cols = []
     for lv in LEVELS:
         tok = LEVEL_TOKENS[lv]
-        k = F.size(F.filter(toks, _longer_with_prefix(tok)))
         cols.append(
             F.struct(
                 F.lit(lv).alias("level"),
-                F.when(F.array_contains(toks, tok), 1).otherwise(0).alias("y"),
-                k.alias("k"),
+                F.when(has_token(low, tok), 1).otherwise(0).alias("y"),
+                count_longer_with_prefix(low, tok).alias("k"),
             )
         )
     rows = docs.select("doc_id", F.explode(F.array(*cols)).alias("r")).select("doc_id", "r.*")
