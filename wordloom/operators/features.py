@@ -95,10 +95,14 @@ def fit_vocabulary(tokens: DataFrame, n: int, max_features: int) -> Vocabulary:
     rows reach the driver.
     """
     col = F.col(_tok_col(n))
-    marks = F.concat(
-        F.transform(col, lambda t: F.struct(t.alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct(col), lambda t: F.struct(t.alias("term"), F.lit(0).alias("o"), F.lit(1).alias("d"))),
-    )
+    dist = F.array_distinct(col)
+
+    def tagged(arr, o: int, d: int):
+        # (term, o, d) structs without a lambda: arrays_zip with constant arrays of the same size
+        k = F.size(arr)
+        return F.arrays_zip(arr.alias("term"), F.array_repeat(F.lit(o), k).alias("o"), F.array_repeat(F.lit(d), k).alias("d"))
+
+    marks = F.concat(tagged(col, 1, 0), tagged(dist, 0, 1))
     stats = (
         tokens.select(F.explode(marks).alias("m"))
         .groupBy(F.col("m.term").alias("term"))

@@ -67,8 +67,26 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFr
     return F.broadcast(df) if n <= limit else df
 
 
+# Tables whose rows carry long texts: tokenizing them is the CPU-heavy part of most plans.
+TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin the rows over ``factor`` × default parallelism partitions, only when the scan
+    gives fewer partitions than the cluster has cores (e.g. a file with one row group).
+
+    On large inputs the scan already has far more partitions than cores and
+    nothing is added; on small ones one cheap shuffle lets every core tokenize.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target * factor)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
