@@ -79,11 +79,26 @@ class Vocabulary:
     terms: list[str]  # alphabetical = vector positions
     table: DataFrame  # term, total, pos
     dfs: dict  # term -> training rows containing it
+    totals: dict  # term -> total count
 
     @property
     def size(self) -> int:
         return len(self.terms)
 
+    def top(self, k: int) -> "Vocabulary":
+        """The vocabulary a fit with ``max_features = k`` would give: a prefix of the same ranking."""
+        ranked = sorted(self.terms, key=lambda t: (-self.totals[t], t))[:k]
+        rows = sorted((t, self.totals[t], self.dfs[t]) for t in ranked)
+        return _vocabulary(self.table.sparkSession, self.n, rows)
+
+
+def _vocabulary(spark, n: int, rows: list[tuple[str, int, int]]) -> Vocabulary:
+    table = spark.createDataFrame(
+        [(t, tot, i) for i, (t, tot, _) in enumerate(rows)], "term string, total long, pos int"
+    )
+    return Vocabulary(n=n, terms=[t for t, _, _ in rows], table=table, dfs={t: d for t, _, d in rows},
+                      totals={t: tot for t, tot, _ in rows})
+
 
 def fit_vocabulary(tokens: DataFrame, n: int, max_features: int) -> Vocabulary:
     """Fit on a frame from ``add_token_columns``.
@@ -110,11 +125,7 @@ def fit_vocabulary(tokens: DataFrame, n: int, max_features: int) -> Vocabulary:
     )
     top = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features).collect()
     rows = sorted((r["term"], int(r["total"]), int(r["df"])) for r in top)
-    spark = tokens.sparkSession
-    table = spark.createDataFrame(
-        [(t, tot, i) for i, (t, tot, _) in enumerate(rows)], "term string, total long, pos int"
-    )
-    return Vocabulary(n=n, terms=[t for t, _, _ in rows], table=table, dfs={t: d for t, _, d in rows})
+    return _vocabulary(tokens.sparkSession, n, rows)
 
 
 def vocab_counts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
@@ -189,6 +200,13 @@ def fit_features(train: DataFrame, max_features: int, lexicon=None, id_col: str
     return FeatureState(uni=uni, bi=bi, tfidf=tf, lexicon=lexicon)
 
 
+def shrink_features(state: FeatureState, max_features: int) -> FeatureState:
+    """State of a smaller ``max_features`` fit, derived on the driver from the fitted rows."""
+    uni = state.uni.top(max_features)
+    tf = fit_tfidf(uni, state.tfidf.n_docs, uni.table.sparkSession)
+    return FeatureState(uni=uni, bi=state.bi.top(max_features), tfidf=tf, lexicon=state.lexicon)
+
+
 def feature_matrix_long(docs: DataFrame, state: FeatureState, id_col: str = "doc_id", text_col: str = "text",
                         digits: int | None = ROUND_DIGITS) -> DataFrame:
     """(id, feature, value, block): union of the blocks in their fixed order; zeros are absent except ari."""

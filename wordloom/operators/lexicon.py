@@ -159,10 +159,15 @@ def match_tokens(df: DataFrame, token_col: str, lex: Lexicon) -> DataFrame:
     return df.join(resolved, token_col, "left")
 
 
-def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, token) — one row per token occurrence; texts without tokens give no rows."""
+def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outer: bool = False) -> DataFrame:
+    """(id, n_tokens, token) — one row per token occurrence.
+
+    Texts without tokens give no rows, or with ``outer`` one row with a null
+    token, so per-document results need no join back to the document ids.
+    """
     t = docs.select(F.col(id_col), lexicon_tokens(text_col).alias("_toks"))
-    return t.select(F.col(id_col), F.size("_toks").cast("long").alias("n_tokens"), F.explode("_toks").alias("token"))
+    gen = F.explode_outer if outer else F.explode
+    return t.select(F.col(id_col), F.size("_toks").cast("long").alias("n_tokens"), gen("_toks").alias("token"))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,27 +200,30 @@ def scores_wide(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col:
                 digits: int | None = ROUND_DIGITS) -> DataFrame:
     """One row per input row, one column per lexicon category (file order), null where absent.
 
-    The pivot uses the explicit category list, so no extra job discovers values.
+    Every document keeps at least one token row (``explode_outer``), so one
+    aggregate per document yields all rows; the pivot uses the explicit
+    category list (conditional sums, no job to discover values).
     """
-    long = category_scores(docs, lex, id_col, text_col, digits)
-    wide = long.groupBy(id_col).pivot("category", lex.category_names).agg(F.first("score"))
-    ids = docs.select(F.col(id_col))
-    return ids.join(wide, id_col, "left").select(id_col, *[F.col(f"`{c}`") for c in lex.category_names])
+    m = match_tokens(doc_tokens(docs, id_col, text_col, outer=True), "token", lex)
+    cats = m.select(F.col(id_col), "n_tokens", F.explode_outer("match_cats").alias("category"))
+    wide = cats.groupBy(id_col, "n_tokens").pivot("category", lex.category_names).agg(F.sum(F.lit(1)))
+
+    def score(c: str) -> Column:
+        v = F.lit(100.0) * F.col(f"`{c}`").cast("double") / F.col("n_tokens").cast("double")
+        return (F.round(v, digits) if digits is not None else v).alias(c)
+
+    return wide.select(id_col, *[score(c) for c in lex.category_names])
 
 
 def coverage(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text",
              digits: int | None = ROUND_DIGITS) -> DataFrame:
     """(id, n_tokens, n_matched, dic_pct): share of tokens matched by any entry (null for empty texts)."""
-    m = match_tokens(doc_tokens(docs, id_col, text_col), "token", lex)
-    matched = m.groupBy(id_col).agg(F.count("match_pattern").alias("n_matched"))
-    base = token_counts(docs, id_col, text_col)
-    out = base.join(matched, id_col, "left").select(
-        id_col, "n_tokens", F.coalesce(F.col("n_matched"), F.lit(0)).cast("long").alias("n_matched")
-    )
+    m = match_tokens(doc_tokens(docs, id_col, text_col, outer=True), "token", lex)
+    out = m.groupBy(id_col, "n_tokens").agg(F.count("match_pattern").cast("long").alias("n_matched"))
     pct = F.when(F.col("n_tokens") > 0, F.lit(100.0) * F.col("n_matched") / F.col("n_tokens"))
     if digits is not None:
         pct = F.round(pct, digits)
-    return out.withColumn("dic_pct", pct)
+    return out.select(id_col, "n_tokens", "n_matched", pct.alias("dic_pct"))
 
 
 def distinct_token_matches(docs: DataFrame, lex: Lexicon, text_col: str = "text") -> DataFrame:

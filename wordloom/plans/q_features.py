@@ -54,9 +54,17 @@ def test_docs(spark, sf_dir):
 
 def feature_state(spark, sf_dir, max_features: int = MAX_FEATURES) -> ft.FeatureState:
     """Fitted once per (session, scale factor, size) and reused by every feature query."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, max_features)
+    base_key = (id(spark), spark.sparkContext.applicationId, sf_dir, MAX_FEATURES)
+    if base_key not in _STATE:
+        _STATE[base_key] = ft.fit_features(train_docs(spark, sf_dir), MAX_FEATURES, builtin_lexicon(spark))
+    if max_features == MAX_FEATURES:
+        return _STATE[base_key]
+    key = base_key[:3] + (max_features,)
     if key not in _STATE:
-        _STATE[key] = ft.fit_features(train_docs(spark, sf_dir), max_features, builtin_lexicon(spark))
+        if max_features < MAX_FEATURES:
+            _STATE[key] = ft.shrink_features(_STATE[base_key], max_features)
+        else:
+            _STATE[key] = ft.fit_features(train_docs(spark, sf_dir), max_features, builtin_lexicon(spark))
     return _STATE[key]
 
 
