@@ -311,4 +311,5 @@ def scores_by_label(docs: DataFrame, labels: DataFrame, lex: Lexicon, label_col:
     mean = F.col("_sum") / F.col("_n")
     if digits is not None:
         mean = F.round(mean, digits)
-    return per.join(F.broadcast(class_sizes), label_col).select(label_col, "category", "n_docs", mean.alias("mean_score"))
+    # class_sizes has one row per label value; AQE's runtime size check decides whether to broadcast it
+    return per.join(class_sizes, label_col).select(label_col, "category", "n_docs", mean.alias("mean_score"))

@@ -29,6 +29,8 @@ def _evaluate(frame: DataFrame, level: str, kind: str, params: dict, fold_col: s
     train = frame.filter(F.col(fold_col) != fold)
     val = frame.filter(F.col(fold_col) == fold)
     n = train.count()
+    if n == 0 or val.limit(1).count() == 0:
+        return 0.0  # a rung too small to hold this fold: no score rather than a failed fit
     est = make_estimator(kind, params, n, level)
     return _f1(est.fit(train), val, level)
 

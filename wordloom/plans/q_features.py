@@ -22,6 +22,7 @@ from ..operators.sampling import random_split
 from ..session import read_table, scratch_path
 from . import views
 from .q_prep import ql, sql_split_r1
+from ..session import session_key
 from .registry import builtin_lexicon, register
 from .sql_common import q, sql_lex_match, sql_word_tokens
 
@@ -37,7 +38,7 @@ _SPLITS: dict = {}
 
 def split_docs(spark, sf_dir):
     """R1 split of the documents, planned once per (session, scale factor) so its bucket table is reused."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    key = (*session_key(spark), sf_dir)
     if key not in _SPLITS:
         docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
         _SPLITS[key] = random_split(docs, "doc_id", SPLIT_SEED, TEST_FRACTION)
@@ -54,7 +55,7 @@ def test_docs(spark, sf_dir):
 
 def feature_state(spark, sf_dir, max_features: int = MAX_FEATURES) -> ft.FeatureState:
     """Fitted once per (session, scale factor, size) and reused by every feature query."""
-    base_key = (id(spark), spark.sparkContext.applicationId, sf_dir, MAX_FEATURES)
+    base_key = (*session_key(spark), sf_dir, MAX_FEATURES)
     if base_key not in _STATE:
         _STATE[base_key] = ft.fit_features(train_docs(spark, sf_dir), MAX_FEATURES, builtin_lexicon(spark))
     if max_features == MAX_FEATURES:

@@ -29,6 +29,7 @@ from ..operators import search as se
 from ..session import reliable_checkpoint, scratch_path
 from . import views
 from .q_features import feature_state, split_docs
+from ..session import session_key
 from .registry import register
 
 _FRAMES: dict = {}
@@ -43,7 +44,7 @@ HALVING_GRID = [{"C": c, "penalty": "l2", "max_iter": 20} for c in (0.1, 1.0, 10
 
 
 def _key(spark, sf_dir, name):
-    return (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    return (*session_key(spark), sf_dir, name)
 
 
 def model_frame(spark, sf_dir) -> DataFrame:

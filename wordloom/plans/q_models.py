@@ -13,6 +13,7 @@ from ..session import read_table
 from . import views
 from .q_features import feature_state, split_docs, sql_feature_ctes, sql_ftoks
 from .q_prep import ql
+from ..session import session_key
 from .registry import builtin_lexicon, register
 from .sql_common import sql_lex_match
 from .q_prep import sql_split_r1
@@ -102,7 +103,7 @@ _NB_KEY: dict = {}
 
 
 def nb_model(spark, sf_dir):
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    key = (*session_key(spark), sf_dir)
     if key not in _NB_KEY:
         lex, train, test, feats = _nb_parts(spark, sf_dir)
         _NB_KEY[key] = (nb.fit(feats, train, lex.category_names), test, feats)

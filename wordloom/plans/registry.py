@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import session_key
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -33,7 +35,7 @@ def builtin_lexicon(spark: SparkSession):
     """The parsed built-in lexicon, parsed once per session."""
     from ..operators.lexicon import Lexicon
 
-    key = (id(spark), spark.sparkContext.applicationId)
+    key = session_key(spark)
     if key not in _LEXICONS:
         _LEXICONS[key] = Lexicon.builtin(spark)
     return _LEXICONS[key]

@@ -78,12 +78,25 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     On large inputs the scan already has far more partitions than cores and
     nothing is added; on small ones one cheap shuffle lets every core tokenize.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access keep the scan as it is
+        return df
+    if current >= target:
         return df
     return df.repartition(target * factor)
 
 
+def session_key(spark: SparkSession) -> tuple:
+    """Key of per-session caches (parsed lexicon, fitted state, checkpointed frames)."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:
+        app = spark.conf.get("spark.app.id", "")
+    return (id(spark), app)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if name in TEXT_TABLES else df
