@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from wordloom.operators import lexicon as lx
 from wordloom.operators.lexicon import Lexicon
@@ -175,4 +174,3 @@ def test_scores_by_label_matches_direct_mean(spark):
     assert got[(1, "art")] == (2, round((50.0 + 50.0) / 2, 6))
     assert got[(1, "link")] == (1, round(50.0 / 2, 6))
     assert not any(k[0] == 0 for k in got)
-    _ = F

@@ -1,7 +1,6 @@
 """Search loops, persistence and streaming on tiny inputs."""
 
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import functions as F
 
 from wordloom.operators import lexicon as lx
 from wordloom.operators import models as md
@@ -81,4 +80,3 @@ def test_streaming_scores_equal_batch_scores(spark):
     got = sorted(map(tuple, lexicon_stream.read_scores(spark, sink).collect()))
     want = sorted(map(tuple, lx.category_scores(docs.select("doc_id", "text"), lex).collect()))
     assert got == want and len(got) > 0
-    _ = F

@@ -1,7 +1,6 @@
 """Driver contract: entry() and every SQL-checked query against DuckDB on sf0.001; plan checks."""
 
 import math
-import os
 
 import duckdb
 import pytest
@@ -67,4 +66,3 @@ def test_plans_have_no_cartesian_or_python(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, bad
-    _ = os

@@ -29,7 +29,7 @@ def _text(col: Column | str) -> Column:
 def lexicon_tokens(col: Column | str) -> Column:
     """Lower-case, drop ASCII punctuation, split on blanks, drop empty pieces."""
     cleaned = F.regexp_replace(F.lower(_text(col)), ASCII_PUNCT_CLASS, "")
-    return F.filter(F.split(cleaned, BLANK_RUN), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(cleaned, BLANK_RUN), "")
 
 
 def word_tokens(col: Column | str) -> Column:
@@ -37,20 +37,6 @@ def word_tokens(col: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_text(col)), F.lit(WORD_TOKEN), 0)
 
 
-def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
-    """Drop stop words but keep duplicates and order (``array_except`` would dedupe)."""
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
-
-
-def bigrams(tokens: Column) -> Column:
-    """Adjacent pairs of an (already filtered) token array, joined by one blank."""
-    return F.transform(
-        F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda t, i: F.concat_ws(" ", t, F.element_at(tokens, i + 2)),
-    )
-
-
 def count_matches(col: Column | str, pattern_class: str) -> Column:
     """Number of characters of ``text`` that fall in a regex character class."""
     t = _text(col)

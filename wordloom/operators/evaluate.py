@@ -40,7 +40,7 @@ def _div0(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
-def accuracy(c: DataFrame = None) -> Column:
+def accuracy() -> Column:
     return (F.col("tp") + F.col("tn")).cast("double") / F.col("n").cast("double")
 
 

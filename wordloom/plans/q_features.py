@@ -7,7 +7,6 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from ..functions.constants import (
-    LEVELS,
     MAX_FEATURES,
     SEQ_MAX_LENGTH,
     SEQ_VOCAB_SIZE,
@@ -17,12 +16,10 @@ from ..functions.constants import (
 from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..functions.text import BLANK_RUN, word_tokens
 from ..operators import features as ft
-from ..operators import prep
 from ..operators.sampling import random_split
-from ..session import read_table, scratch_path
+from ..session import read_table, session_key
 from . import views
-from .q_prep import ql, sql_split_r1
-from ..session import session_key
+from .q_prep import sql_split_r1
 from .registry import builtin_lexicon, register
 from .sql_common import q, sql_lex_match, sql_word_tokens
 

@@ -26,10 +26,9 @@ from ..operators import features as ft
 from ..operators import models as md
 from ..operators import sampling as sm
 from ..operators import search as se
-from ..session import reliable_checkpoint, scratch_path
+from ..session import reliable_checkpoint, scratch_path, session_key
 from . import views
 from .q_features import feature_state, split_docs
-from ..session import session_key
 from .registry import register
 
 _FRAMES: dict = {}

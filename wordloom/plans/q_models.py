@@ -9,11 +9,10 @@ from ..operators import features as ft
 from ..operators import lexicon as lx
 from ..operators import naive_bayes as nb
 from ..operators import ranking as rk
-from ..session import read_table
+from ..session import read_table, session_key
 from . import views
 from .q_features import feature_state, split_docs, sql_feature_ctes, sql_ftoks
 from .q_prep import ql
-from ..session import session_key
 from .registry import builtin_lexicon, register
 from .sql_common import sql_lex_match
 from .q_prep import sql_split_r1
