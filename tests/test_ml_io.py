@@ -1,6 +1,7 @@
 """Search loops, persistence and streaming on tiny inputs."""
 
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from wordloom.operators import lexicon as lx
 from wordloom.operators import models as md
@@ -80,3 +81,34 @@ def test_streaming_scores_equal_batch_scores(spark):
     got = sorted(map(tuple, lexicon_stream.read_scores(spark, sink).collect()))
     want = sorted(map(tuple, lx.category_scores(docs.select("doc_id", "text"), lex).collect()))
     assert got == want and len(got) > 0
+
+
+def test_workbook_reader_inline_and_shared_strings(spark):
+    import io
+    import zipfile
+
+    from wordloom.sources import workbook as wb
+
+    data = wb.workbook_bytes(["question", "objective", "n"], [["Define <cells> & \"tissues\"", "Remembering", 3],
+                                                              [" leading blank", None, 2.5]])
+    header, rows = wb.parse_workbook(data)
+    assert header == ["question", "objective", "n"]
+    assert rows == [["Define <cells> & \"tissues\"", "Remembering", 3.0], [" leading blank", None, 2.5]]
+    # the shared-string form real spreadsheet programs write
+    buf = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as src, zipfile.ZipFile(buf, "w") as dst:
+        for name in src.namelist():
+            if name != "xl/worksheets/sheet1.xml":
+                dst.writestr(name, src.read(name))
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        dst.writestr("xl/sharedStrings.xml", f'<sst {ns}><si><t>q</t></si><si><r><t>Ap</t></r><r><t>ply</t></r></si></sst>')
+        dst.writestr("xl/worksheets/sheet1.xml",
+                     f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row>'
+                     f'<row r="2"><c r="A2" t="s"><v>1</v></c></row></sheetData></worksheet>')
+    assert wb.parse_workbook(buf.getvalue()) == (["q"], [["Apply"]])
+    path = scratch_path(spark, "test-wb")
+    df = spark.createDataFrame([(i, f"text {i}", "Applying") for i in range(7)], "item_id long, question string, objective string")
+    wb.write_workbooks(df.coalesce(1), path, rows_per_file=3).agg(F.sum("n_rows")).first()
+    back = wb.read_workbooks(spark, path, ["item_id", "question", "objective"])
+    assert back.select("file").distinct().count() == 3
+    assert sorted((int(r.item_id), r.question) for r in back.collect()) == [(i, f"text {i}") for i in range(7)]

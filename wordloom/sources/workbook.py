@@ -1,0 +1,224 @@
+"""Workbook (.xlsx) rows as a Spark source (S4), re-aimed for many files at once.
+
+Spark has no workbook reader, so files are loaded with
+``spark.read.format("binaryFile")`` (one row per file, content as bytes) and
+parsed by ``mapInPandas`` with the standard library (zip + XML): one task per
+batch of files, fixed output schema, nothing routed through the driver.
+Only the first worksheet is read; the first row is the header; shared and
+inline strings, numbers and booleans are supported.
+
+``write_workbooks`` is the matching sink used to derive workbooks from a
+table: every partition writes bounded chunks of rows to files with
+deterministic names, so a retried task overwrites its own files.
+"""
+
+from __future__ import annotations
+
+import io
+import os
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_CELL_REF = re.compile(r"([A-Z]+)(\d+)")
+
+
+def _col_index(letters: str) -> int:
+    n = 0
+    for ch in letters:
+        n = n * 26 + (ord(ch) - 64)
+    return n - 1
+
+
+def _col_letters(i: int) -> str:
+    s = ""
+    i += 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        s = chr(65 + r) + s
+    return s
+
+
+def _text_of(node) -> str:
+    return "".join(t.text or "" for t in node.iter(f"{_NS}t"))
+
+
+def _first_sheet_path(z: zipfile.ZipFile) -> str:
+    names = set(z.namelist())
+    try:
+        wb = ET.fromstring(z.read("xl/workbook.xml"))
+        rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+        sheet = next(wb.iter(f"{_NS}sheet"))
+        rid = sheet.get(f"{_REL_NS}id")
+        for rel in rels:
+            if rel.get("Id") == rid:
+                target = rel.get("Target").lstrip("/")
+                path = target if target.startswith("xl/") else f"xl/{target}"
+                if path in names:
+                    return path
+    except (KeyError, StopIteration, ET.ParseError):
+        pass
+    sheets = sorted(n for n in names if n.startswith("xl/worksheets/sheet") and n.endswith(".xml"))
+    if not sheets:
+        raise ValueError("workbook has no worksheet")
+    return sheets[0]
+
+
+def parse_workbook(content: bytes) -> tuple[list[str], list[list]]:
+    """(header, rows) of the first worksheet; missing cells are None."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    shared: list[str] = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        shared = [_text_of(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
+    sheet = ET.fromstring(z.read(_first_sheet_path(z)))
+    rows: list[list] = []
+    for row in sheet.iter(f"{_NS}row"):
+        values: dict[int, object] = {}
+        for pos, c in enumerate(row.iter(f"{_NS}c")):
+            ref = c.get("r")
+            col = _col_index(_CELL_REF.match(ref).group(1)) if ref else pos
+            t = c.get("t")
+            v = c.find(f"{_NS}v")
+            if t == "inlineStr":
+                val = _text_of(c.find(f"{_NS}is"))
+            elif t == "s":
+                val = shared[int(v.text)] if v is not None else None
+            elif t == "b":
+                val = (v.text == "1") if v is not None else None
+            elif t in ("str", "e"):
+                val = v.text if v is not None else None
+            else:
+                val = float(v.text) if v is not None and v.text not in (None, "") else None
+            values[col] = val
+        width = max(values) + 1 if values else 0
+        rows.append([values.get(i) for i in range(width)])
+    if not rows:
+        return [], []
+    header = [str(h) if h is not None else "" for h in rows[0]]
+    return header, rows[1:]
+
+
+def workbook_bytes(header: list[str], rows: list[list]) -> bytes:
+    """A minimal single-sheet workbook with inline strings and numbers."""
+
+    def cell(ci: int, ri: int, v) -> str:
+        ref = f"{_col_letters(ci)}{ri}"
+        if v is None or (isinstance(v, float) and v != v):
+            return ""
+        if isinstance(v, bool):
+            return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
+            return f'<c r="{ref}"><v>{v}</v></c>'
+        return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    body = []
+    for ri, r in enumerate([header, *rows], start=1):
+        body.append(f'<row r="{ri}">' + "".join(cell(ci, ri, v) for ci, v in enumerate(r)) + "</row>")
+    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+             '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+             + "".join(body) + "</sheetData></worksheet>")
+    parts = {
+        "[Content_Types].xml": (
+            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+            '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+            '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+            '<Default Extension="xml" ContentType="application/xml"/>'
+            '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+            '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+            "</Types>"),
+        "_rels/.rels": (
+            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+            '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/>'
+            "</Relationships>"),
+        "xl/workbook.xml": (
+            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+            '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
+            'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+            '<sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>'),
+        "xl/_rels/workbook.xml.rels": (
+            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+            '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>'
+            "</Relationships>"),
+        "xl/worksheets/sheet1.xml": sheet,
+    }
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    return buf.getvalue()
+
+
+def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 5000) -> DataFrame:
+    """Write each partition as workbooks of at most ``rows_per_file`` rows; returns (file, n_rows).
+
+    File names are ``part-<partition>-<chunk>.xlsx`` (deterministic, so task
+    retries overwrite); ``path`` must be on storage every executor sees.
+    """
+    from pyspark.sql import functions as F
+
+    cols = df.columns
+    tagged = df.withColumn("_pid", F.spark_partition_id())
+    local = path[len("file:"):] if path.startswith("file:") else path
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(local, exist_ok=True)
+        buf: list[list] = []
+        pid, k, out = None, 0, []
+
+        def flush():
+            nonlocal k
+            name = f"{local.rstrip('/')}/part-{pid:05d}-{k:05d}.xlsx"
+            with open(name, "wb") as fh:
+                fh.write(workbook_bytes(cols, buf))
+            out.append((name, len(buf)))
+            k += 1
+            buf.clear()
+
+        for b in batches:  # streamed: at most rows_per_file rows are held at once
+            if not len(b):
+                continue
+            pid = int(b["_pid"].iloc[0])
+            for r in b[cols].itertuples(index=False, name=None):
+                buf.append([None if pd.isna(v) else (v.item() if hasattr(v, "item") else v) for v in r])
+                if len(buf) >= rows_per_file:
+                    flush()
+        if buf:
+            flush()
+        if out:
+            yield pd.DataFrame(out, columns=["file", "n_rows"])
+
+    return tagged.mapInPandas(run, "file string, n_rows long")
+
+
+def read_workbooks(spark: SparkSession, path: str, columns: list[str], glob: str = "*.xlsx") -> DataFrame:
+    """(file, row_no, <columns as strings>) for every data row of every workbook under ``path``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    schema = "file string, row_no int, " + ", ".join(f"`{c}` string" for c in columns)
+
+    def as_text(v):
+        if v is None:
+            return None
+        if isinstance(v, float) and v.is_integer():
+            return str(int(v))
+        return str(v)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b["path"], b["content"]):
+                header, rows = parse_workbook(bytes(content))
+                idx = {h: i for i, h in enumerate(header)}
+                recs = []
+                for n, r in enumerate(rows, start=1):
+                    recs.append([p, n] + [as_text(r[idx[c]]) if c in idx and idx[c] < len(r) else None for c in columns])
+                yield pd.DataFrame(recs, columns=["file", "row_no", *columns])
+
+    return files.mapInPandas(run, schema)
