@@ -105,3 +105,11 @@ def test_split_plan_has_no_single_partition_window(spark):
     df = spark.range(1000).withColumnRenamed("id", "doc_id")
     plan = sm.random_split(df, "doc_id", "1", __import__("fractions").Fraction(1, 5))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan.split("InMemoryRelation")[0]
+
+
+def test_split_keeps_rows_with_null_stratum(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(400)], "doc_id long, y int")
+    out = sm.random_split(df, "doc_id", "5", __import__("fractions").Fraction(1, 5), strata=["y"])
+    assert out.count() == 400
+    nulls = out.filter("y IS NULL").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in nulls} == {"test": 20, "train": 80}

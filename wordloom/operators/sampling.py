@@ -82,7 +82,13 @@ def hash_parts(
     )
     # At most 4,096 rows per stratum: checked, then broadcast.
     buckets = checked_broadcast(buckets)
-    joined = keyed.join(buckets, [*strata, "_b"])
+    # null-safe on the strata, so rows whose stratum value is null keep their own stratum
+    renamed = buckets.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)],
+                             *[c for c in buckets.columns if c not in strata])
+    cond = F.col("_b") == F.col("_bb")
+    for i, c in enumerate(strata):
+        cond = cond & keyed[c].eqNullSafe(F.col(f"_s{i}"))
+    joined = keyed.join(renamed.withColumnRenamed("_b", "_bb"), cond).drop("_bb", *[f"_s{i}" for i in range(len(strata))])
     whole_bucket = joined.filter(F.col("_lo") == F.col("_hi")).withColumn("part", F.col("_lo"))
     edge = joined.filter(F.col("_lo") != F.col("_hi"))
     rn = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", id_col))
