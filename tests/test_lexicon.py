@@ -174,3 +174,14 @@ def test_scores_by_label_matches_direct_mean(spark):
     assert got[(1, "art")] == (2, round((50.0 + 50.0) / 2, 6))
     assert got[(1, "link")] == (1, round(50.0 / 2, 6))
     assert not any(k[0] == 0 for k in got)
+
+
+def test_treebank_tokenizer_option(spark):
+    lex = Lexicon.from_text(spark, lex_text([("1", "X")], [("not", ["1"]), ("``", ["1"])]))
+    d = docs(spark, ["I cannot go, gonna stay", "“quoted”"])
+    plain = {r.doc_id: r.n_tokens for r in lx.token_counts(d).collect()}
+    tb = {r.doc_id: r.n_tokens for r in lx.token_counts(d, treebank=True).collect()}
+    assert plain == {0: 5, 1: 1} and tb == {0: 7, 1: 3}
+    got = scores(spark, lex.with_treebank_tokens(), ["I cannot go", "“quoted”"])
+    assert got == {(0, "X"): 25.0, (1, "X"): round(100.0 / 3, 6)}
+    assert scores(spark, lex, ["I cannot go"]) == {}

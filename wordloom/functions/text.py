@@ -26,9 +26,34 @@ def _text(col: Column | str) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def lexicon_tokens(col: Column | str) -> Column:
-    """Lower-case, drop ASCII punctuation, split on blanks, drop empty pieces."""
+# Fused words the Penn Treebank word tokenizer splits in two (first part, second part).
+TREEBANK_FUSED = [("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me")]
+# Fixed values: "wan" + "na" is split only when a blank follows.
+TREEBANK_FUSED_BEFORE_BLANK = [("wan", "na")]
+# Typographic double quotes become tokens of their own: opening as ``, closing as ''.
+TREEBANK_QUOTES = [("\u201c", " `` "), ("\u201d", " '' ")]
+
+
+def treebank_rules(text: Column) -> Column:
+    """Optional treebank-style extras on lower-cased text: split fused words, pad typographic quotes."""
+    for a, b in TREEBANK_FUSED:
+        text = F.regexp_replace(text, f"\\b({a})({b})\\b", "$1 $2")
+    for a, b in TREEBANK_FUSED_BEFORE_BLANK:
+        text = F.regexp_replace(text, f"\\b({a})({b})(?=[ \\t\\n\\r\\f\\x0B])", "$1 $2")
+    for ch, rep in TREEBANK_QUOTES:
+        text = F.regexp_replace(text, ch, rep)
+    return text
+
+
+def lexicon_tokens(col: Column | str, treebank: bool = False) -> Column:
+    """Lower-case, drop ASCII punctuation, split on blanks, drop empty pieces.
+
+    ``treebank=True`` then applies the word tokenizer's extras (fused words,
+    quote tokens), which in the reference run after the punctuation pass.
+    """
     cleaned = F.regexp_replace(F.lower(_text(col)), ASCII_PUNCT_CLASS, "")
+    if treebank:
+        cleaned = treebank_rules(cleaned)
     return F.array_remove(F.split(cleaned, BLANK_RUN), "")
 
 

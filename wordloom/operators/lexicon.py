@@ -22,7 +22,7 @@ back by token (AQE splits hot tokens).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +52,10 @@ class Lexicon:
     category_names: list[str]
     n_entries: int
     broadcast_ok: bool = True
+    treebank: bool = False  # tokenizer option: split fused words and pad typographic quotes
+
+    def with_treebank_tokens(self) -> "Lexicon":
+        return replace(self, treebank=True)
 
     @classmethod
     def from_tables(cls, tables: LexiconTables, strict: bool = False) -> "Lexicon":
@@ -158,25 +162,26 @@ def match_tokens(df: DataFrame, token_col: str, lex: Lexicon) -> DataFrame:
     return df.join(resolved, token_col, "left")
 
 
-def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outer: bool = False) -> DataFrame:
+def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outer: bool = False,
+               treebank: bool = False) -> DataFrame:
     """(id, n_tokens, token) — one row per token occurrence.
 
     Texts without tokens give no rows, or with ``outer`` one row with a null
     token, so per-document results need no join back to the document ids.
     """
-    t = docs.select(F.col(id_col), lexicon_tokens(text_col).alias("_toks"))
+    t = docs.select(F.col(id_col), lexicon_tokens(text_col, treebank).alias("_toks"))
     gen = F.explode_outer if outer else F.explode
     return t.select(F.col(id_col), F.size("_toks").cast("long").alias("n_tokens"), gen("_toks").alias("token"))
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", treebank: bool = False) -> DataFrame:
     """(id, n_tokens) for every input row, 0 for empty or missing text."""
-    return docs.select(F.col(id_col), F.size(lexicon_tokens(text_col)).cast("long").alias("n_tokens"))
+    return docs.select(F.col(id_col), F.size(lexicon_tokens(text_col, treebank)).cast("long").alias("n_tokens"))
 
 
 def category_counts(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, category, cnt): each matched token adds 1 to each category of its entry."""
-    m = match_tokens(doc_tokens(docs, id_col, text_col), "token", lex)
+    m = match_tokens(doc_tokens(docs, id_col, text_col, treebank=lex.treebank), "token", lex)
     return (
         m.filter(F.col("match_pattern").isNotNull())
         .select(F.col(id_col), "n_tokens", F.explode("match_cats").alias("category"))
@@ -203,7 +208,7 @@ def scores_wide(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col:
     aggregate per document yields all rows; the pivot uses the explicit
     category list (conditional sums, no job to discover values).
     """
-    m = match_tokens(doc_tokens(docs, id_col, text_col, outer=True), "token", lex)
+    m = match_tokens(doc_tokens(docs, id_col, text_col, outer=True, treebank=lex.treebank), "token", lex)
     cats = m.select(F.col(id_col), "n_tokens", F.explode_outer("match_cats").alias("category"))
     wide = cats.groupBy(id_col, "n_tokens").pivot("category", lex.category_names).agg(F.sum(F.lit(1)))
 
@@ -217,7 +222,7 @@ def scores_wide(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col:
 def coverage(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text",
              digits: int | None = ROUND_DIGITS) -> DataFrame:
     """(id, n_tokens, n_matched, dic_pct): share of tokens matched by any entry (null for empty texts)."""
-    m = match_tokens(doc_tokens(docs, id_col, text_col, outer=True), "token", lex)
+    m = match_tokens(doc_tokens(docs, id_col, text_col, outer=True, treebank=lex.treebank), "token", lex)
     out = m.groupBy(id_col, "n_tokens").agg(F.count("match_pattern").cast("long").alias("n_matched"))
     pct = F.when(F.col("n_tokens") > 0, F.lit(100.0) * F.col("n_matched") / F.col("n_tokens"))
     if digits is not None:
@@ -227,7 +232,7 @@ def coverage(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: st
 
 def distinct_token_matches(docs: DataFrame, lex: Lexicon, text_col: str = "text") -> DataFrame:
     """(token, pattern, category) for every distinct corpus token that has a matching entry."""
-    toks = docs.select(F.explode(lexicon_tokens(text_col)).alias("token")).distinct()
+    toks = docs.select(F.explode(lexicon_tokens(text_col, lex.treebank)).alias("token")).distinct()
     m = match_column(toks, "token", lex) if lex.broadcast_ok else match_tokens(toks, "token", lex)
     return m.filter(F.col("match_pattern").isNotNull()).select(
         "token", F.col("match_pattern").alias("pattern"), F.explode("match_cats").alias("category")
@@ -236,7 +241,7 @@ def distinct_token_matches(docs: DataFrame, lex: Lexicon, text_col: str = "text"
 
 def unmatched_tokens(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(token, n_docs) for tokens no entry matches (anti join against the matched set)."""
-    per_doc = docs.select(F.col(id_col), F.explode(F.array_distinct(lexicon_tokens(text_col))).alias("token"))
+    per_doc = docs.select(F.col(id_col), F.explode(F.array_distinct(lexicon_tokens(text_col, lex.treebank))).alias("token"))
     m = match_tokens(per_doc, "token", lex)
     return (
         m.filter(F.col("match_pattern").isNull())
@@ -262,11 +267,11 @@ SURFACE_PUNCT = {
 
 
 def surface_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  digits: int | None = ROUND_DIGITS) -> DataFrame:
+                  digits: int | None = ROUND_DIGITS, treebank: bool = False) -> DataFrame:
     """Word count, words per sentence, share of long words and punctuation per 100 words."""
     from ..functions.text import ASCII_PUNCT_CLASS, count_matches, sentence_marks
 
-    toks = lexicon_tokens(text_col)
+    toks = lexicon_tokens(text_col, treebank)
     base = docs.select(
         F.col(id_col),
         F.col(text_col),
