@@ -185,3 +185,15 @@ def test_treebank_tokenizer_option(spark):
     got = scores(spark, lex.with_treebank_tokens(), ["I cannot go", "“quoted”"])
     assert got == {(0, "X"): 25.0, (1, "X"): round(100.0 / 3, 6)}
     assert scores(spark, lex, ["I cannot go"]) == {}
+
+
+def test_shuffle_join_path_equals_broadcast_path(spark):
+    from dataclasses import replace
+
+    lex = Lexicon.builtin(spark)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    big = replace(lex, broadcast_ok=False)
+    a = sorted(map(tuple, lx.category_scores(d, lex).collect()))
+    b = sorted(map(tuple, lx.category_scores(d, big).collect()))
+    assert a == b and len(a) > 0
+    assert sorted(map(tuple, lx.coverage(d, lex).collect())) == sorted(map(tuple, lx.coverage(d, big).collect()))

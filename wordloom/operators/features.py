@@ -141,6 +141,28 @@ def vocab_counts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
     return kept.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ngram_counts(docs: DataFrame, vocabs: dict, id_col: str = "doc_id", text_col: str = "text",
+                 stopwords: list[str] | None = None) -> DataFrame:
+    """(id, block, term, n) for several vocabularies (block name → Vocabulary) from one tokenization.
+
+    Occurrences are tagged with their block, semi-joined with the union of the
+    (bounded) vocabularies and counted by one aggregate; consumers that filter
+    one block share its shuffle (the exchange is reused).
+    """
+    t = add_token_columns(docs, text_col, stopwords, bigram=any(v.n == 2 for v in vocabs.values()))
+    parts = []
+    for block, v in vocabs.items():
+        col = F.col(_tok_col(v.n))
+        parts.append(F.arrays_zip(F.array_repeat(F.lit(block), F.size(col)).alias("block"), col.alias("term")))
+    toks = t.select(F.col(id_col), F.explode(F.concat(*parts)).alias("z")).select(id_col, "z.block", "z.term")
+    vt = None
+    for block, v in vocabs.items():
+        part = v.table.select(F.lit(block).alias("block"), "term")
+        vt = part if vt is None else vt.unionByName(part)
+    kept = toks.join(F.broadcast(vt), ["block", "term"], "left_semi")
+    return kept.groupBy(id_col, "block", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @dataclass
 class TfidfModel:
     vocab: Vocabulary
@@ -213,8 +235,9 @@ def feature_matrix_long(docs: DataFrame, state: FeatureState, id_col: str = "doc
     from . import lexicon as lx
 
     docs = docs.select(id_col, text_col)
-    uni_c = vocab_counts(docs, state.uni, id_col, text_col)
-    bi_c = vocab_counts(docs, state.bi, id_col, text_col)
+    counts = ngram_counts(docs, {"uni": state.uni, "bi": state.bi}, id_col, text_col)
+    uni_c = counts.filter(F.col("block") == "uni").drop("block")
+    bi_c = counts.filter(F.col("block") == "bi").drop("block")
     parts = [
         uni_c.select(id_col, F.concat(F.lit("uni_"), "term").alias("feature"),
                      F.col("n").cast("double").alias("value"), F.lit("uni").alias("block")),

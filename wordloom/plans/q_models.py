@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.constants import LEVELS, TOP_FEATURE_FREQUENCY, TOP_FEATURES_PER_LEVEL
@@ -92,9 +93,11 @@ def _nb_parts(spark, sf_dir):
     )
     train = gold.filter(F.col("split") == "train").drop("split")
     test = gold.filter(F.col("split") == "test").drop("split")
+    # per-document category scores (a few rows per document) are read by the ε pass, the fit and the
+    # prediction: persisted once instead of tokenizing the texts three times
     feats = lx.category_scores(docs.select("doc_id", "text"), lex, digits=None).select(
         "doc_id", F.col("category").alias("feature"), F.col("score").alias("value")
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     return lex, train, test, feats
 
 
