@@ -82,18 +82,25 @@ class Lexicon:
             F.coalesce(F.col("cat_poss"), F.array().cast("array<int>")).alias("cat_poss"),
         )
         categories = tables.categories.drop("source")
-        n_entries = entries.count()
         spark = entries.sparkSession
+        # the resolved entries are computed once: counted, then (within the bound) read from the cache
+        entries = entries.cache()
+        categories = categories.cache()
+        n_entries = entries.count()
         if n_entries <= BROADCAST_ROW_LIMIT:
-            entries = spark.createDataFrame(entries.collect(), entries.schema)
-            categories = spark.createDataFrame(categories.collect(), categories.schema)
+            entry_rows = entries.collect()
+            cat_rows = categories.collect()
+            entries.unpersist()
+            categories.unpersist()
+            entries = spark.createDataFrame(entry_rows, entries.schema)
+            categories = spark.createDataFrame(cat_rows, categories.schema)
+            lengths = sorted({len(r["stem"]) for r in entry_rows if r["is_prefix"]})
+            names = [r["category"] for r in sorted(cat_rows, key=lambda r: r["pos"])]
         else:
-            entries = entries.cache()
-            categories = categories.cache()
-        lengths = sorted(
-            r[0] for r in entries.filter("is_prefix").select(F.length("stem")).distinct().collect()
-        )
-        names = [r["category"] for r in categories.orderBy("pos").select("category").collect()]
+            lengths = sorted(
+                r[0] for r in entries.filter("is_prefix").select(F.length("stem")).distinct().collect()
+            )
+            names = [r["category"] for r in categories.orderBy("pos").select("category").collect()]
         entry_cats = entries.select(
             "entry_no", "pattern", "stem", "is_prefix",
             F.explode(F.arrays_zip(F.col("cats").alias("category"), F.col("cat_poss").alias("cat_pos"))).alias("z"),

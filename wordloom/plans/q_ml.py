@@ -1,11 +1,12 @@
 """Model queries (M2-M12, M15-M17, S7): Spark ML fits per level on one checkpointed feature frame.
 
 Rows-only checks: fitting is iterative.  The frame uses the SF's documents
-with a 200-term vocabulary; grids are two or three points.
+with the full 1,000-term vocabularies of the feature queries; grids are two or three points.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from fractions import Fraction
 from functools import reduce
 
@@ -18,7 +19,7 @@ from ..functions.constants import (
     HALVING_RUNGS,
     HALVING_SEED,
     LEVELS,
-    MODEL_MAX_FEATURES,
+    MAX_FEATURES,
     N_FOLDS,
 )
 from ..operators import evaluate as ev
@@ -52,7 +53,7 @@ def model_frame(spark, sf_dir) -> DataFrame:
     if key in _FRAMES:
         return _FRAMES[key]
     docs = split_docs(spark, sf_dir)
-    state = feature_state(spark, sf_dir, MODEL_MAX_FEATURES)
+    state = feature_state(spark, sf_dir, MAX_FEATURES)
     vec = ft.vector_features(docs.select("doc_id", "text"), state)
     labelled = views.with_level_labels(docs).select(
         "doc_id", "split", *[F.coalesce(F.col(lv), F.lit(0.0)).alias(lv) for lv in LEVELS]
@@ -81,7 +82,7 @@ def second_frame(spark, sf_dir) -> DataFrame:
     """Second table (conversations) with the same fitted features and the same label rule."""
     key = _key(spark, sf_dir, "second")
     if key not in _FRAMES:
-        state = feature_state(spark, sf_dir, MODEL_MAX_FEATURES)
+        state = feature_state(spark, sf_dir, MAX_FEATURES)
         sec = views.second_set(spark, sf_dir)
         vec = ft.vector_features(sec, state, id_col="item_id")
         lab = views.with_level_labels(sec).select(
@@ -100,9 +101,13 @@ def _test(frame):
 
 
 def fit_all_levels(frame: DataFrame, kind: str, params: dict) -> list[md.FittedLevel]:
+    """One fit per level, submitted together: each fit is a chain of small Spark jobs (one per
+    iteration), so running the levels side by side keeps the executors busy between the jobs
+    of any one fit, as ``CrossValidator(parallelism=…)`` does."""
     tr = _train(frame)
     n = tr.count()
-    return [md.fit_level(tr, lv, kind, params, n) for lv in LEVELS]
+    with ThreadPoolExecutor(max_workers=len(LEVELS)) as pool:
+        return list(pool.map(lambda lv: md.fit_level(tr, lv, kind, params, n), LEVELS))
 
 
 def predict_all(fitted: list[md.FittedLevel], frame: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -75,25 +75,21 @@ def parse_lexicon(files: DataFrame, lowercase_patterns: bool = True) -> LexiconT
         F.posexplode("lines").alias("line_pos", "line"),
     ).select(
         "source",
+        "marks",
         "line_pos",
         "line",
         F.size(F.filter(F.col("marks"), lambda m: m <= F.col("line_pos"))).alias("section"),
         F.split(F.col("line"), _FIELD_SEP).alias("parts"),
     ).filter(~F.startswith(F.col("line"), F.lit("%")))
 
-    cat_rows = exploded.filter(F.col("section") == 1)
-    # category position = rank of its line among the category lines of the same file
-    first_cat = cat_rows.groupBy("source").agg(F.min("line_pos").alias("first_pos"))
-    categories = (
-        cat_rows.join(first_cat, "source")
-        .select(
-            "source",
-            F.col("parts")[0].alias("cat_id"),
-            F.col("parts")[1].alias("category"),
-            (F.col("line_pos") - F.col("first_pos")).alias("pos"),
-        )
+    # Blank lines were removed before numbering, so the category lines directly follow the first
+    # section mark of their file: position = line number - first mark - 1 (dense, no aggregate).
+    categories = exploded.filter(F.col("section") == 1).select(
+        "source",
+        F.col("parts")[0].alias("cat_id"),
+        F.col("parts")[1].alias("category"),
+        (F.col("line_pos") - F.element_at("marks", 1) - 1).alias("pos"),
     )
-    # Blank lines were removed before numbering, so category lines are contiguous: pos is dense.
 
     pattern = F.col("parts")[0]
     if lowercase_patterns:
