@@ -197,6 +197,17 @@ def category_counts(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_
     )
 
 
+def entry_matches(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(pattern, n_matches): token occurrences each resolved entry matches; the aggregate is keyed by
+    entry (bounded by the lexicon) and combined map-side, so frequent words do not skew it."""
+    m = match_tokens(doc_tokens(docs, id_col, text_col, treebank=lex.treebank), "token", lex)
+    return (
+        m.filter(F.col("match_pattern").isNotNull())
+        .groupBy(F.col("match_pattern").alias("pattern"))
+        .agg(F.count(F.lit(1)).alias("n_matches"))
+    )
+
+
 def category_scores(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text",
                     digits: int | None = ROUND_DIGITS) -> DataFrame:
     """(id, category, score) with score = 100 * cnt / all tokens of the text (unmatched included)."""

@@ -15,15 +15,48 @@ def _docs(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@register("lex_read_categories", f"WITH {sql_lexicon()} SELECT cat_id, category, pos FROM lex_categories")
+@register(
+    "lex_read_categories",
+    f"""WITH {sql_lex_match()}
+SELECT c.cat_id, c.category, c.pos,
+       coalesce(u.n_docs, 0) AS n_docs, coalesce(u.n_matched, 0) AS n_matched
+FROM lex_categories c
+LEFT JOIN (SELECT category, count(*) AS n_docs, sum(cnt) AS n_matched FROM lex_counts GROUP BY category) u
+  USING (category)""",
+)
 def lex_read_categories(spark, sf_dir):
+    """Categories as read from the file (id, name, file position) with their use over all documents:
+    documents with at least one token of the category and matched tokens in total (0 if unused)."""
     t = parse_lexicon(lexicon_text_frame(spark, builtin_lexicon_text()))
-    return t.categories.select("cat_id", "category", F.col("pos").cast("int").alias("pos"))
+    cats = t.categories.select("cat_id", "category", F.col("pos").cast("int").alias("pos"))
+    use = lx.category_counts(_docs(spark, sf_dir), builtin_lexicon(spark)).groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("cnt").alias("n_matched")
+    )
+    return cats.join(use, "category", "left").select(
+        "cat_id", "category", "pos",
+        F.coalesce(F.col("n_docs"), F.lit(0)).cast("long").alias("n_docs"),
+        F.coalesce(F.col("n_matched"), F.lit(0)).cast("long").alias("n_matched"),
+    )
 
 
-@register("lex_read_entries", f"WITH {sql_lexicon()} SELECT pattern, stem, is_prefix, category FROM lex_entry_cats")
+@register(
+    "lex_read_entries",
+    f"""WITH {sql_lex_match()}
+SELECT e.pattern, e.stem, e.is_prefix, e.category, coalesce(u.n_matches, 0) AS n_matches
+FROM lex_entry_cats e
+LEFT JOIN (SELECT m.entry_no, count(*) AS n_matches
+           FROM lex_doc_tok d JOIN lex_tok_match m USING (token) GROUP BY m.entry_no) u
+  USING (entry_no)""",
+)
 def lex_read_entries(spark, sf_dir):
-    return builtin_lexicon(spark).entry_cats.select("pattern", "stem", "is_prefix", "category")
+    """Resolved entries (one row per category id) with the token occurrences each entry matches
+    over all documents; an entry hidden by a shorter wildcard stem, or never seen, has 0."""
+    lex = builtin_lexicon(spark)
+    use = lx.entry_matches(_docs(spark, sf_dir), lex)
+    return lex.entry_cats.select("pattern", "stem", "is_prefix", "category").join(use, "pattern", "left").select(
+        "pattern", "stem", "is_prefix", "category",
+        F.coalesce(F.col("n_matches"), F.lit(0)).cast("long").alias("n_matches"),
+    )
 
 
 @register(
