@@ -113,3 +113,25 @@ def test_split_keeps_rows_with_null_stratum(spark):
     assert out.count() == 400
     nulls = out.filter("y IS NULL").groupBy("split").count().collect()
     assert {r.split: r["count"] for r in nulls} == {"test": 20, "train": 80}
+
+
+def test_split_with_finer_buckets_still_equals_global_order(spark, monkeypatch):
+    """Buckets over the edge bound take more hex digits; the parts stay the exact global order."""
+    monkeypatch.setattr(sm, "EDGE_BUCKET_ROWS", 2)
+    n = 3000
+    df = spark.range(n).withColumnRenamed("id", "doc_id")
+    out = sm.kfold(df, "doc_id", "77", 3)
+    got = {r.doc_id: r.fold for r in out.collect()}
+    order = _md5_rank(range(n), "77")
+    cuts = [math.ceil(n / 3), math.ceil(2 * n / 3)]
+    want = {d: sum(1 for c in cuts if i + 1 > c) for i, d in enumerate(order)}
+    assert got == want
+
+
+def test_split_reads_wide_rows_once_without_shuffling_them(spark):
+    """The rows themselves pass through broadcast joins only: no union of two scans, no exchange of text."""
+    df = spark.createDataFrame([(i, "text " * 5) for i in range(300)], "doc_id long, text string")
+    plan = sm.random_split(df, "doc_id", "3", __import__("fractions").Fraction(1, 5))._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("InMemoryRelation")[0]
+    assert "Union" not in top
+    assert "SortMergeJoin" not in top

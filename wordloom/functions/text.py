@@ -6,7 +6,7 @@ All patterns use explicit character classes so that Java regex and RE2
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -98,3 +98,21 @@ def automated_readability_index(col: Column | str) -> Column:
     chars, words, sentences = readability_parts(col)
     value = F.lit(4.71) * (chars / words) + F.lit(0.5) * (words / sentences) - F.lit(21.43)
     return F.when(words > 0, value).otherwise(F.lit(0.0))
+
+
+def explode_rows(df: DataFrame, keep: list, arr: Column, alias: str | tuple[str, str]) -> DataFrame:
+    """``df.select(*keep, explode(arr))`` for arrays computed from text, without a second tokenization.
+
+    For an inner ``explode`` Catalyst infers ``size(arr) > 0`` and pushes that
+    filter down to the scan, below the repartition that spreads the texts over
+    the cores, so the whole array expression (regexes over every text) would run
+    twice, once before the rows are spread.  ``explode_outer`` infers nothing;
+    its extra row for an empty or missing array has a null element and is
+    dropped here (token arrays never hold null elements).  A tuple ``alias``
+    asks for ``posexplode`` (position, element).
+    """
+    if isinstance(alias, tuple):
+        out = df.select(*keep, F.posexplode_outer(arr).alias(*alias))
+        return out.filter(F.col(alias[1]).isNotNull())
+    out = df.select(*keep, F.explode_outer(arr).alias(alias))
+    return out.filter(F.col(alias).isNotNull())

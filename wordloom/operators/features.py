@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ROUND_DIGITS
 from ..functions.stopwords import ENGLISH_STOPWORDS
-from ..functions.text import automated_readability_index, word_tokens
+from ..functions.text import automated_readability_index, explode_rows, word_tokens
 
 
 def _r(c: Column, digits: int | None) -> Column:
@@ -65,7 +65,7 @@ def term_counts(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
     """(id, term, n): occurrences of each n-gram per row (partial aggregation per partition)."""
     t = add_token_columns(docs, text_col, stopwords, bigram=n == 2)
     return (
-        t.select(F.col(id_col), F.explode(_tok_col(n)).alias("term"))
+        explode_rows(t, [F.col(id_col)], F.col(_tok_col(n)), "term")
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -119,7 +119,7 @@ def fit_vocabulary(tokens: DataFrame, n: int, max_features: int) -> Vocabulary:
 
     marks = F.concat(tagged(col, 1, 0), tagged(dist, 0, 1))
     stats = (
-        tokens.select(F.explode(marks).alias("m"))
+        explode_rows(tokens, [], marks, "m")
         .groupBy(F.col("m.term").alias("term"))
         .agg(F.sum("m.o").cast("long").alias("total"), F.sum("m.d").cast("long").alias("df"))
     )
@@ -136,7 +136,7 @@ def vocab_counts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
     vocabulary *before* the per-row aggregate, so only kept terms are shuffled.
     """
     t = add_token_columns(docs, text_col, stopwords, bigram=vocab.n == 2)
-    toks = t.select(F.col(id_col), F.explode(_tok_col(vocab.n)).alias("term"))
+    toks = explode_rows(t, [F.col(id_col)], F.col(_tok_col(vocab.n)), "term")
     kept = toks.join(F.broadcast(vocab.table.select("term")), "term", "left_semi")
     return kept.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -154,7 +154,7 @@ def ngram_counts(docs: DataFrame, vocabs: dict, id_col: str = "doc_id", text_col
     for block, v in vocabs.items():
         col = F.col(_tok_col(v.n))
         parts.append(F.arrays_zip(F.array_repeat(F.lit(block), F.size(col)).alias("block"), col.alias("term")))
-    toks = t.select(F.col(id_col), F.explode(F.concat(*parts)).alias("z")).select(id_col, "z.block", "z.term")
+    toks = explode_rows(t, [F.col(id_col)], F.concat(*parts), "z").select(id_col, "z.block", "z.term")
     vt = None
     for block, v in vocabs.items():
         part = v.table.select(F.lit(block).alias("block"), "term")
@@ -295,7 +295,7 @@ def vector_features(docs: DataFrame, state: FeatureState, id_col: str = "doc_id"
 
 def fit_sequence_vocab(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     """(term, id): ids 2.. by total count desc, term asc; 0 = padding, 1 = unknown."""
-    totals = docs.select(F.explode(word_tokens(text_col)).alias("term")).groupBy("term").agg(
+    totals = explode_rows(docs, [], word_tokens(text_col), "term").groupBy("term").agg(
         F.count(F.lit(1)).alias("total")
     )
     top = totals.orderBy(F.desc("total"), F.asc("term")).limit(size).collect()
@@ -307,7 +307,7 @@ def encode_sequences(docs: DataFrame, vocab: DataFrame, max_length: int, id_col:
                      text_col: str = "text") -> DataFrame:
     """(id, chunk, input_ids, n_real): the whole text as consecutive chunks of ``max_length`` ids,
     each padded with 0 to ``max_length``; ``n_real`` is the attention-mask length."""
-    toks = docs.select(F.col(id_col), F.posexplode(word_tokens(text_col)).alias("p", "term"))
+    toks = explode_rows(docs, [F.col(id_col)], word_tokens(text_col), ("p", "term"))
     ided = toks.join(F.broadcast(vocab), "term", "left").select(
         F.col(id_col), (F.col("p") / max_length).cast("int").alias("chunk"), "p",
         F.coalesce(F.col("id"), F.lit(1)).alias("id"),

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import ROUND_DIGITS
-from ..functions.text import lexicon_tokens
+from ..functions.text import explode_rows, lexicon_tokens
 from ..session import BROADCAST_ROW_LIMIT
 from ..sources.lexicon import (
     LexiconTables,
@@ -177,8 +177,10 @@ def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     token, so per-document results need no join back to the document ids.
     """
     t = docs.select(F.col(id_col), lexicon_tokens(text_col, treebank).alias("_toks"))
-    gen = F.explode_outer if outer else F.explode
-    return t.select(F.col(id_col), F.size("_toks").cast("long").alias("n_tokens"), gen("_toks").alias("token"))
+    keep = [F.col(id_col), F.size("_toks").cast("long").alias("n_tokens")]
+    if outer:
+        return t.select(*keep, F.explode_outer("_toks").alias("token"))
+    return explode_rows(t, keep, F.col("_toks"), "token")
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", treebank: bool = False) -> DataFrame:
@@ -250,7 +252,7 @@ def coverage(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: st
 
 def distinct_token_matches(docs: DataFrame, lex: Lexicon, text_col: str = "text") -> DataFrame:
     """(token, pattern, category) for every distinct corpus token that has a matching entry."""
-    toks = docs.select(F.explode(lexicon_tokens(text_col, lex.treebank)).alias("token")).distinct()
+    toks = explode_rows(docs, [], lexicon_tokens(text_col, lex.treebank), "token").distinct()
     m = match_column(toks, "token", lex) if lex.broadcast_ok else match_tokens(toks, "token", lex)
     return m.filter(F.col("match_pattern").isNotNull()).select(
         "token", F.col("match_pattern").alias("pattern"), F.explode("match_cats").alias("category")
@@ -259,7 +261,7 @@ def distinct_token_matches(docs: DataFrame, lex: Lexicon, text_col: str = "text"
 
 def unmatched_tokens(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(token, n_docs) for tokens no entry matches (anti join against the matched set)."""
-    per_doc = docs.select(F.col(id_col), F.explode(F.array_distinct(lexicon_tokens(text_col, lex.treebank))).alias("token"))
+    per_doc = explode_rows(docs, [F.col(id_col)], F.array_distinct(lexicon_tokens(text_col, lex.treebank)), "token")
     m = match_tokens(per_doc, "token", lex)
     return (
         m.filter(F.col("match_pattern").isNull())

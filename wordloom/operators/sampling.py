@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from ..session import checked_broadcast
 
 BUCKET_HEX_DIGITS = 3
+MAX_BUCKET_HEX_DIGITS = 6
+# Largest bucket whose rows are ranked by one window partition when it straddles a cut.
+EDGE_BUCKET_ROWS = 200_000
 
 
 def hash_key(id_col: str, seed: str) -> Column:
@@ -36,22 +39,12 @@ def ceil_share(n: Column, share: Fraction) -> Column:
     return F.floor((n * F.lit(num) + F.lit(den - 1)) / F.lit(den)).cast("long")
 
 
-def hash_parts(
-    df: DataFrame,
-    id_col: str,
-    seed: str,
-    thresholds: Callable[[Column], list[Column]],
-    strata: list[str] | None = None,
-    stratum_extra: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """Add ``part`` (int): the number of thresholds the row's rank exceeds.
+def _bucket_of(h: Column, digits: int) -> Column:
+    return F.substring(h, 1, digits)
 
-    ``thresholds(n)`` returns non-decreasing integer rank thresholds for a
-    stratum of ``n`` rows.  ``stratum_extra`` may add per-stratum columns to
-    the bucket table before thresholds are taken (e.g. a minority count).
-    """
-    strata = list(strata or [])
-    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, BUCKET_HEX_DIGITS))
+
+def _bucket_table(keyed: DataFrame, strata: list[str], thresholds, stratum_extra) -> tuple[DataFrame, int]:
+    """(strata…, _b, _before, _lo, _hi, _t…) per bucket; returns the table and the number of thresholds."""
     counts = keyed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     order = Window.partitionBy(*strata).orderBy("_b") if strata else Window.orderBy("_b")
     whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
@@ -72,33 +65,90 @@ def hash_parts(
             p = p + F.when(rank > t, 1).otherwise(0)
         return p.cast("int")
 
-    buckets = counts.select(
+    table = counts.select(
         *strata,
         "_b",
+        "_cnt",
         "_before",
         part_of(F.col("_before") + 1).alias("_lo"),
         part_of(F.col("_before") + F.col("_cnt")).alias("_hi"),
         *[t.alias(f"_t{i}") for i, t in enumerate(ts)],
     )
-    # At most 4,096 rows per stratum: checked, then broadcast.
-    buckets = checked_broadcast(buckets)
-    # null-safe on the strata, so rows whose stratum value is null keep their own stratum
-    renamed = buckets.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)],
-                             *[c for c in buckets.columns if c not in strata])
-    cond = F.col("_b") == F.col("_bb")
+    return table, len(ts)
+
+
+def _join_on_stratum(left: DataFrame, right: DataFrame, strata: list[str], keys: list[str]):
+    """(left, renamed right, condition) for a join on ``keys`` and, null-safe, on the strata, so a
+    null stratum value keeps its own stratum; the right side's strata and keys are renamed apart."""
+    renamed = right.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)],
+                           *[F.col(c).alias(f"_r{c}") for c in keys],
+                           *[c for c in right.columns if c not in strata and c not in keys])
+    cond = None
+    for c in keys:
+        e = left[c] == F.col(f"_r{c}")
+        cond = e if cond is None else cond & e
     for i, c in enumerate(strata):
-        cond = cond & keyed[c].eqNullSafe(F.col(f"_s{i}"))
-    joined = keyed.join(renamed.withColumnRenamed("_b", "_bb"), cond).drop("_bb", *[f"_s{i}" for i in range(len(strata))])
-    whole_bucket = joined.filter(F.col("_lo") == F.col("_hi")).withColumn("part", F.col("_lo"))
-    edge = joined.filter(F.col("_lo") != F.col("_hi"))
+        cond = cond & left[c].eqNullSafe(F.col(f"_s{i}"))
+    return left, renamed, cond
+
+
+def hash_parts(
+    df: DataFrame,
+    id_col: str,
+    seed: str,
+    thresholds: Callable[[Column], list[Column]],
+    strata: list[str] | None = None,
+    stratum_extra: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Add ``part`` (int): the number of thresholds the row's rank exceeds.
+
+    ``thresholds(n)`` returns non-decreasing integer rank thresholds for a
+    stratum of ``n`` rows.  ``stratum_extra`` may add per-stratum columns to
+    the bucket table before thresholds are taken (e.g. a minority count).
+
+    Plan: two small tables are computed from an id-only projection of ``df``
+    — the bucket table, and the exact parts of the rows in the few buckets
+    that straddle a cut (ranked by a window per bucket) — and both are
+    broadcast after a row-count check.  The rows of ``df`` then get their part
+    by two broadcast joins in one narrow pass: wide rows (texts) are read once
+    and never shuffled.  If a bucket would hold more than
+    ``EDGE_BUCKET_ROWS`` rows, the bucket key takes another hex digit.
+    """
+    strata = list(strata or [])
+    ids = df.select(id_col, *strata).withColumn("_h", hash_key(id_col, seed))
+    digits = BUCKET_HEX_DIGITS
+    while True:
+        keyed_ids = ids.withColumn("_b", _bucket_of(F.col("_h"), digits))
+        table, n_ts = _bucket_table(keyed_ids, strata, thresholds, stratum_extra)
+        # At most 16^digits rows per stratum: checked, then broadcast.
+        table = checked_broadcast(table)
+        biggest = table.agg(F.max("_cnt")).first()[0] or 0
+        if biggest <= EDGE_BUCKET_ROWS or digits >= MAX_BUCKET_HEX_DIGITS:
+            break
+        table.unpersist()
+        digits += 1
+    bucket = _bucket_of(hash_key(id_col, seed), digits)
+
+    # exact parts of the rows in straddling buckets only
+    edge_buckets = table.filter(F.col("_lo") != F.col("_hi"))
+    left, right, cond = _join_on_stratum(keyed_ids, edge_buckets, strata, ["_b"])
+    edge = left.join(F.broadcast(right), cond)
     rn = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", id_col))
     edge = edge.withColumn("_r", F.col("_before") + rn)
     p = F.lit(0)
-    for i in range(len(ts)):
+    for i in range(n_ts):
         p = p + F.when(F.col("_r") > F.col(f"_t{i}"), 1).otherwise(0)
-    edge = edge.withColumn("part", p.cast("int")).drop("_r")
-    drop = ["_h", "_b", "_before", "_lo", "_hi", *[f"_t{i}" for i in range(len(ts))]]
-    return whole_bucket.unionByName(edge).drop(*drop)
+    edge_parts = checked_broadcast(edge.select(id_col, *strata, p.cast("int").alias("_ep")))
+
+    # every row: bucket table (wholesale part) then the edge table (exact part where the bucket straddles)
+    keyed = df.withColumn("_b", bucket)
+    left, right, cond = _join_on_stratum(keyed, table.select(*strata, "_b", "_lo"), strata, ["_b"])
+    with_lo = left.join(right, cond).drop(*[c for c in right.columns if c != "_lo"])
+    left, right, cond = _join_on_stratum(with_lo, edge_parts, strata, [id_col])
+    out = left.join(right, cond, "left")
+    return out.withColumn("part", F.coalesce(F.col("_ep"), F.col("_lo"))).drop(
+        "_b", "_lo", *[c for c in right.columns]
+    )
 
 
 def random_split(df: DataFrame, id_col: str, seed: str, test_share: Fraction,

@@ -14,7 +14,7 @@ from ..functions.constants import (
     TEST_SHARE,
 )
 from ..functions.stopwords import ENGLISH_STOPWORDS
-from ..functions.text import BLANK_RUN, word_tokens
+from ..functions.text import BLANK_RUN, explode_rows, word_tokens
 from ..operators import features as ft
 from ..operators.sampling import random_split
 from ..session import read_table, session_key
@@ -127,7 +127,7 @@ def sql_ari(expr: str = "text") -> str:
 @register("txt_tokens", f"SELECT token, count(*) AS n FROM (SELECT unnest({sql_word_tokens()}) AS token FROM documents) GROUP BY token")
 def txt_tokens(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return docs.select(F.explode(word_tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return explode_rows(docs, [], word_tokens("text"), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import LEVEL_TOKENS, LEVELS
-from ..functions.text import WORD_TOKEN
+from ..functions.text import WORD_TOKEN, explode_rows
 from ..session import read_table
 
 
@@ -77,7 +77,7 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
                 count_longer_with_prefix(low, tok).alias("k"),
             )
         )
-    rows = docs.select("doc_id", F.explode(F.array(*cols)).alias("r")).select("doc_id", "r.*")
+    rows = explode_rows(docs, ["doc_id"], F.array(*cols), "r").select("doc_id", "r.*")
     return rows.select(
         "doc_id",
         "level",
