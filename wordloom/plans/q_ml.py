@@ -55,9 +55,11 @@ def model_frame(spark, sf_dir) -> DataFrame:
     docs = split_docs(spark, sf_dir)
     state = feature_state(spark, sf_dir, MAX_FEATURES)
     vec = ft.vector_features(docs.select("doc_id", "text"), state)
-    labelled = views.with_level_labels(docs).select(
+    # ids, split and the six labels: a narrow table (no text), written once so that folds, rungs
+    # and the frame read it instead of re-running the label regexes over every text
+    labelled = reliable_checkpoint(views.with_level_labels(docs).select(
         "doc_id", "split", *[F.coalesce(F.col(lv), F.lit(0.0)).alias(lv) for lv in LEVELS]
-    )
+    ))
     train = labelled.filter(F.col("split") == "train")
     long = train.unpivot(["doc_id"], LEVELS, "level", "y")
     folds = sm.kfold(long, "doc_id", FOLD_SEED, N_FOLDS, strata=["level", "y"])

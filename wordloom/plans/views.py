@@ -17,30 +17,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import LEVEL_TOKENS, LEVELS
-from ..functions.text import WORD_TOKEN, explode_rows
+from ..functions.text import WORD_TOKEN, explode_rows, word_tokens
 from ..session import read_table
 
 
-# A word token is a maximal run of word characters (see functions.text.WORD_TOKEN); a level
-# token is present when such a run equals it, found by one bounded regex instead of a token array.
-_WC = "[\\p{L}\\p{N}_]"
-
+def count_longer_with_prefix(tokens: Column, tok: str) -> Column:
+    """Number of word tokens that start with ``tok`` and are longer than it."""
+    return F.size(F.filter(tokens, lambda t: t.startswith(tok) & (t != F.lit(tok))))
 
-def has_token(text: Column, tok: str) -> Column:
-    return text.rlike(f"(?<!{_WC}){tok}(?!{_WC})")
 
-
-def count_longer_with_prefix(text: Column, tok: str) -> Column:
-    """Number of word tokens that start with ``tok`` and are longer than it."""
-    return F.size(F.regexp_extract_all(text, F.lit(f"(?<!{_WC}){tok}{_WC}+"), 0))
+def _word_tokens(text_col: str) -> Column:
+    # one regex pass per text; every level test below is an array operation on its result
+    return word_tokens(F.col(text_col))
 
 
 def with_level_labels(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the six level labels: 1.0 if the text's word tokens contain the level token, else null."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    return df.select(
-        "*",
-        *[F.when(has_token(low, LEVEL_TOKENS[lv]), F.lit(1.0)).alias(lv) for lv in LEVELS],
+    toks = "_lvl_toks"
+    out = df.withColumn(toks, _word_tokens(text_col))
+    return out.select(
+        *[F.col(c) for c in df.columns],
+        *[F.when(F.array_contains(toks, LEVEL_TOKENS[lv]), F.lit(1.0)).alias(lv) for lv in LEVELS],
     )
 
 
@@ -65,16 +62,16 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", _word_tokens("text").alias("_toks"))
+    toks = F.col("_toks")
     cols = []
     for lv in LEVELS:
         tok = LEVEL_TOKENS[lv]
         cols.append(
             F.struct(
                 F.lit(lv).alias("level"),
-                F.when(has_token(low, tok), 1).otherwise(0).alias("y"),
-                count_longer_with_prefix(low, tok).alias("k"),
+                F.when(F.array_contains(toks, tok), 1).otherwise(0).alias("y"),
+                count_longer_with_prefix(toks, tok).alias("k"),
             )
         )
     rows = explode_rows(docs, ["doc_id"], F.array(*cols), "r").select("doc_id", "r.*")
