@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ROUND_DIGITS
 from ..functions.text import explode_rows, lexicon_tokens
-from ..session import BROADCAST_ROW_LIMIT
+from ..session import within_broadcast_bounds
 from ..sources.lexicon import (
     LexiconTables,
     builtin_lexicon_text,
@@ -87,7 +87,8 @@ class Lexicon:
         entries = entries.cache()
         categories = categories.cache()
         n_entries = entries.count()
-        if n_entries <= BROADCAST_ROW_LIMIT:
+        small = within_broadcast_bounds(entries, n_entries)
+        if small:
             entry_rows = entries.collect()
             cat_rows = categories.collect()
             entries.unpersist()
@@ -112,7 +113,7 @@ class Lexicon:
             stem_lengths=lengths,
             category_names=names,
             n_entries=n_entries,
-            broadcast_ok=n_entries <= BROADCAST_ROW_LIMIT,
+            broadcast_ok=small,
         )
 
     @classmethod

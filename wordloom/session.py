@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Broadcast only tables whose row count was checked against this bound.
+# Broadcast only tables whose row count was checked against this bound ...
 BROADCAST_ROW_LIMIT = 2_000_000
+# ... and whose cached size (Spark's statistics of the materialized table) is below this one.
+BROADCAST_BYTE_LIMIT = 256 * 1024 * 1024
 
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "wordloom") -> SparkSession:
@@ -56,15 +58,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/wordloom-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint behind an explicit row-count check; beyond it Spark plans a shuffle join.
+def cached_size_bytes(df: DataFrame) -> int | None:
+    """Size in bytes Spark's statistics give for ``df``; exact for a cached, materialized frame."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # sessions without JVM access: the row bound alone applies
+        return None
+
+
+def within_broadcast_bounds(cached: DataFrame, n_rows: int, row_limit: int = BROADCAST_ROW_LIMIT,
+                            byte_limit: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """Row count (already counted) and materialized size both under the broadcast bounds."""
+    if n_rows > row_limit:
+        return False
+    size = cached_size_bytes(cached)
+    return size is None or size <= byte_limit
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
+                      byte_limit: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Broadcast hint behind an explicit row-count and size check; beyond it Spark plans a shuffle join.
 
     Only used for tables that are small by construction (lexicons, vocabularies,
-    bucket tables).  The counted frame is cached so the count is not recomputed.
+    bucket tables).  The counted frame is cached, so the count is not
+    recomputed and its size is the measured size of the cached columns.
     """
     df = df.cache()
     n = df.count()
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if within_broadcast_bounds(df, n, limit, byte_limit) else df
 
 
 # Tables whose rows carry long texts: tokenizing them is the CPU-heavy part of most plans.
