@@ -112,3 +112,19 @@ def test_workbook_reader_inline_and_shared_strings(spark):
     back = wb.read_workbooks(spark, path, ["item_id", "question", "objective"])
     assert back.select("file").distinct().count() == 3
     assert sorted((int(r.item_id), r.question) for r in back.collect()) == [(i, f"text {i}") for i in range(7)]
+
+
+def test_reference_grids_expand_and_build_spark_estimators(spark):
+    from wordloom.functions.constants import REFERENCE_GRIDS
+    from wordloom.operators.models import make_estimator
+    from wordloom.operators.search import expand_grid
+
+    sizes = {k: len(expand_grid(g)) for k, g in REFERENCE_GRIDS.items()}
+    assert sizes == {"nb": 3, "svm": 24, "logreg": 54, "rf": 324, "gbt": 24}
+    first = expand_grid(REFERENCE_GRIDS["logreg"])[0]
+    assert first == {"penalty": "l1", "C": 0.1, "solver": "saga", "tol": 0.01, "max_iter": 200}
+    for kind in ("logreg", "rf", "gbt"):
+        for p in expand_grid(REFERENCE_GRIDS[kind]):
+            make_estimator(kind, p, 1000, "remember")
+    for p in expand_grid(REFERENCE_GRIDS["svm"]):
+        make_estimator({"linear": "svm", "rbf": "svm_rbf", "poly": "svm_poly"}[p["kernel"]], p, 1000, "remember")

@@ -47,3 +47,17 @@ TOP_FEATURE_FREQUENCY = 10
 
 # Decimal places of every double in query results.
 ROUND_DIGITS = 6
+
+# The hyper-parameter grids of the reference's training script, per model, in its
+# order (scikit-learn names; models.make_estimator maps them to Spark ML parameters).  Expand a
+# grid with operators.search.expand_grid.  The SVM kernels other than "linear" run as feature
+# maps (models.rbf_features / models.poly_features) with the kinds "svm_rbf" / "svm_poly".
+REFERENCE_GRIDS = {
+    "nb": {"var_smoothing": [1e-8, 1e-9, 1e-10]},
+    "svm": {"C": [0.1, 1, 10, 100], "gamma": ["scale", "auto"], "kernel": ["linear", "poly", "rbf"]},
+    "logreg": {"penalty": ["l1", "l2", "none"], "C": [0.1, 1, 10], "solver": ["saga"],
+               "tol": [0.01, 0.001, 0.0001], "max_iter": [200, 500]},
+    "rf": {"n_estimators": [50, 100, 250], "max_depth": [None, 5, 10], "max_features": ["auto", "sqrt"],
+           "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4], "bootstrap": [True, False]},
+    "gbt": {"gamma": [0.1, 0.5], "learning_rate": [0.1, 0.5], "max_depth": [5, 7, 10], "n_estimators": [50, 100]},
+}

@@ -9,6 +9,7 @@ chunks (``sampling.kfold``); halving rungs are nested hash-ordered subsets
 
 from __future__ import annotations
 
+import itertools
 import math
 from concurrent.futures import ThreadPoolExecutor
 
@@ -19,6 +20,12 @@ from .evaluate import confusion, f1_pos
 from .models import make_estimator, params_key
 
 
+def expand_grid(grid: dict) -> list[dict]:
+    """All candidates of a grid given as name → list of values, first name varying slowest."""
+    names = list(grid)
+    return [dict(zip(names, values)) for values in itertools.product(*(grid[n] for n in names))]
+
+
 def _f1(model, val: DataFrame, label: str) -> float:
     pred = model.transform(val).select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
     row = confusion(pred, []).select(f1_pos().alias("f1")).first()
