@@ -128,3 +128,22 @@ def test_reference_grids_expand_and_build_spark_estimators(spark):
             make_estimator(kind, p, 1000, "remember")
     for p in expand_grid(REFERENCE_GRIDS["svm"]):
         make_estimator({"linear": "svm", "rbf": "svm_rbf", "poly": "svm_poly"}[p["kernel"]], p, 1000, "remember")
+
+
+def test_rbf_features_read_sparse_vectors_and_equal_the_dense_formula(spark):
+    import math
+
+    import numpy as np
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
+
+    from wordloom.operators.models import rbf_features
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("features", VectorUDT())])
+    rows = [(1, Vectors.sparse(5, [1, 3], [1.0, 2.0])), (2, Vectors.dense([1.0, 2, 3, 4, 5])), (3, Vectors.sparse(5, [], []))]
+    got = {r.id: r.features.toArray() for r in rbf_features(spark.createDataFrame(rows, schema), 8, 0.5).collect()}
+    rng = np.random.default_rng(666)
+    w = rng.normal(0.0, math.sqrt(1.0), size=(5, 8))
+    b = rng.uniform(0.0, 2.0 * math.pi, size=8)
+    for i, v in rows:
+        assert np.allclose(got[i], math.sqrt(2.0 / 8) * np.cos(v.toArray() @ w + b))

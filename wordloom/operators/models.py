@@ -121,10 +121,12 @@ def rbf_features(frame: DataFrame, n_components: int, gamma: float, seed: int =
     """Random Fourier features z(x) = sqrt(2/D) · cos(W x + b), W ~ N(0, 2γ), b ~ U(0, 2π).
 
     An approximation of the RBF kernel (stated as such).  The projection runs
-    as an Arrow-batched pandas UDF: one numpy matrix product per batch; the
-    random matrix travels once per executor as a broadcast variable.
+    as an Arrow-batched pandas UDF that receives the vectors in their stored
+    form (sparse: indices and values), so only the non-zero entries cross
+    Arrow and W x costs one small product over the rows of W that a vector
+    uses; the random matrix travels once per executor as a broadcast variable.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     dim = len(frame.select(input_col).first()[0])
     rng = np.random.default_rng(seed)
@@ -135,16 +137,19 @@ def rbf_features(frame: DataFrame, n_components: int, gamma: float, seed: int =
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def project(v):
+        # ``v`` holds the vector's stored fields: type (0 sparse, 1 dense), size, indices, values
         import pandas as pd
 
         wm, bv = bc.value
-        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, wm.shape[0]))
-        z = scale * np.cos(x @ wm + bv)
-        return pd.Series(list(z))
-
-    tmp = "_rff_in"
-    out = frame.withColumn(tmp, vector_to_array(F.col(input_col)))
-    return out.withColumn(output_col, array_to_vector(project(F.col(tmp)))).drop(tmp)
+        kinds, idx, vals = v["type"].to_numpy(), v["indices"].to_numpy(), v["values"].to_numpy()
+        out = []
+        for k, ii, vv in zip(kinds, idx, vals):
+            x = np.asarray(vv, dtype=np.float64)
+            acc = x @ wm if k == 1 else x @ wm[np.asarray(ii, dtype=np.int64)]
+            out.append(scale * np.cos(acc + bv))
+        return pd.Series(out)
+
+    return frame.withColumn(output_col, array_to_vector(project(F.col(input_col))))
 
 
 def poly_features(frame: DataFrame, k: int, degree: int = 2, input_col: str = "features",
