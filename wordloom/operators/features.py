@@ -100,32 +100,51 @@ def _vocabulary(spark, n: int, rows: list[tuple[str, int, int]]) -> Vocabulary:
                       totals={t: tot for t, tot, _ in rows})
 
 
-def fit_vocabulary(tokens: DataFrame, n: int, max_features: int) -> Vocabulary:
-    """Fit on a frame from ``add_token_columns``.
-
-    Total count and document frequency of every term come from one
-    term-keyed aggregate over (term, 1, 0) per occurrence and (term, 0, 1) per
-    distinct term of a row: map-side combined, so frequent terms do not skew
-    and no (row, term) table is shuffled.  Only the top ``max_features``
-    rows reach the driver.
-    """
-    col = F.col(_tok_col(n))
-    dist = F.array_distinct(col)
+def _term_marks(col: Column, block: int) -> Column:
+    """(term, g, o, d) per occurrence (o = 1) and per distinct term of the row (d = 1), without a lambda:
+    arrays_zip with constant arrays of the same size."""
 
-    def tagged(arr, o: int, d: int):
-        # (term, o, d) structs without a lambda: arrays_zip with constant arrays of the same size
+    def tagged(arr: Column, o: int, d: int) -> Column:
         k = F.size(arr)
-        return F.arrays_zip(arr.alias("term"), F.array_repeat(F.lit(o), k).alias("o"), F.array_repeat(F.lit(d), k).alias("d"))
+        return F.arrays_zip(
+            arr.alias("term"), F.array_repeat(F.lit(block), k).alias("g"),
+            F.array_repeat(F.lit(o), k).alias("o"), F.array_repeat(F.lit(d), k).alias("d"),
+        )
+
+    return F.concat(tagged(col, 1, 0), tagged(F.array_distinct(col), 0, 1))
+
+
+def fit_vocabularies(tokens: DataFrame, orders: list[int], max_features: int) -> list[Vocabulary]:
+    """Fit several n-gram vocabularies on a frame from ``add_token_columns`` in one pass.
 
-    marks = F.concat(tagged(col, 1, 0), tagged(dist, 0, 1))
+    Total count and document frequency of every (order, term) come from one
+    aggregate over (term, order, 1, 0) per occurrence and (term, order, 0, 1)
+    per distinct term of a row: map-side combined, so frequent terms do not
+    skew and no (row, term) table is shuffled.  The term statistics are
+    persisted, each order's top ``max_features`` rows are cut from them, and
+    only those reach the driver: the texts are tokenized once for all orders.
+    """
+    from pyspark import StorageLevel
+
+    marks = F.concat(*[_term_marks(F.col(_tok_col(n)), n) for n in orders])
     stats = (
         explode_rows(tokens, [], marks, "m")
-        .groupBy(F.col("m.term").alias("term"))
+        .groupBy(F.col("m.g").alias("g"), F.col("m.term").alias("term"))
         .agg(F.sum("m.o").cast("long").alias("total"), F.sum("m.d").cast("long").alias("df"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    top = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features).collect()
-    rows = sorted((r["term"], int(r["total"]), int(r["df"])) for r in top)
-    return _vocabulary(tokens.sparkSession, n, rows)
+    out = []
+    for n in orders:
+        top = stats.filter(F.col("g") == n).orderBy(F.desc("total"), F.asc("term")).limit(max_features).collect()
+        rows = sorted((r["term"], int(r["total"]), int(r["df"])) for r in top)
+        out.append(_vocabulary(tokens.sparkSession, n, rows))
+    stats.unpersist()
+    return out
+
+
+def fit_vocabulary(tokens: DataFrame, n: int, max_features: int) -> Vocabulary:
+    """One vocabulary (see ``fit_vocabularies``)."""
+    return fit_vocabularies(tokens, [n], max_features)[0]
 
 
 def vocab_counts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
@@ -214,10 +233,9 @@ class FeatureState:
 
 def fit_features(train: DataFrame, max_features: int, lexicon=None, id_col: str = "doc_id",
                  text_col: str = "text", stopwords: list[str] | None = None) -> FeatureState:
-    """Two aggregate jobs (unigram, bigram statistics) and one count; every result is small."""
+    """One aggregate job (unigram and bigram statistics together) and one count; every result is small."""
     toks = add_token_columns(train.select(id_col, text_col), text_col, stopwords)
-    uni = fit_vocabulary(toks, 1, max_features)
-    bi = fit_vocabulary(toks, 2, max_features)
+    uni, bi = fit_vocabularies(toks, [1, 2], max_features)
     tf = fit_tfidf(uni, train.count(), train.sparkSession)
     return FeatureState(uni=uni, bi=bi, tfidf=tf, lexicon=lexicon)
 
