@@ -66,3 +66,19 @@ def test_plans_have_no_cartesian_or_python(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, bad
+
+
+TEXT_QUERIES = ["lex_category_scores", "lex_scores_wide", "lex_coverage", "txt_tokens", "feat_unigram_counts",
+                "feat_matrix_long", "seq_encode_pad", "eval_headline", "topk_features_per_level"]
+
+
+@pytest.mark.parametrize("name", TEXT_QUERIES)
+def test_no_tokenizer_in_scan_filters(spark, name):
+    """Each text is tokenized after the rows are spread, never again inside the (possibly
+    single-partition) scan through a filter Catalyst inferred from an explode."""
+    import re
+
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # long filter lists are cut with "..." before ", Format", so match up to that separator
+    for filters in re.findall(r"DataFilters: ([^\n]*?), Format", plan):
+        assert not re.search(r"regexp|rlike|split\(|size\(", filters), filters[:200]
