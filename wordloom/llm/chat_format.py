@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
+from .common import stored
 
 BLOCK = 1024
 
@@ -62,7 +62,7 @@ def prefix_hashes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def maximal_conversations(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies) of the conversations that no longer or equal one stands for."""
-    pre = reliable_checkpoint(prefix_hashes(conversations))
+    pre = stored(prefix_hashes(conversations), "prefixes")
     ends = pre.groupBy("conv_id").agg(F.max("pos").alias("n_turns"))
     last = (pre.join(ends, "conv_id").where("pos = n_turns")
             .groupBy("n_turns", "hi", "lo").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")))
@@ -82,6 +82,6 @@ def render(conversations: DataFrame) -> DataFrame:
 
 def chat_format(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) of the maximal conversations."""
-    keep = reliable_checkpoint(maximal_conversations(conversations))
+    keep = stored(maximal_conversations(conversations), "maximal")
     kept = conversations.join(keep.select("conv_id"), "conv_id", "left_semi")
     return keep.join(render(kept), "conv_id")

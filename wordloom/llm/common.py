@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
+from ..session import scratch_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -34,17 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the cluster's shared folder and reread: computed once, lineage cut,
+    and no filters or constraints of its old plan carried on."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id per node.
 
     ``nodes``: (id); ``edges``: (a, b), undirected, without duplicates that matter.  Returns
     (id, component).  Alternating large-star and small-star rounds on the edge table:
     every round is two shuffles of at most the edges, the hub of a star is a grouping
-    key only of thin (id, id) rows combined map-side by ``min``, and lineage is cut with
-    a reliable checkpoint.  Isolated nodes are their own component.
+    key only of thin (id, id) rows combined map-side by ``min``, and lineage is cut by
+    storing the table.  Isolated nodes are their own component.
     """
     e = edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct()
-    e = reliable_checkpoint(e)
+    e = stored(e, "edges")
     for _ in range(max_rounds):
         if e.isEmpty():
             break
@@ -59,7 +67,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         small = large.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")),
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        new = reliable_checkpoint(small.select("x.a", "x.b").where("a <> b").distinct())
+        new = stored(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
         done = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
         e = new
         if done:

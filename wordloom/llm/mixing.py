@@ -6,8 +6,8 @@ then kept with the probability by which its cell was scaled (the largest scale
 is 1), decided by a hash of its id.  Only DataFrame functions are used:
 
 * one map-side combined aggregate gives the cells; hot sources shrink to cells there;
-* each raking step is an aggregate and a join of the cell table, whose lineage is cut
-  with a reliable checkpoint; texts are not touched by the iterations;
+* each raking step is an aggregate and a join of the cell table, which is stored
+  after each step; texts are not touched by the iterations;
 * the scaled cells are joined back to the documents with a size-checked broadcast.
 
 Defined results: a null margin value is a category of its own; a null text has
@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast, reliable_checkpoint
+from ..session import checked_broadcast
+from .common import stored
 
 NONE = "(none)"
 SWEEPS = 8
@@ -54,14 +55,14 @@ def tempered_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """``cells`` (margins, w) with ``fit``: weights whose margins follow the targets, in ``sweeps`` sweeps."""
     total = cells.agg(F.sum("w").cast("double")).first()[0] or 0.0
-    fitted = reliable_checkpoint(cells.withColumn("fit", F.col("w").cast("double")))
+    fitted = cells.withColumn("fit", F.col("w").cast("double"))
     for _ in range(sweeps):
         for margin, target in targets.items():
             scale = fitted.groupBy(margin).agg(F.sum("fit").alias("s")).join(target, margin).select(
                 margin, F.when(F.col("s") > 0, F.col("share") * F.lit(total) / F.col("s")).otherwise(0.0).alias("f"))
-            fitted = reliable_checkpoint(
+            fitted = stored(
                 fitted.join(scale, margin, "left").withColumn("fit", F.col("fit") * F.coalesce("f", F.lit(0.0)))
-                .drop("f"))
+                .drop("f"), "raked")
     return fitted
 
 
@@ -77,17 +78,17 @@ def mix(docs: DataFrame, margins: dict[str, Column], weight: Column, powers: dic
     for m, col in margins.items():
         keyed = keyed.withColumn(names[m], F.coalesce(col.cast("string"), F.lit(NONE)))
     keyed = keyed.withColumn("_weight", weight)
-    cells = reliable_checkpoint(keyed.groupBy(*names.values()).agg(F.sum("_weight").alias("w")))
+    cells = stored(keyed.groupBy(*names.values()).agg(F.sum("_weight").alias("w")), "cells")
     wanted = {}
     for m, c in names.items():
         given = (targets or {}).get(m)
-        wanted[c] = reliable_checkpoint(
-            given.select(F.col(m).alias(c), "share") if given is not None else tempered_targets(cells, c, powers[m]))
+        wanted[c] = stored(given.select(F.col(m).alias(c), "share") if given is not None
+                           else tempered_targets(cells, c, powers[m]), "targets")
     fitted = rake(cells, wanted, sweeps).withColumn("_r", F.when(F.col("w") > 0, F.col("fit") / F.col("w")))
     top = fitted.agg(F.max("_r")).first()[0] or 1.0
     # cells without tokens have nothing to weigh: their documents stay
     probs = fitted.select(*names.values(), F.coalesce(F.col("_r") / F.lit(top), F.lit(1.0)).alias("_prob"))
-    out = keyed.join(checked_broadcast(reliable_checkpoint(probs)), list(names.values()), "left")
+    out = keyed.join(checked_broadcast(probs), list(names.values()), "left")
     u = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast(
         "double") / F.lit(4294967296.0)
     return out.withColumn("_kept", u < F.col("_prob")).drop(*names.values())
