@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the workers of a single-machine session, wherever it was started.
+
+    On a cluster the package comes with ``--py-files`` or is installed there, as any other.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and "cluster" not in sc.master and sc.applicationId not in _SHIPPED:
+        sc.addFile(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), recursive=True)
+        _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with the package shipped."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id per node.
 
