@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import checked_broadcast, scratch_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SMALL_ROWS, SMALL_BYTES = 500_000, 32 * 1024 * 1024
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
@@ -38,9 +41,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the cluster's shared folder and reread: computed once, lineage cut,
     and no filters or constraints of its old plan carried on."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table stands for the plan, whose shuffle files can go
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a table of ids or the like if it is small by count and size, else none."""
+    return checked_broadcast(df, SMALL_ROWS, SMALL_BYTES)
 
 
 _SHIPPED: set[str] = set()

@@ -114,12 +114,13 @@ class Filters:
                     found[k] += np.diff(np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])[cuts])
         return total, found
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Per text: language, score, and coverage (the share of its n-grams that the language has)."""
         joined = Joined([t.lower() for t in texts], self.classes)
         letters = np.concatenate([[0], np.cumsum(joined.kind == LETTER, dtype=np.int64)])[np.append(0, joined.sep)]
         some = np.diff(letters) > 0
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         total, found = self.counts(joined)
         f = self.false_positive[:, None]
         right = np.maximum(0.0, (found - total * f) / np.maximum(1e-9, 1.0 - f))
@@ -128,7 +129,8 @@ class Filters:
         score = np.where(some & (mass > 0), top / np.maximum(mass, 1e-300), 0.0)
         names = [UNKNOWN if not s else self.languages[b] if m > 0 else self.default
                  for s, b, m in zip(some.tolist(), best.tolist(), mass.tolist(), strict=True)]
-        return names, np.clip(score, 0.0, 1.0)
+        coverage = np.where(some, top / np.maximum(total, 1.0), 0.0)
+        return names, np.clip(score, 0.0, 1.0), np.clip(coverage, 0.0, 1.0)
 
 
 def _count_ngrams(docs: DataFrame) -> DataFrame:
@@ -183,19 +185,20 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "lang_pred",
-             score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score for every whole ``text``."""
+             score: str = "score", coverage: str = "coverage") -> DataFrame:
+    """``docs`` with the predicted language, its score and its coverage for every whole ``text``."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    kept = [c for c in docs.columns if c not in (lang, score)]
-    schema = T.StructType([docs.schema[c] for c in kept]
-                          + [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    kept = [c for c in docs.columns if c not in (lang, score, coverage)]
+    schema = T.StructType([docs.schema[c] for c in kept] + [
+        T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()),
+        T.StructField(coverage, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in slices(whole, text):
-                names, scores = sent.value.predict(texts)
+                names, scores, covers = sent.value.predict(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores)],
-                    [*kept, lang, score])
+                    [batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores), pa.array(covers)],
+                    [*kept, lang, score, coverage])
 
     return map_arrow(docs, run, schema)

@@ -22,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
-from .common import stored
+from .common import small_side, stored
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -49,7 +48,7 @@ def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio
     """``pages`` with boilerplate lines removed from ``text``, plus ``_n_lines`` and ``_n_dropped`` (long)."""
     lists = boilerplate_lines(pages, host, text, ratio, min_pages).groupBy(F.col("_h").alias("_host")).agg(
         F.collect_list("_k").alias("_drop"))
-    lists = checked_broadcast(stored(lists, "boilerplate"))
+    lists = small_side(stored(lists, "boilerplate"))
     joined = pages.join(lists, F.col(host) == F.col("_host"), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x)))

@@ -21,13 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
-from .common import stored
+from .common import small_side, stored
 
 NONE = "(none)"
 SWEEPS = 8
 # target share of a category = its observed share to this power, over their sum
-TEMPERATURES = {"source": 0.8, "lang": 0.7, "topic": 0.9}
+TEMPERATURES = {"source": 0.9, "lang": 0.9, "topic": 1.0}
 
 
 def n_words(text: str = "text") -> Column:
@@ -88,7 +87,7 @@ def mix(docs: DataFrame, margins: dict[str, Column], weight: Column, powers: dic
     top = fitted.agg(F.max("_r")).first()[0] or 1.0
     # cells without tokens have nothing to weigh: their documents stay
     probs = fitted.select(*names.values(), F.coalesce(F.col("_r") / F.lit(top), F.lit(1.0)).alias("_prob"))
-    out = keyed.join(checked_broadcast(probs), list(names.values()), "left")
+    out = keyed.join(small_side(probs), list(names.values()), "left")
     u = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast(
         "double") / F.lit(4294967296.0)
     return out.withColumn("_kept", u < F.col("_prob")).drop(*names.values())

@@ -18,4 +18,4 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = learn(docs.where(~held_out()))
     out = identify(docs.select("doc_id", held_out().alias("held_out"), "text"), filters)
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    return out.select("doc_id", "held_out", "lang_pred", "score", "coverage")
