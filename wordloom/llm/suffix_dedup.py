@@ -5,6 +5,7 @@ Sorting every suffix of the corpus would ship ``LENGTH`` bytes a position.  Inst
 ``GRAM``-byte string of least hash in it), so equal windows have equal anchors at equal offsets, and one
 anchor serves some thirty neighbouring windows.
 
+0. Documents whose whole text an earlier one has (by a digest) lose all of it and leave the search.
 1. Anchors that occur very often are found first (counts combined map-side) and broadcast; their number is
    bounded by ``HOT_SHARE``.  Windows at such anchors are dealt by a digest of the whole window, equal ones
    combined in each task, so a passage that a third of all documents share meets nowhere.
@@ -32,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
-from .common import map_arrow, ship, stored
+from .common import map_arrow, ship, small_side, stored
 from .suffix_sort import classes_at, sort_strings
 
 LENGTH = 100
@@ -361,24 +361,38 @@ def _numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return keyed.withColumn("copy", (F.row_number().over(same) - 1).cast("int"))
 
 
+def _equal_texts(numbered: DataFrame) -> DataFrame:
+    """(doc, copy, pos, n): the runs of documents whose whole text an earlier document has."""
+    long_ones = numbered.where(F.octet_length("text") >= LENGTH).select(
+        "doc", "copy", F.octet_length("text").alias("size"), F.unhex(F.md5("text")).alias("digest"))
+    first = long_ones.groupBy("digest", "size").agg(
+        F.min(F.struct("doc", "copy")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    later = long_ones.join(first, ["digest", "size"]).where(
+        (F.col("doc") != F.col("first.doc")) | (F.col("copy") != F.col("first.copy")))
+    return stored(later.select("doc", "copy", F.lit(0).alias("pos"), (F.col("size") - LENGTH + 1).cast("int").alias("n")),
+                  "equal-texts")
+
+
 def duplicate_runs(numbered: DataFrame) -> DataFrame:
     """(doc, copy, runs): starts and counts of the windows of each document that also start earlier."""
     ship(numbered.sparkSession)
+    equal = _equal_texts(numbered)
+    numbered = numbered.join(small_side(equal.select("doc", "copy")), ["doc", "copy"], "left_anti")
     total, hot = _hot_anchors(numbered)
     parts = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     found = stored(_match(_scan(numbered, hot, parts)), "anchors")
     anchors = found.where(F.col("kind") == ANCHORS).groupBy("doc", "copy").agg(
         F.collect_list(F.struct("pos", "lo", "hi", "key")).alias("anchors"))
-    segments = _segments(numbered.join(checked_broadcast(anchors), ["doc", "copy"]), parts)
+    segments = _segments(numbered.join(anchors, ["doc", "copy"]), parts)
     runs = _sorted_runs(segments).unionByName(
-        found.where(F.col("kind") == RUNS).select("doc", "copy", "pos", F.col("hi").alias("n")))
+        found.where(F.col("kind") == RUNS).select("doc", "copy", "pos", F.col("hi").alias("n"))).unionByName(equal)
     return stored(runs.groupBy("doc", "copy").agg(F.collect_list(F.struct("pos", "n")).alias("runs")), "runs")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary) for every row."""
     numbered = _numbered(docs.select(F.col(id_col), F.col(text).alias("text")), id_col, "text")
-    marked = numbered.join(checked_broadcast(duplicate_runs(numbered)), ["doc", "copy"], "left")
+    marked = numbered.join(duplicate_runs(numbered), ["doc", "copy"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
