@@ -135,3 +135,28 @@ def test_split_reads_wide_rows_once_without_shuffling_them(spark):
     top = plan.split("InMemoryRelation")[0]
     assert "Union" not in top
     assert "SortMergeJoin" not in top
+
+
+def test_metrics_of_counts_beyond_long_products(spark):
+    """Counts of 1e11 rows: products leave the range of long."""
+    n = 10**11
+    c = spark.createDataFrame([(4 * n, n, n, 4 * n, 10 * n)], "tp long, fp long, fn long, tn long, n long")
+    got = c.select(ev.kappa().alias("k"), ev.accuracy().alias("a"), ev.f1_pos().alias("f")).first()
+    assert abs(got.k - 0.6) < 1e-12 and abs(got.a - 0.8) < 1e-12 and abs(got.f - 0.8) < 1e-12
+
+
+def test_auc_is_the_same_for_any_number_of_buckets(spark):
+    rows = [("a", (i * 37) % 101 / 101.0, int((i * 53) % 7 < 3)) for i in range(700)] + [("b", 0.5, i % 2) for i in range(9)]
+    df = spark.createDataFrame(rows, "level string, score double, y int")
+    want = sorted(map(tuple, ev.auc_scores(df, ["level"], n_buckets=1).collect()))
+    for buckets in (None, 4, 64):
+        assert sorted(map(tuple, ev.auc_scores(df, ["level"], n_buckets=buckets).collect())) == want
+
+
+def test_split_keeps_null_ids_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(sm, "EDGE_BUCKET_ROWS", 2)
+    rows = [(i,) for i in range(300)] + [(None,)] * 5 + [(i,) for i in range(0, 300, 10)]
+    df = spark.createDataFrame(rows, "doc_id long")
+    out = sm.kfold(df, "doc_id", "7", 3)
+    assert out.count() == len(rows)
+    assert out.groupBy("doc_id").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0

@@ -83,7 +83,30 @@ def test_strict_mode_rejects_empty_lexicon_and_unknown_ids(spark):
     with pytest.raises(ValueError):
         Lexicon.from_text(spark, "% only a title\n1 art\n", strict=True)
     with pytest.raises(ValueError):
-        Lexicon.from_text(spark, lex_text([("1", "X")], [("a", ["9"])]), strict=True)
+        Lexicon.from_text(spark, lex_text([("1", "X")], [("a", ["9"])]))
+    loose = Lexicon.from_text(spark, lex_text([("1", "X")], [("a", ["9", "1"])]), strict=False)
+    assert scores(spark, loose, ["a b"]) == {(0, "X"): 50.0}
+
+
+def test_tab_fields_keep_names_and_phrases_whole(spark):
+    text = "%\n1\tPos Emo\n2 Two words\n%\nkind of\t1\ncan't\t1\t2\nglad* 1\n"
+    lex = Lexicon.from_text(spark, text)
+    assert lex.category_names == ["Pos Emo", "Two words"]
+    assert scores(spark, lex, ["kind of", "I can't", "gladly"]) == {
+        (1, "Pos Emo"): 50.0, (1, "Two words"): 50.0, (2, "Pos Emo"): 100.0}
+
+
+def test_lexicon_files_are_merged_in_the_order_of_their_names(spark):
+    from wordloom.session import scratch_path
+
+    path = scratch_path(spark, "lexicon-files")
+    for name, text in (("a.dic", "%\n1 X\n2 Y\n%\nfoo 1\nbar 2\n"), ("b.dic", "%\n1 Z\n2 X\n%\nfoo 1\nbaz 2\n")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\x00").text(f"{path}/{name}")
+    one = Lexicon.read(spark, f"{path}/a.dic")
+    assert scores(spark, one, ["foo bar"]) == {(0, "X"): 50.0, (0, "Y"): 50.0}
+    both = Lexicon.read(spark, f"{path}/*")
+    assert both.category_names == ["X", "Y", "Z"]
+    assert scores(spark, both, ["foo", "bar", "baz"]) == {(0, "Z"): 100.0, (1, "Y"): 100.0, (2, "X"): 100.0}
 
 
 def test_patterns_are_lower_cased_and_punctuation_removed_from_text(spark):
@@ -93,41 +116,26 @@ def test_patterns_are_lower_cased_and_punctuation_removed_from_text(spark):
     assert lx.token_counts(docs(spark, ["“Café” crème!"])).first().n_tokens == 2
 
 
-def _reference_trie_scores(entries, text):
-    """Slow per-token matcher written from the rule, used as the property oracle."""
+def _scores_by_rule(entries, text):
+    """The match rule spelled out: of all entries that fit a token, wildcards come before exact entries,
+    shorter stems before longer ones, later lines before earlier ones."""
     import string
-
-    lexicon = {}
-    for pattern, cats in entries:
-        lexicon[pattern] = cats
-    trie = {}
-    for pattern, cats in lexicon.items():
-        cur = trie
-        for ch in pattern:
-            if ch == "*":
-                cur["*"] = cats
-                break
-            cur = cur.setdefault(ch, {})
-        cur["$"] = cats
-
-    def search(node, tok, i):
-        if "*" in node:
-            return node["*"]
-        if "$" in node and i == len(tok):
-            return node["$"]
-        if i < len(tok) and tok[i] in node:
-            return search(node[tok[i]], tok, i + 1)
-        return []
-
-    toks = [t for t in text.lower().translate({ord(c): None for c in string.punctuation}).split() if t]
-    counts = {}
-    for t in toks:
-        for c in search(trie, t, 0):
-            counts[c] = counts.get(c, 0) + 1
-    return {c: round(100.0 * n / len(toks), 6) for c, n in counts.items()}
-
-
-def test_matches_pure_python_trie_on_random_patterns(spark):
+    from collections import Counter
+
+    tokens = "".join(c for c in text.lower() if c not in string.punctuation).split()
+    hits = Counter()
+    for token in tokens:
+        fitting = []
+        for line, (pattern, cats) in enumerate(entries):
+            stem, star, _ = pattern.partition("*")
+            if token.startswith(stem) if star else token == pattern:
+                fitting.append((not star, len(stem), -line, cats))
+        if fitting:
+            hits.update(min(fitting)[3])
+    return {c: round(100.0 * n / len(tokens), 6) for c, n in hits.items()}
+
+
+def test_matches_the_rule_on_random_patterns(spark):
     rnd = random.Random(7)
     alphabet = "abc"
     cats = [("1", "X"), ("2", "Y"), ("3", "Z")]
@@ -144,7 +152,7 @@ def test_matches_pure_python_trie_on_random_patterns(spark):
         got = scores(spark, lex, texts)
         names = dict(cats)
         for i, t in enumerate(texts):
-            want = _reference_trie_scores([(p, [names[x] for x in ids]) for p, ids in entries], t)
+            want = _scores_by_rule([(p, [names[x] for x in ids]) for p, ids in entries], t)
             have = {c: s for (d, c), s in got.items() if d == i}
             assert have == want, (trial, t)
 

@@ -83,37 +83,6 @@ def test_streaming_scores_equal_batch_scores(spark):
     assert got == want and len(got) > 0
 
 
-def test_workbook_reader_inline_and_shared_strings(spark):
-    import io
-    import zipfile
-
-    from wordloom.sources import workbook as wb
-
-    data = wb.workbook_bytes(["question", "objective", "n"], [["Define <cells> & \"tissues\"", "Remembering", 3],
-                                                              [" leading blank", None, 2.5]])
-    header, rows = wb.parse_workbook(data)
-    assert header == ["question", "objective", "n"]
-    assert rows == [["Define <cells> & \"tissues\"", "Remembering", 3.0], [" leading blank", None, 2.5]]
-    # the shared-string form real spreadsheet programs write
-    buf = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(data)) as src, zipfile.ZipFile(buf, "w") as dst:
-        for name in src.namelist():
-            if name != "xl/worksheets/sheet1.xml":
-                dst.writestr(name, src.read(name))
-        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-        dst.writestr("xl/sharedStrings.xml", f'<sst {ns}><si><t>q</t></si><si><r><t>Ap</t></r><r><t>ply</t></r></si></sst>')
-        dst.writestr("xl/worksheets/sheet1.xml",
-                     f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row>'
-                     f'<row r="2"><c r="A2" t="s"><v>1</v></c></row></sheetData></worksheet>')
-    assert wb.parse_workbook(buf.getvalue()) == (["q"], [["Apply"]])
-    path = scratch_path(spark, "test-wb")
-    df = spark.createDataFrame([(i, f"text {i}", "Applying") for i in range(7)], "item_id long, question string, objective string")
-    wb.write_workbooks(df.coalesce(1), path, rows_per_file=3).agg(F.sum("n_rows")).first()
-    back = wb.read_workbooks(spark, path, ["item_id", "question", "objective"])
-    assert back.select("file").distinct().count() == 3
-    assert sorted((int(r.item_id), r.question) for r in back.collect()) == [(i, f"text {i}") for i in range(7)]
-
-
 def test_reference_grids_expand_and_build_spark_estimators(spark):
     from wordloom.functions.constants import REFERENCE_GRIDS
     from wordloom.operators.models import make_estimator
@@ -147,3 +116,50 @@ def test_rbf_features_read_sparse_vectors_and_equal_the_dense_formula(spark):
     b = rng.uniform(0.0, 2.0 * math.pi, size=8)
     for i, v in rows:
         assert np.allclose(got[i], math.sqrt(2.0 / 8) * np.cos(v.toArray() @ w + b))
+
+
+def test_csv_round_trip_keeps_empty_and_missing_texts_apart(spark):
+    from wordloom.sources import csv as csv_src
+
+    rows = [(1, "", 1.0), (2, None, None), (3, 'a, "b"\n c ', 0.0), (4, "  x", 1.0), (5, "\\N", 1.0)]
+    path = scratch_path(spark, "test-csv")
+    csv_src.write_csv(spark.createDataFrame(rows, "doc_id long, text string, remember double"), path)
+    assert sorted(map(tuple, csv_src.read_csv(spark, path, csv_src.objectives_schema(["remember"])).collect())) == rows
+
+
+def test_naive_bayes_variance_of_close_values(spark):
+    import statistics
+
+    from wordloom.operators import naive_bayes as nb
+
+    values = [1e6, 1e6 + 1e-6, 1e6 + 2e-6, 1e6]
+    feats = spark.createDataFrame([(i, "f", v) for i, v in enumerate(values)] + [(10, "g", 2.0), (0, "g", 4.0)],
+                                  "doc_id long, feature string, value double")
+    targets = spark.createDataFrame([(i, "a", 1) for i in range(4)] + [(10, "a", 0), (11, "a", 0)],
+                                    "doc_id long, level string, y int")
+    model = nb.fit(feats, targets, ["f", "g"], var_smoothing=0.0)
+    got = {(r.y, r.feature): (r["mean"], r["var"]) for r in model.stats.collect()}
+    assert abs(got[1, "f"][1] - statistics.pvariance(values)) < 1e-15
+    assert got[0, "g"] == (1.0, 1.0) and got[1, "g"] == (1.0, 3.0)
+
+
+def test_search_without_rows_gives_no_score(spark):
+    fr = _frame(spark).filter("fold_a <> 1")
+    rows = se.grid_search(fr, ["a"], "logreg", [{"C": 1.0, "max_iter": 5}], 3, parallelism=2)
+    assert [r[5] is None for r in rows] == [False, True, False]
+    best = se.best_params(se.scores_frame(spark, rows)).first()
+    assert best.mean_f1 is not None
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from wordloom.session import ensure_checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master=master)
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))

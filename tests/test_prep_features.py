@@ -88,13 +88,23 @@ def test_readability_zero_without_words(spark):
     got = {r.doc_id: r.ari for r in ft.readability(d).collect()}
     assert got[0] == 0.0
     chars, words, sents = len("Onetwothreefour.Fivesix."), 6, 1
-    assert got[1] == round(4.71 * chars / words + 0.5 * words / sents - 21.43, 6)
+    per_word, per_sentence = round(chars / words, 2), round(words / sents, 2)
+    assert got[1] == round(4.71 * per_word + 0.5 * per_sentence - 21.43, 1)
 
 
 def test_sequence_chunks_cover_whole_text(spark):
     d = spark.createDataFrame([(0, " ".join(f"w{i % 7}" for i in range(130)))], "doc_id long, text string")
-    vocab = ft.fit_sequence_vocab(d, 5)
+    vocab = ft.fit_sequence_vocab(d)
     enc = ft.encode_sequences(d, vocab, 55).orderBy("chunk").collect()
     assert [r.n_real for r in enc] == [55, 55, 20]
     assert all(len(r.input_ids) == 55 for r in enc)
     assert enc[2].input_ids[20:] == [0] * 35
+    assert {i for r in enc for i in r.input_ids} == set(range(2, 9)) | {0}  # every word has an id of its own
+
+
+def test_sequence_ids_follow_count_then_term_over_many_partitions(spark):
+    words = [f"w{i:03d}" for i in range(200) for _ in range(1 + i % 7)]
+    d = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string").repartition(7)
+    got = {r.term: r.id for r in ft.fit_sequence_vocab(d).collect()}
+    want = sorted(set(words), key=lambda w: (-words.count(w), w))
+    assert got == {w: i + 2 for i, w in enumerate(want)}

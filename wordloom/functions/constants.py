@@ -40,7 +40,6 @@ HALVING_RUNGS = 3
 
 # Vocabulary sizes.
 MAX_FEATURES = 1000
-SEQ_VOCAB_SIZE = 30000
 SEQ_MAX_LENGTH = 55
 TOP_FEATURES_PER_LEVEL = 20
 TOP_FEATURE_FREQUENCY = 10

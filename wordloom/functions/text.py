@@ -93,10 +93,17 @@ def readability_parts(col: Column | str) -> tuple[Column, Column, Column]:
     return chars, words, sentences
 
 
+def _half_up(c: Column, scale: float) -> Column:
+    """Rounding by plain double arithmetic, the same in every engine."""
+    return F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+
+
 def automated_readability_index(col: Column | str) -> Column:
-    """4.71 * chars/words + 0.5 * words/sentences - 21.43; 0.0 for a text without words."""
+    """4.71 * chars/words + 0.5 * words/sentences - 21.43, both quotients to two places and the
+    result to one, halves up; 0.0 for a text without words."""
     chars, words, sentences = readability_parts(col)
-    value = F.lit(4.71) * (chars / words) + F.lit(0.5) * (words / sentences) - F.lit(21.43)
+    value = F.lit(4.71) * _half_up(chars / words, 100.0) + F.lit(0.5) * _half_up(words / sentences, 100.0) - F.lit(21.43)
+    value = _half_up(value, 10.0)
     return F.when(words > 0, value).otherwise(F.lit(0.0))
 
 

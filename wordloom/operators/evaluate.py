@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.constants import ROUND_DIGITS
 
 
+# Distinct scores that one window of the score AUC ranks.
+SCORES_PER_BUCKET = 100_000
+
+
 def _r(c: Column, digits: int | None = ROUND_DIGITS) -> Column:
     return F.round(c, digits) if digits is not None else c
 
@@ -45,12 +49,10 @@ def accuracy() -> Column:
 
 
 def kappa() -> Column:
-    tp, fp, fn, tn, n = (F.col(x) for x in ("tp", "fp", "fn", "tn", "n"))
+    # products of counts leave the range of long from some 3e9 rows on
+    tp, fp, fn, tn, n = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn", "n"))
     expected_off = (tn + fp) * (fp + tp) + (fn + tp) * (tn + fn)
-    return F.when(
-        expected_off > 0,
-        F.lit(1.0) - ((fp + fn) * n).cast("double") / expected_off.cast("double"),
-    )
+    return F.when(expected_off > 0, F.lit(1.0) - (fp + fn) * n / expected_off)
 
 
 def auc_hard() -> Column:
@@ -187,7 +189,7 @@ def report_multilabel(df: DataFrame, id_cols: list[str], level_col: str = "level
     )
 
 
-def auc_scores(df: DataFrame, group: list[str], y: str = "y", score: str = "score", n_buckets: int = 256,
+def auc_scores(df: DataFrame, group: list[str], y: str = "y", score: str = "score", n_buckets: int | None = None,
                digits: int | None = ROUND_DIGITS) -> DataFrame:
     """ROC AUC of scores per group; tied scores count one half.
 
@@ -195,7 +197,8 @@ def auc_scores(df: DataFrame, group: list[str], y: str = "y", score: str = "scor
     Distinct scores are collapsed first (partial aggregation).  The running
     sum of negatives is not one window over the whole group: scores are cut
     into ``n_buckets`` order-preserving ranges (approximate quantiles, which
-    only affect balance), a bucket-level prefix sum gives each bucket's offset
+    only affect balance; by default one for every ``SCORES_PER_BUCKET`` distinct
+    scores), a bucket-level prefix sum gives each bucket's offset
     (small table), and each bucket computes its own running sum.
     """
     from pyspark import StorageLevel
@@ -207,7 +210,9 @@ def auc_scores(df: DataFrame, group: list[str], y: str = "y", score: str = "scor
         (F.count(F.lit(1)) - F.sum(F.col(y).cast("long"))).alias("_neg"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
 
-    qs = per.approxQuantile(score, [i / n_buckets for i in range(1, n_buckets)], 0.001) if n_buckets > 1 else []
+    if n_buckets is None:
+        n_buckets = max(16, -(-per.count() // SCORES_PER_BUCKET))
+    qs = per.approxQuantile(score, [i / n_buckets for i in range(1, n_buckets)], 0.25 / n_buckets) if n_buckets > 1 else []
     splits = sorted(set(q for q in qs if q is not None))
     splits = [float("-inf")] + splits + [float("inf")]
     per = per.withColumn("_sd", F.col(score).cast("double"))
@@ -228,7 +233,7 @@ def auc_scores(df: DataFrame, group: list[str], y: str = "y", score: str = "scor
         F.col("_off") + F.coalesce(F.sum("_neg").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
     agg = ranked.groupBy(*group).agg(
-        F.sum(F.col("_pos") * (F.lit(2) * F.col("_below") + F.col("_neg"))).alias("_num"),
+        F.sum(F.col("_pos").cast("double") * (F.lit(2.0) * F.col("_below") + F.col("_neg"))).alias("_num"),
         F.sum("_pos").alias("_p"),
         F.sum("_neg").alias("_n"),
     )

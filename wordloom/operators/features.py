@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import ROUND_DIGITS
 from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..functions.text import automated_readability_index, explode_rows, word_tokens
+from ..session import checked_broadcast, reliable_checkpoint
 
 
 def _r(c: Column, digits: int | None) -> Column:
@@ -311,14 +312,28 @@ def vector_features(docs: DataFrame, state: FeatureState, id_col: str = "doc_id"
 # ----------------------------------------------------------- sequences
 
 
-def fit_sequence_vocab(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
-    """(term, id): ids 2.. by total count desc, term asc; 0 = padding, 1 = unknown."""
+def fit_sequence_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, id) of every term: ids 2.. by total count desc, term asc; 0 = padding, 1 = unknown.
+
+    The terms are sorted by ranges; a term's id is the number of terms in the ranges before plus its place in
+    its own, so only one count per range reaches the driver.
+    """
     totals = explode_rows(docs, [], word_tokens(text_col), "term").groupBy("term").agg(
         F.count(F.lit(1)).alias("total")
     )
-    top = totals.orderBy(F.desc("total"), F.asc("term")).limit(size).collect()
-    spark = docs.sparkSession
-    return spark.createDataFrame([(r["term"], i + 2) for i, r in enumerate(top)], "term string, id int")
+    ordered = totals.repartitionByRange(F.desc("total"), F.asc("term")).sortWithinPartitions(
+        F.desc("total"), F.asc("term")).withColumn("_place", F.monotonically_increasing_id())
+    ordered = reliable_checkpoint(ordered)
+    part = F.shiftright("_place", 33)
+    sizes = {r["p"]: r["n"] for r in ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, first = 2, []
+    for p in sorted(sizes):
+        first.append((p, before))
+        before += sizes[p]
+    starts = docs.sparkSession.createDataFrame(first, "p long, first long")
+    ids = ordered.join(F.broadcast(starts), part == F.col("p"))
+    place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return ids.select("term", (F.col("first") + place).cast("int").alias("id"))
 
 
 def encode_sequences(docs: DataFrame, vocab: DataFrame, max_length: int, id_col: str = "doc_id",
@@ -326,7 +341,7 @@ def encode_sequences(docs: DataFrame, vocab: DataFrame, max_length: int, id_col:
     """(id, chunk, input_ids, n_real): the whole text as consecutive chunks of ``max_length`` ids,
     each padded with 0 to ``max_length``; ``n_real`` is the attention-mask length."""
     toks = explode_rows(docs, [F.col(id_col)], word_tokens(text_col), ("p", "term"))
-    ided = toks.join(F.broadcast(vocab), "term", "left").select(
+    ided = toks.join(checked_broadcast(vocab), "term", "left").select(
         F.col(id_col), (F.col("p") / max_length).cast("int").alias("chunk"), "p",
         F.coalesce(F.col("id"), F.lit(1)).alias("id"),
     )

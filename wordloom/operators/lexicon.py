@@ -58,7 +58,7 @@ class Lexicon:
         return replace(self, treebank=True)
 
     @classmethod
-    def from_tables(cls, tables: LexiconTables, strict: bool = False) -> "Lexicon":
+    def from_tables(cls, tables: LexiconTables, strict: bool = True) -> "Lexicon":
         """Resolve entries with Spark, then keep the (checked, small) result as local relations.
 
         One job parses and resolves the file; if the entry count is within the
@@ -71,18 +71,24 @@ class Lexicon:
 
         if strict:
             check_not_empty(tables)
-        ec = entry_categories(tables, strict=strict).drop("source")
-        res = resolved_entries(tables).drop("source", "ids")
-        cats_per_entry = ec.groupBy("entry_no").agg(
+        # categories in the order of their files and lines; one name is one category
+        places = {n: i for i, n in enumerate(dict.fromkeys(
+            r["category"] for r in tables.categories.orderBy("source", "pos").select("category").collect()))}
+        spark = tables.entries.sparkSession
+        categories = spark.createDataFrame(list(places.items()), "category string, pos int")
+        named = LexiconTables(tables.categories.drop("pos").join(categories, "category"), tables.entries)
+        ec = entry_categories(named, strict=strict)
+        res = resolved_entries(tables).drop("ids")
+        cats_per_entry = ec.groupBy("source", "entry_no").agg(
             F.sort_array(F.collect_list(F.struct("id_pos", "category", "cat_pos"))).alias("c")
-        ).select("entry_no", F.col("c.category").alias("cats"), F.col("c.cat_pos").alias("cat_poss"))
-        entries = res.join(cats_per_entry, "entry_no", "left").select(
+        ).select("source", "entry_no", F.col("c.category").alias("cats"), F.col("c.cat_pos").alias("cat_poss"))
+        entries = res.join(cats_per_entry, ["source", "entry_no"], "left").select(
             "entry_no", "pattern", "stem", "is_prefix",
             F.coalesce(F.col("cats"), F.array().cast("array<string>")).alias("cats"),
             F.coalesce(F.col("cat_poss"), F.array().cast("array<int>")).alias("cat_poss"),
         )
-        categories = tables.categories.drop("source")
-        spark = entries.sparkSession
+        ids = tables.categories.groupBy("category").agg(F.min("cat_id").alias("cat_id"))
+        categories = categories.join(ids, "category").select("cat_id", "category", "pos")
         # the resolved entries are computed once: counted, then (within the bound) read from the cache
         entries = entries.cache()
         categories = categories.cache()
@@ -121,11 +127,11 @@ class Lexicon:
         return cls.from_tables(parse_lexicon(lexicon_text_frame(spark, builtin_lexicon_text())))
 
     @classmethod
-    def from_text(cls, spark: SparkSession, text: str, strict: bool = False, lowercase_patterns: bool = True) -> "Lexicon":
+    def from_text(cls, spark: SparkSession, text: str, strict: bool = True, lowercase_patterns: bool = True) -> "Lexicon":
         return cls.from_tables(parse_lexicon(lexicon_text_frame(spark, text), lowercase_patterns), strict=strict)
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, strict: bool = False, lowercase_patterns: bool = True) -> "Lexicon":
+    def read(cls, spark: SparkSession, path: str, strict: bool = True, lowercase_patterns: bool = True) -> "Lexicon":
         return cls.from_tables(parse_lexicon(read_lexicon_files(spark, path), lowercase_patterns), strict=strict)
 
     def _side(self, df: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Gaussian naive Bayes as relational aggregates (M1).
 
-Fit: per (level, y, feature) Σx and Σx² over the *non-zero* entries of a long
-feature table, plus the class sizes; zeros enter only through the counts, so
-sparse features cost nothing.  mean = Σx/n, var = Σx²/n − mean² + ε, with
+Fit: per (level, y, feature) count k, mean m and population variance v of the *non-zero* entries
+of a long feature table, plus the class sizes; zeros enter only through the counts, so
+sparse features cost nothing: mean = m k / n and var = k v / n + k (n − k) m² / n² + ε, which
+has no difference of large numbers, with
 ε = var_smoothing × the largest feature variance over all training rows.
 
 Predict: joint log-likelihood = log prior − ½ Σ_f log(2π var) − ½ Σ_f mean²/var
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ROUND_DIGITS
@@ -29,6 +30,17 @@ class GaussianNBModel:
     epsilon: float
 
 
+def _moments() -> list[Column]:
+    """Count, mean and population variance of the non-zero entries."""
+    return [F.count("value").alias("k"), F.avg("value").alias("m"), F.var_pop("value").alias("v")]
+
+
+def _with_zeros(n: Column) -> tuple[Column, Column]:
+    """Mean and variance of ``n`` rows of which ``k`` have mean ``m`` and variance ``v``, the others 0."""
+    k, m, v = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("k", "m", "v"))
+    return m * k / n, k * v / n + k * (n - k) / (n * n) * m * m
+
+
 def fit(features: DataFrame, targets: DataFrame, feature_names: list[str], id_col: str = "doc_id",
         var_smoothing: float = 1e-9) -> GaussianNBModel:
     """``features`` (id, feature, value) non-zero entries; ``targets`` (id, level, y) training rows."""
@@ -37,26 +49,17 @@ def fit(features: DataFrame, targets: DataFrame, feature_names: list[str], id_co
     feats = features.join(ids, id_col, "left_semi")
     # ε from the variance of every feature over all training rows (zeros included)
     n_all = ids.count()
-    fstats = feats.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("s2"))
-    max_var = 0.0
-    for r in fstats.collect():  # one row per feature: bounded by the feature count
-        m = r["s"] / n_all
-        max_var = max(max_var, r["s2"] / n_all - m * m)
+    fstats = feats.groupBy("feature").agg(*_moments())
+    max_var = fstats.agg(F.max(_with_zeros(F.lit(float(n_all)))[1])).first()[0] or 0.0
     eps = var_smoothing * max_var
 
     sizes = tgt.groupBy("level", "y").agg(F.count(F.lit(1)).alias("n_c"))
-    sums = feats.join(tgt, id_col).groupBy("level", "y", "feature").agg(
-        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("s2")
-    )
+    sums = feats.join(tgt, id_col).groupBy("level", "y", "feature").agg(*_moments())
     # (level, y) × feature grid without a join: the feature names are a literal array
     grid = sizes.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in feature_names])))
+    mean, var = _with_zeros(F.col("n_c").cast("double"))
     stats = grid.join(sums, ["level", "y", "feature"], "left").select(
-        "level", "y", "feature", "n_c",
-        (F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n_c")).alias("mean"),
-        F.coalesce(F.col("s2"), F.lit(0.0)).alias("_s2"),
-    ).select(
-        "level", "y", "feature", "n_c", "mean",
-        (F.col("_s2") / F.col("n_c") - F.col("mean") * F.col("mean") + F.lit(eps)).alias("var"),
+        "level", "y", "feature", "n_c", mean.alias("mean"), (var + F.lit(eps)).alias("var"),
     ).cache()
     totals = sizes.groupBy("level").agg(F.sum("n_c").alias("n_l"))
     consts = stats.groupBy("level", "y", "n_c").agg(

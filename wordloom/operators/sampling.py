@@ -30,7 +30,7 @@ EDGE_BUCKET_ROWS = 200_000
 
 
 def hash_key(id_col: str, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
 def ceil_share(n: Column, share: Fraction) -> Column:
@@ -85,7 +85,7 @@ def _join_on_stratum(left: DataFrame, right: DataFrame, strata: list[str], keys:
                            *[c for c in right.columns if c not in strata and c not in keys])
     cond = None
     for c in keys:
-        e = left[c] == F.col(f"_r{c}")
+        e = left[c].eqNullSafe(F.col(f"_r{c}"))
         cond = e if cond is None else cond & e
     for i, c in enumerate(strata):
         cond = cond & left[c].eqNullSafe(F.col(f"_s{i}"))
@@ -138,7 +138,10 @@ def hash_parts(
     p = F.lit(0)
     for i in range(n_ts):
         p = p + F.when(F.col("_r") > F.col(f"_t{i}"), 1).otherwise(0)
-    edge_parts = checked_broadcast(edge.select(id_col, *strata, p.cast("int").alias("_ep")))
+    # rows that share an id share the part of the first of them
+    edge_parts = edge.select(id_col, *strata, p.cast("int").alias("_ep")).groupBy(id_col, *strata).agg(
+        F.min("_ep").alias("_ep"))
+    edge_parts = checked_broadcast(edge_parts)
 
     # every row: bucket table (wholesale part) then the edge table (exact part where the bucket straddles)
     keyed = df.withColumn("_b", bucket)

@@ -26,18 +26,24 @@ def expand_grid(grid: dict) -> list[dict]:
     return [dict(zip(names, values)) for values in itertools.product(*(grid[n] for n in names))]
 
 
-def _f1(model, val: DataFrame, label: str) -> float:
+def _f1(model, val: DataFrame, label: str) -> float | None:
     pred = model.transform(val).select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
     row = confusion(pred, []).select(f1_pos().alias("f1")).first()
-    return float(row["f1"]) if row is not None and row["f1"] is not None else 0.0
+    return float(row["f1"]) if row is not None and row["f1"] is not None else None
 
 
-def _evaluate(frame: DataFrame, level: str, kind: str, params: dict, fold_col: str, fold: int) -> float:
+def _mean(scores: list[float | None]) -> float:
+    """Mean of the folds that have a score; candidates without any come last."""
+    known = [s for s in scores if s is not None]
+    return sum(known) / len(known) if known else -math.inf
+
+
+def _evaluate(frame: DataFrame, level: str, kind: str, params: dict, fold_col: str, fold: int) -> float | None:
     train = frame.filter(F.col(fold_col) != fold)
     val = frame.filter(F.col(fold_col) == fold)
     n = train.count()
     if n == 0 or val.limit(1).count() == 0:
-        return 0.0  # a rung too small to hold this fold: no score rather than a failed fit
+        return None  # a rung too small to hold this fold has no score, and no part in the mean
     est = make_estimator(kind, params, n, level)
     return _f1(est.fit(train), val, level)
 
@@ -69,7 +75,7 @@ def halving_search(frame: DataFrame, levels: list[str], kind: str, grid: list[di
             per.setdefault((lv, params_key(p)), []).append(s)
         if r < rungs - 1:
             for lv in levels:
-                ranked = sorted(alive[lv], key=lambda p: (-sum(per[(lv, params_key(p))]) / k, params_key(p)))
+                ranked = sorted(alive[lv], key=lambda p: (-_mean(per[(lv, params_key(p))]), params_key(p)))
                 alive[lv] = ranked[: max(1, math.ceil(len(ranked) / factor))]
     return out
 
@@ -86,6 +92,6 @@ def best_params(scores: DataFrame, digits: int | None = 6) -> DataFrame:
     last = scores.groupBy("level", "model").agg(F.max("rung").alias("_last"))
     s = scores.join(last, ["level", "model"]).filter(F.col("rung") == F.col("_last"))
     mean = s.groupBy("level", "model", "params").agg(F.avg("f1").alias("mean_f1"))
-    w = Window.partitionBy("level").orderBy(F.desc("mean_f1"), F.asc("params"))
+    w = Window.partitionBy("level").orderBy(F.desc_nulls_last("mean_f1"), F.asc("params"))
     top = mean.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
     return top.select("level", "model", "params", (F.round("mean_f1", digits) if digits is not None else F.col("mean_f1")).alias("mean_f1"))

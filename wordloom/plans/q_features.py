@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.constants import (
     MAX_FEATURES,
     SEQ_MAX_LENGTH,
-    SEQ_VOCAB_SIZE,
     SPLIT_SEED,
     TEST_SHARE,
 )
@@ -117,8 +116,13 @@ def sql_ari(expr: str = "text") -> str:
     piece_words = f"len(list_filter(string_split_regex(p, {q(BLANK_RUN)}), lambda w: regexp_matches(w, {has})))"
     sents = f"greatest(1, len(list_filter(string_split_regex(coalesce({expr}, ''), '[.!?]+'), lambda p: {piece_words} > 2)))"
     chars = f"length(regexp_replace(coalesce({expr}, ''), {q(BLANK_RUN)}, '', 'g'))"
-    return (f"CASE WHEN {words} > 0 THEN 4.71 * (CAST({chars} AS DOUBLE) / CAST({words} AS DOUBLE)) "
-            f"+ 0.5 * (CAST({words} AS DOUBLE) / CAST({sents} AS DOUBLE)) - 21.43 ELSE 0.0 END")
+    def half_up(x: str, scale: float) -> str:
+        return f"(CAST(floor(({x}) * CAST({scale} AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS DOUBLE) / CAST({scale} AS DOUBLE))"
+
+    per_word = half_up(f"CAST({chars} AS DOUBLE) / CAST({words} AS DOUBLE)", 100.0)
+    per_sentence = half_up(f"CAST({words} AS DOUBLE) / CAST({sents} AS DOUBLE)", 100.0)
+    value = half_up(f"CAST(4.71 AS DOUBLE) * {per_word} + CAST(0.5 AS DOUBLE) * {per_sentence} - CAST(21.43 AS DOUBLE)", 10.0)
+    return f"CASE WHEN {words} > 0 THEN {value} ELSE CAST(0.0 AS DOUBLE) END"
 
 
 # ----------------------------------------------------------------- queries
@@ -262,8 +266,7 @@ def feat_names(spark, sf_dir):
     f"""WITH dt AS (SELECT doc_id, {sql_word_tokens()} AS toks FROM documents),
 sv AS (
   SELECT term, CAST(row_number() OVER (ORDER BY total DESC, term) + 1 AS INTEGER) AS id
-  FROM (SELECT term, count(*) AS total FROM (SELECT unnest(toks) AS term FROM dt) GROUP BY term
-        ORDER BY total DESC, term LIMIT {SEQ_VOCAB_SIZE})),
+  FROM (SELECT term, count(*) AS total FROM (SELECT unnest(toks) AS term FROM dt) GROUP BY term)),
 ps AS (SELECT doc_id, unnest(range(0, len(toks))) AS p, unnest(toks) AS term FROM dt),
 ided AS (SELECT doc_id, p // {SEQ_MAX_LENGTH} AS chunk, p, coalesce(sv.id, 1) AS id FROM ps LEFT JOIN sv ON sv.term = ps.term)
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk,
@@ -274,6 +277,6 @@ FROM ided GROUP BY doc_id, chunk""",
 )
 def seq_encode_pad(spark, sf_dir):
     docs = views.objectives(spark, sf_dir).select("doc_id", "text")
-    vocab = ft.fit_sequence_vocab(docs, SEQ_VOCAB_SIZE)
+    vocab = ft.fit_sequence_vocab(docs)
     enc = ft.encode_sequences(docs, vocab, SEQ_MAX_LENGTH)
     return enc.select("doc_id", "chunk", F.array_join("input_ids", " ").alias("input_ids"), "n_real")

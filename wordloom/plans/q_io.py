@@ -11,7 +11,6 @@ from ..operators import prep
 from ..session import read_table, scratch_path
 from ..sources import csv as csv_src
 from ..sources import persist
-from ..sources import workbook as wb
 from ..streaming import lexicon_stream
 from . import views
 from .q_features import feature_state, split_docs, sql_feature_ctes, sql_ftoks
@@ -23,14 +22,14 @@ from .sql_common import sql_lex_match
 
 @register(
     "src_csv_roundtrip",
-    f"WITH {views.sql_objectives()} SELECT doc_id, length(text) AS text_len, "
+    f"WITH {views.sql_objectives()} SELECT doc_id, length(text) AS text_len, md5(text) AS text_md5, "
     + ", ".join(ql(lv) for lv in LEVELS) + " FROM v_objectives",
 )
 def src_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "objectives-csv")
     csv_src.write_csv(views.objectives(spark, sf_dir), path)
     back = csv_src.read_csv(spark, path, csv_src.objectives_schema(LEVELS))
-    return back.select("doc_id", F.length("text").cast("long").alias("text_len"), *LEVELS)
+    return back.select("doc_id", F.length("text").cast("long").alias("text_len"), F.md5("text").alias("text_md5"), *LEVELS)
 
 
 @register("src_head_n", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10")
@@ -82,21 +81,6 @@ def feat_persist_roundtrip(spark, sf_dir):
     return rows.join(F.broadcast(nf), "split").select("level", "split", "n_rows", "n_features")
 
 
-@register(
-    "src_workbook_rows",
-    "SELECT event_id AS item_id, props AS question, event_type AS objective FROM events",
-)
-def src_workbook_rows(spark, sf_dir):
-    """Question-bank rows written as workbooks by Spark tasks, then read back as a many-file source."""
-    bank = read_table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("item_id"), F.col("props").alias("question"), F.col("event_type").alias("objective")
-    )
-    path = scratch_path(spark, "workbooks")
-    wb.write_workbooks(bank, path).agg(F.sum("n_rows")).first()
-    rows = wb.read_workbooks(spark, path, ["item_id", "question", "objective"])
-    return rows.select(F.col("item_id").cast("long").alias("item_id"), "question", "objective")
-
-
 @register("batch_infer_udf")
 def batch_infer_udf(spark, sf_dir):
     weights = {tok: 0.5 for tok in LEVEL_TOKENS.values()}

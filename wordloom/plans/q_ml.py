@@ -199,7 +199,8 @@ def search_best_params(spark, sf_dir):
 def score_two_sets(spark, sf_dir):
     frame = model_frame(spark, sf_dir)
     fitted = fit_all_levels(frame, "logreg", LOGREG)
-    test = predict_all(fitted, _test(frame)).withColumn("dataset", F.lit("test"))
+    test = predict_all(fitted, _test(frame)).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn(
+        "dataset", F.lit("test"))
     second = predict_all(fitted, second_frame(spark, sf_dir), id_col="item_id").withColumnRenamed(
         "item_id", "doc_id").withColumn("dataset", F.lit("second"))
     both = test.unionByName(second)
@@ -217,7 +218,8 @@ def train_levels_report(spark, sf_dir):
     for kind, params in (("logreg", LOGREG), ("svm", SVM)):
         fitted = fit_all_levels(frame, kind, params)
         fit_rows += [(kind, f.level, float(f.fit_seconds)) for f in fitted]
-        parts.append(predict_all(fitted, _test(frame)).withColumn("dataset", F.lit("test")).withColumn("model", F.lit(kind)))
+        parts.append(predict_all(fitted, _test(frame)).withColumn("doc_id", F.col("doc_id").cast("string"))
+                     .withColumn("dataset", F.lit("test")).withColumn("model", F.lit(kind)))
         parts.append(
             predict_all(fitted, sec, id_col="item_id").withColumnRenamed("item_id", "doc_id")
             .withColumn("dataset", F.lit("second")).withColumn("model", F.lit(kind))

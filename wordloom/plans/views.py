@@ -3,12 +3,12 @@
 ``v_objectives``  documents + six labels: 1.0 if the word tokens of the text
                   contain the level's token, else null.
 ``v_bank``        events as a question bank: item_id, objective.
-``v_second``      conversations as the second test set: item_id, text.
+``v_second``      conversations as the second test set: item_id = ``conv_id:turn``, text.
 ``v_gold``        labels unpivoted to (doc_id, level, y).
 ``v_pred``        rule predictions per (doc_id, level) over the *whole* text:
                   k = word tokens that start with the level's token and are
                   longer than it; yhat = k > 0; score = k / (k + 1).
-``v_logits``      embeddings: first six elements as doubles.
+``v_logits``      embeddings: all elements as doubles.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def second_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read_table(spark, sf_dir, "conversations")
-    return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text")
+    return conv.select(F.concat_ws(":", "conv_id", "turn").alias("item_id"), "text")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, sf_dir, "embeddings")
     return emb.select(
         "vec_id",
-        F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("logits"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("logits"),
     )
 
 
@@ -114,7 +114,7 @@ def sql_bank() -> str:
 
 
 def sql_second() -> str:
-    return "v_second AS (SELECT conv_id * 1000 + turn AS item_id, text FROM conversations)"
+    return "v_second AS (SELECT conv_id || ':' || turn AS item_id, text FROM conversations)"
 
 
 def sql_gold() -> str:
@@ -145,4 +145,4 @@ v_pred AS (
 
 
 def sql_logits() -> str:
-    return "v_logits AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings)"
+    return "v_logits AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings)"

@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local") or "cluster" in sc.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     # Only reached in local runs (tests, bench): nothing on a cluster relies on it.
     local_dir = tempfile.mkdtemp(prefix="wordloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local_dir)

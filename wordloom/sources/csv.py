@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+# A missing value in the file; an empty text is an empty field, so the two come back apart.
+NULL_MARK = "\u001fnull\u001f"
+# Multi-line files are read by one task each, so their size is bounded when they are written.
+MAX_RECORDS_PER_FILE = 100_000
+
+
 def objectives_schema(levels: list[str], id_col: str = "doc_id", text_col: str = "text") -> T.StructType:
     return T.StructType(
         [T.StructField(id_col, T.LongType()), T.StructField(text_col, T.StringType())]
@@ -28,6 +34,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", False)
         .option("multiLine", True)
+        .option("nullValue", NULL_MARK)
+        .option("emptyValue", "")
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -40,6 +48,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("quote", '"')
         .option("escape", '"')
         .option("quoteAll", True)
+        .option("nullValue", NULL_MARK)
+        .option("emptyValue", "")
+        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

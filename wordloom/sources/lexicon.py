@@ -7,7 +7,10 @@ Layout::
     %
     <pattern> <id> <id>…  one entry per line; ``stem*`` matches every token starting with stem
 
-Fields are split on blanks or tabs.  Parsing is a Spark plan over the file
+A line with a tab is split on tabs, so names and patterns may hold blanks; other lines are split on
+blanks, and the name is the rest of the line.  Patterns lose the punctuation that texts lose
+(``can't`` becomes ``cant``), but for ``*``.  Several files are read in the order of their names:
+categories of one name are one, and of entries with one stem the last wins.  Parsing is a Spark plan over the file
 text: ``wholetext`` read → array of lines → section number from the positions
 of the ``%`` lines → ``posexplode``.  A lexicon is a hand-written word list
 (kilobytes), so both result tables are small and later broadcast after a
@@ -26,6 +29,8 @@ _HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 BUILTIN_LEXICON = os.path.join(_HERE, "resources", "levels.dic")
 
 _FIELD_SEP = "[ \\t]+"
+# ASCII punctuation without the star.
+PATTERN_PUNCT_CLASS = "[!-)+-/:-@\\[-`{-~]"
 _EDGE_BLANKS = "^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$"
 
 
@@ -79,7 +84,9 @@ def parse_lexicon(files: DataFrame, lowercase_patterns: bool = True) -> LexiconT
         "line_pos",
         "line",
         F.size(F.filter(F.col("marks"), lambda m: m <= F.col("line_pos"))).alias("section"),
-        F.split(F.col("line"), _FIELD_SEP).alias("parts"),
+        F.when(F.col("line").contains("\t"), F.transform(
+            F.split(F.col("line"), "\t"), lambda x: F.regexp_replace(x, _EDGE_BLANKS, "")))
+        .otherwise(F.split(F.col("line"), _FIELD_SEP)).alias("parts"),
     ).filter(~F.startswith(F.col("line"), F.lit("%")))
 
     # Blank lines were removed before numbering, so the category lines directly follow the first
@@ -87,18 +94,24 @@ def parse_lexicon(files: DataFrame, lowercase_patterns: bool = True) -> LexiconT
     categories = exploded.filter(F.col("section") == 1).select(
         "source",
         F.col("parts")[0].alias("cat_id"),
-        F.col("parts")[1].alias("category"),
+        F.array_join(F.filter(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), lambda x: x != ""), " ")
+        .alias("category"),
         (F.col("line_pos") - F.element_at("marks", 1) - 1).alias("pos"),
     )
 
-    pattern = F.col("parts")[0]
+    bare = F.regexp_replace(F.col("parts")[0], PATTERN_PUNCT_CLASS, "")
+    # a pattern of nothing but punctuation is a mark of the tokenizer's own, as its quote tokens
+    pattern = F.when(bare == "", F.col("parts")[0]).otherwise(bare)
     if lowercase_patterns:
         pattern = F.lower(pattern)
     entries = exploded.filter(F.col("section") == 2).select(
         "source",
         F.col("line_pos").alias("entry_no"),
         pattern.alias("pattern"),
-        F.slice(F.col("parts"), 2, F.greatest(F.size("parts") - 1, F.lit(0))).alias("ids"),
+        # ids of a tab-separated line may be set apart by blanks as well
+        F.filter(F.flatten(F.transform(
+            F.slice(F.col("parts"), 2, F.greatest(F.size("parts") - 1, F.lit(0))), lambda x: F.split(x, _FIELD_SEP))),
+            lambda x: x != "").alias("ids"),
     ).select(
         "source",
         "entry_no",
@@ -111,20 +124,21 @@ def parse_lexicon(files: DataFrame, lowercase_patterns: bool = True) -> LexiconT
 
 
 def resolved_entries(tables: LexiconTables) -> DataFrame:
-    """Entries after the trie's overwrite rule: one per (source, is_prefix, stem), the last line wins.
+    """Entries after the overwrite rule: one per (is_prefix, stem), the last line of the last file wins.
 
-    Two wildcard patterns with the same stem collide in the trie (text after
-    the first ``*`` is ignored); a repeated exact pattern is a dict overwrite.
+    Two wildcard patterns with the same stem collide (text after the first ``*`` is ignored), as do repeated
+    exact patterns.
     """
     e = tables.entries
-    last = e.groupBy("source", "is_prefix", "stem").agg(F.max("entry_no").alias("entry_no"))
-    return e.join(last, ["source", "is_prefix", "stem", "entry_no"])
+    last = e.groupBy("is_prefix", "stem").agg(F.max(F.struct("source", "entry_no")).alias("last"))
+    return e.join(last.select("is_prefix", "stem", "last.source", "last.entry_no"),
+                  ["source", "is_prefix", "stem", "entry_no"])
 
 
-def entry_categories(tables: LexiconTables, strict: bool = False) -> DataFrame:
+def entry_categories(tables: LexiconTables, strict: bool = True) -> DataFrame:
     """(source, entry_no, pattern, stem, is_prefix, category, cat_pos) for the resolved entries.
 
-    An id without a category is an error in strict mode and dropped otherwise.
+    An id without a category is an error; with ``strict=False`` it is dropped.
     """
     e = resolved_entries(tables).select(
         "source", "entry_no", "pattern", "stem", "is_prefix", F.posexplode("ids").alias("id_pos", "cat_id")
