@@ -92,6 +92,9 @@ def test_reference_grids_expand_and_build_spark_estimators(spark):
     assert sizes == {"nb": 3, "svm": 24, "logreg": 54, "rf": 324, "gbt": 24}
     first = expand_grid(REFERENCE_GRIDS["logreg"])[0]
     assert first == {"penalty": "l1", "C": 0.1, "solver": "saga", "tol": 0.01, "max_iter": 200}
+    different = {k: len(md.distinct_candidates(k, expand_grid(g))) for k, g in REFERENCE_GRIDS.items()}
+    # no penalty: C has no part; min_samples_split has none, "auto" is "sqrt"; linear and polynomial kernels have no gamma
+    assert different == {"nb": 3, "svm": 4 + 4 + 8, "logreg": 42, "rf": 54, "gbt": 24}
     for kind in ("logreg", "rf", "gbt"):
         for p in expand_grid(REFERENCE_GRIDS[kind]):
             make_estimator(kind, p, 1000, "remember")
@@ -163,3 +166,43 @@ def test_checkpoint_folder_is_asked_for_on_a_cluster():
         sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master=master)
         with pytest.raises(RuntimeError):
             ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_unknown_parameters_are_an_error():
+    import pytest
+
+    with pytest.raises(ValueError):
+        md.make_estimator("logreg", {"C": 1.0, "gama": 2}, 10, "a")
+
+
+def test_search_kinds_fit_what_they_name(spark):
+    """A ring is no halfplane: the rbf candidate separates it, the linear one does not; naive Bayes does too."""
+    import math
+
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", VectorUDT()),
+                           T.StructField("a", T.DoubleType()), T.StructField("fold_a", T.IntegerType())])
+    rows = []
+    for i in range(90):
+        r, t = (0.3, i * 0.7) if i % 2 else (2.0, i * 0.7)
+        rows.append((i, Vectors.dense([r * math.cos(t), r * math.sin(t)]), float(i % 2), i % 3))
+    fr = spark.createDataFrame(rows, schema).cache()
+    grid = [{"C": 10.0, "kernel": "linear", "max_iter": 20}, {"C": 10.0, "kernel": "rbf", "gamma": "scale", "max_iter": 20}]
+    scores = {}
+    for _, kind, params, _, _, f1 in se.grid_search(fr, ["a"], "svm", grid, 3, parallelism=2):
+        scores.setdefault("rbf" in params, []).append(f1)
+    assert min(scores[True]) > 0.95 > max(scores[False])
+    best = se.tune(fr, ["a"], "nb", [{"var_smoothing": 1e-9}], 3)[0]
+    out = md.predict_level(best, fr, keep=["fold_a"])
+    assert out.where("y = yhat").count() >= 85
+
+
+def test_predictions_meet_gold_by_key(spark):
+    from wordloom.operators import evaluate as ev
+
+    preds = spark.createDataFrame([(1, "a", 1, 0), (2, "a", 0, 0), (3, "a", 1, 0)], "doc_id long, level string, yhat int, y int")
+    gold = spark.createDataFrame([(2, "a", 0), (1, "a", 1), (9, "a", 1)], "doc_id long, level string, y int")
+    got = ev.with_gold(preds, gold, ["doc_id", "level"])
+    assert sorted((r.doc_id, r.yhat, r.y) for r in got.collect()) == [(1, 1, 1), (2, 0, 0)]

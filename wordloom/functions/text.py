@@ -39,7 +39,7 @@ def treebank_rules(text: Column) -> Column:
     for a, b in TREEBANK_FUSED:
         text = F.regexp_replace(text, f"\\b({a})({b})\\b", "$1 $2")
     for a, b in TREEBANK_FUSED_BEFORE_BLANK:
-        text = F.regexp_replace(text, f"\\b({a})({b})(?=[ \\t\\n\\r\\f\\x0B])", "$1 $2")
+        text = F.regexp_replace(text, f"\\b({a})({b})([ \\t\\n\\r\\f\\x0B])", "$1 $2$3")
     for ch, rep in TREEBANK_QUOTES:
         text = F.regexp_replace(text, ch, rep)
     return text

@@ -74,6 +74,11 @@ def f1_neg() -> Column:
     return _div0(F.lit(2) * tn, F.lit(2) * tn + fp + fn)
 
 
+def with_gold(predictions: DataFrame, gold: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
+    """Predictions joined with the gold labels by key; a prediction without a label has no part."""
+    return predictions.drop(y).join(gold.select(*keys, y), keys)
+
+
 def headline(df: DataFrame, group: list[str], y: str = "y", yhat: str = "yhat",
              digits: int | None = ROUND_DIGITS) -> DataFrame:
     """Accuracy, kappa, hard AUC and F1 per group — the shape of the published table."""

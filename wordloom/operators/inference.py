@@ -36,9 +36,11 @@ def keyword_scorer_factory(weights: dict[str, float], bias: float, text_col: str
     """Toy scorer: logistic of weighted keyword counts (stands in for a loaded model)."""
 
     def factory():
-        import re
+        import regex
 
-        word = re.compile(r"\w{2,}", re.UNICODE)
+        from ..functions.text import WORD_TOKEN
+
+        word = regex.compile(WORD_TOKEN)
 
         def score(frame: pd.DataFrame) -> np.ndarray:
             out = np.empty(len(frame))

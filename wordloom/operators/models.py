@@ -27,6 +27,52 @@ from pyspark.sql import types as T
 MAX_TREE_DEPTH = 30
 
 
+_SVM_PARAMS = {"C", "gamma", "kernel", "max_iter", "tol"}
+KNOWN_PARAMS = {
+    "svm": _SVM_PARAMS, "svm_rbf": _SVM_PARAMS, "svm_poly": _SVM_PARAMS,
+    "logreg": {"penalty", "C", "solver", "tol", "max_iter"},
+    "rf": {"n_estimators", "max_depth", "max_features", "min_samples_split", "min_samples_leaf", "bootstrap"},
+    "gbt": {"gamma", "learning_rate", "max_depth", "n_estimators"},
+    "nb": {"var_smoothing"},
+}
+KERNEL_KINDS = {"linear": "svm", "rbf": "svm_rbf", "poly": "svm_poly"}
+RBF_COMPONENTS = 128
+POLY_COMPONENTS = 12
+
+
+def kind_of(kind: str, params: dict) -> str:
+    """The kind that a parameter map asks for: the SVM's kernel names a feature map."""
+    return KERNEL_KINDS[params["kernel"]] if kind == "svm" and "kernel" in params else kind
+
+
+def effective(kind: str, params: dict) -> tuple:
+    """What of a candidate Spark's estimators tell apart; equal tuples fit equal models."""
+    kind = kind_of(kind, params)
+    p = dict(params)
+    c = float(p.get("C", 1.0))
+    if kind == "logreg":
+        reg = None if p.get("penalty", "l2") in (None, "none") else (p.get("penalty", "l2"), c)
+        return kind, reg, float(p.get("tol", 1e-6)), int(p.get("max_iter", 100))
+    if kind == "rf":
+        depth = p.get("max_depth")
+        return (kind, int(p.get("n_estimators", 100)), MAX_TREE_DEPTH if depth is None else int(depth),
+                str(p.get("max_features", "sqrt")).replace("auto", "sqrt"), int(p.get("min_samples_leaf", 1)),
+                bool(p.get("bootstrap", True)))
+    if kind == "svm_rbf":
+        return kind, c, p.get("gamma", "scale"), int(p.get("max_iter", 100))
+    if kind in ("svm", "svm_poly"):
+        return kind, c, int(p.get("max_iter", 100))
+    return (kind, *sorted(p.items()))
+
+
+def distinct_candidates(kind: str, grid: list[dict]) -> list[dict]:
+    """``grid`` without candidates that fit the same model as an earlier one."""
+    first: dict[tuple, dict] = {}
+    for p in grid:
+        first.setdefault(effective(kind, p), p)
+    return list(first.values())
+
+
 def params_key(params: dict) -> str:
     """Stable text form of a parameter map (the ``params`` column of search tables)."""
     return json.dumps(params, sort_keys=True, separators=(",", ":"))
@@ -42,6 +88,8 @@ def make_estimator(kind: str, params: dict, n_train: int, label_col: str, featur
     )
 
     p = dict(params)
+    if kind in KNOWN_PARAMS and (unknown := set(p) - KNOWN_PARAMS[kind]):
+        raise ValueError(f"unknown parameters of {kind}: {sorted(unknown)}")
     if kind in ("svm", "svm_rbf", "svm_poly"):
         c = float(p.get("C", 1.0))
         return LinearSVC(
@@ -66,6 +114,8 @@ def make_estimator(kind: str, params: dict, n_train: int, label_col: str, featur
             minInstancesPerNode=int(p.get("min_samples_leaf", 1)), bootstrap=bool(p.get("bootstrap", True)),
             seed=seed,
         )
+    if kind == "nb":
+        return None  # fitted by RelationalNB
     if kind == "gbt":
         return GBTClassifier(
             featuresCol=features_col, labelCol=label_col, maxIter=int(p.get("n_estimators", 20)),
@@ -79,6 +129,8 @@ def positive_score(kind: str):
     """Column with the positive-class score of a fitted model's output."""
     from pyspark.ml.functions import vector_to_array
 
+    if kind == "nb":
+        return F.col("prediction")
     if kind.startswith("svm"):
         return vector_to_array(F.col("rawPrediction"))[1]
     return vector_to_array(F.col("probability"))[1]
@@ -93,13 +145,73 @@ class FittedLevel:
     fit_seconds: float
 
 
+class MappedModel:
+    """A fitted model behind a feature map that was fitted on the same rows."""
+
+    def __init__(self, mapped, model):
+        self.mapped, self.model = mapped, model
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        return self.model.transform(self.mapped(frame))
+
+
+class RelationalNB:
+    """Gaussian naive Bayes on all entries of the feature vectors, as aggregates and joins."""
+
+    def __init__(self, frame: DataFrame, level: str, var_smoothing: float, id_col: str, features_col: str):
+        from . import naive_bayes as nb
+
+        self.nb, self.level, self.id_col, self.features_col = nb, level, id_col, features_col
+        dim = len(frame.select(features_col).first()[0])
+        targets = frame.select(id_col, F.lit(level).alias("level"), F.col(level).cast("int").alias("y"))
+        self.model = nb.fit(self._entries(frame), targets, [str(i) for i in range(dim)], id_col, var_smoothing)
+
+    def _entries(self, frame: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        long = frame.select(self.id_col, F.posexplode(vector_to_array(F.col(self.features_col))).alias("f", "value"))
+        return long.where(F.col("value") != 0).select(self.id_col, F.col("f").cast("string").alias("feature"), "value")
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        rows = frame.select(self.id_col, F.lit(self.level).alias("level"))
+        told = self.nb.predict(self.model, self._entries(frame), rows, self.id_col)
+        return frame.join(told.select(self.id_col, F.col("yhat").cast("double").alias("prediction")), self.id_col)
+
+
+def fit_candidate(frame: DataFrame, level: str, kind: str, params: dict, n_train: int | None = None,
+                  features_col: str = "features", id_col: str = "doc_id"):
+    """A fitted object with ``transform``: kernel maps and naive Bayes included, fitted on ``frame`` alone."""
+    kind = kind_of(kind, params)
+    n = frame.count() if n_train is None else n_train
+    if kind == "nb":
+        make_estimator(kind, params, n, level, features_col)
+        return RelationalNB(frame, level, float(params.get("var_smoothing", 1e-9)), id_col, features_col)
+    est = make_estimator(kind, params, n, level, features_col)
+    if kind == "svm_rbf":
+        gamma = params.get("gamma", "scale")
+        if gamma == "scale":
+            gamma = scale_gamma(frame, features_col)
+        elif gamma == "auto":
+            gamma = 1.0 / len(frame.select(features_col).first()[0])
+
+        def mapped(df: DataFrame) -> DataFrame:
+            return rbf_features(df, RBF_COMPONENTS, float(gamma), input_col=features_col, output_col=features_col)
+    elif kind == "svm_poly":
+        pca = poly_features(frame, POLY_COMPONENTS, input_col=features_col, output_col=features_col)[1]
+
+        def mapped(df: DataFrame) -> DataFrame:
+            return poly_expand(df, pca, input_col=features_col, output_col=features_col)
+    else:
+        return est.fit(frame)
+    return MappedModel(mapped, est.fit(mapped(frame)))
+
+
 def fit_level(frame: DataFrame, level: str, kind: str, params: dict, n_train: int | None = None,
               features_col: str = "features") -> FittedLevel:
     """Fit one level on ``frame`` (rows already restricted to training rows)."""
     n = frame.count() if n_train is None else n_train
-    est = make_estimator(kind, params, n, level, features_col)
     t0 = time.time()
-    model = est.fit(frame)
+    model = fit_candidate(frame, level, kind, params, n, features_col)
     return FittedLevel(level, kind, params, model, time.time() - t0)
 
 
@@ -155,11 +267,19 @@ def rbf_features(frame: DataFrame, n_components: int, gamma: float, seed: int =
 def poly_features(frame: DataFrame, k: int, degree: int = 2, input_col: str = "features",
                   output_col: str = "features"):
     """Polynomial kernel map on a PCA-reduced vector (JVM transformers); returns (frame, fitted PCA)."""
-    from pyspark.ml.feature import PCA, PolynomialExpansion
+    from pyspark.ml.feature import PCA
 
     pca = PCA(k=k, inputCol=input_col, outputCol="_pca").fit(frame)
+    return poly_expand(frame, pca, degree, input_col, output_col), pca
+
+
+def poly_expand(frame: DataFrame, pca, degree: int = 2, input_col: str = "features",
+                output_col: str = "features") -> DataFrame:
+    """The polynomial map with a PCA fitted before."""
+    from pyspark.ml.feature import PolynomialExpansion
+
     out = PolynomialExpansion(degree=degree, inputCol="_pca", outputCol="_poly").transform(pca.transform(frame))
-    return out.drop(input_col).withColumnRenamed("_poly", output_col).drop("_pca"), pca
+    return out.drop(input_col).withColumnRenamed("_poly", output_col).drop("_pca")
 
 
 def scale_gamma(frame: DataFrame, input_col: str = "features") -> float:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import confusion, f1_pos
-from .models import make_estimator, params_key
+from .models import FittedLevel, distinct_candidates, fit_candidate, fit_level, params_key
 
 
 def expand_grid(grid: dict) -> list[dict]:
@@ -44,13 +44,13 @@ def _evaluate(frame: DataFrame, level: str, kind: str, params: dict, fold_col: s
     n = train.count()
     if n == 0 or val.limit(1).count() == 0:
         return None  # a rung too small to hold this fold has no score, and no part in the mean
-    est = make_estimator(kind, params, n, level)
-    return _f1(est.fit(train), val, level)
+    return _f1(fit_candidate(train, level, kind, params, n), val, level)
 
 
 def grid_search(frame: DataFrame, levels: list[str], kind: str, grid: list[dict], k: int,
                 fold_col: str = "fold_{level}", parallelism: int = 4) -> list[tuple]:
-    """Rows (level, model, params, rung=0, fold, f1) for every level × candidate × fold."""
+    """Rows (level, model, params, rung=0, fold, f1) for every level × different candidate × fold."""
+    grid = distinct_candidates(kind, grid)
     jobs = [(lv, p, f) for lv in levels for p in grid for f in range(k)]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         scores = list(pool.map(lambda j: _evaluate(frame, j[0], kind, j[1], fold_col.format(level=j[0]), j[2]), jobs))
@@ -63,6 +63,7 @@ def halving_search(frame: DataFrame, levels: list[str], kind: str, grid: list[di
     """Successive halving: rung r trains on rows with ``rung_col <= r`` (nested, growing);
     after each rung the best ceil(c / factor) candidates per level go on."""
     out: list[tuple] = []
+    grid = distinct_candidates(kind, grid)
     alive = {lv: list(grid) for lv in levels}
     for r in range(rungs):
         sub = frame.filter(F.col(rung_col) <= r)
@@ -80,6 +81,17 @@ def halving_search(frame: DataFrame, levels: list[str], kind: str, grid: list[di
     return out
 
 
+def tune(frame: DataFrame, levels: list[str], kind: str, grid: list[dict], k: int,
+         parallelism: int = 4) -> list[FittedLevel]:
+    """Grid search, then the best candidate of each level fitted again on all of ``frame``."""
+    by_key = {params_key(p): p for p in grid}
+    best = best_params(scores_frame(frame.sparkSession, grid_search(frame, levels, kind, grid, k, parallelism=parallelism)))
+    winners = {r["level"]: by_key[r["params"]] for r in best.collect()}
+    n = frame.count()
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(lambda lv: fit_level(frame, lv, kind, winners[lv], n), levels))
+
+
 SCORE_SCHEMA = "level string, model string, params string, rung int, fold int, f1 double"
 
 

@@ -17,7 +17,7 @@ from .q_features import feature_state, split_docs, sql_feature_ctes, sql_ftoks
 from . import q_lexicon  # noqa: F401  (registers lex_category_scores, whose oracle is shared)
 from .q_prep import ql
 from .registry import ORACLES, builtin_lexicon, register
-from .sql_common import sql_lex_match
+from .sql_common import sql_lex_match, sql_word_tokens
 
 
 @register(
@@ -81,7 +81,13 @@ def feat_persist_roundtrip(spark, sf_dir):
     return rows.join(F.broadcast(nf), "split").select("level", "split", "n_rows", "n_features")
 
 
-@register("batch_infer_udf")
+@register(
+    "batch_infer_udf",
+    f"""WITH k AS (
+  SELECT doc_id, len(list_filter({sql_word_tokens()}, lambda t: list_contains({list(LEVEL_TOKENS.values())}, t))) AS k
+  FROM documents)
+SELECT doc_id, round(1.0 / (1.0 + exp(1.0 - 0.5 * k)), 6) AS score FROM k""",
+)
 def batch_infer_udf(spark, sf_dir):
     weights = {tok: 0.5 for tok in LEVEL_TOKENS.values()}
     factory = inf.keyword_scorer_factory(weights, bias=-1.0)

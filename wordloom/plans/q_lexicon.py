@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as lx
-from ..session import read_table
+from ..session import read_table, scratch_path
 from ..sources.lexicon import builtin_lexicon_text, lexicon_text_frame, parse_lexicon
-from .registry import builtin_lexicon, register
+from .registry import ORACLES, builtin_lexicon, register
 from .sql_common import q, sql_lex_match, sql_lex_tokens, sql_lexicon
 
 
@@ -39,6 +39,20 @@ def lex_read_categories(spark, sf_dir):
     )
 
 
+@register("lex_read_file", ORACLES["lex_read_categories"])
+def lex_read_file(spark, sf_dir):
+    """As ``lex_read_categories``, with the lexicon written to the shared folder and read from there as a file."""
+    path = scratch_path(spark, "lexicon")
+    spark.createDataFrame([(builtin_lexicon_text(),)], "value string").coalesce(1).write.text(path)
+    lex = lx.Lexicon.read(spark, f"{path}/part-*")
+    use = lx.category_counts(_docs(spark, sf_dir), lex).groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("cnt").alias("n_matched"))
+    return lex.categories.join(use, "category", "left").select(
+        "cat_id", "category", "pos",
+        F.coalesce(F.col("n_docs"), F.lit(0)).cast("long").alias("n_docs"),
+        F.coalesce(F.col("n_matched"), F.lit(0)).cast("long").alias("n_matched"))
+
+
 @register(
     "lex_read_entries",
     f"""WITH {sql_lex_match()}

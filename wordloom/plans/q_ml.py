@@ -1,7 +1,7 @@
 """Model queries (M2-M12, M15-M17, S7): Spark ML fits per level on one checkpointed feature frame.
 
-Rows-only checks: fitting is iterative.  The frame uses the SF's documents
-with the full 1,000-term vocabularies of the feature queries; grids are two or three points.
+Fitting is iterative, so most are rows-only checks; counts over fitted models have an oracle.
+The frame uses the SF's documents with the full 1,000-term vocabularies of the feature queries.
 """
 
 from __future__ import annotations
@@ -21,15 +21,18 @@ from ..functions.constants import (
     LEVELS,
     MAX_FEATURES,
     N_FOLDS,
+    TOP_FEATURES_PER_LEVEL,
 )
 from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import models as md
+from ..operators import ranking as rk
 from ..operators import sampling as sm
 from ..operators import search as se
 from ..session import reliable_checkpoint, scratch_path, session_key
 from . import views
 from .q_features import feature_state, split_docs
+from .q_prep import sql_split_r1
 from .registry import register
 
 _FRAMES: dict = {}
@@ -39,6 +42,14 @@ SVM = {"C": 1.0, "max_iter": 50}
 RF = {"n_estimators": 20, "max_depth": 8}
 GBT = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1}
 MULTI_RF = {"n_estimators": 30, "max_depth": 10}
+# Two candidates of each model's grid (REFERENCE_GRIDS): a search of all of them is a matter of hours.
+TUNE_GRIDS = {
+    "nb": [{"var_smoothing": 1e-8}, {"var_smoothing": 1e-9}],
+    "svm": [{"C": 0.1, "kernel": "linear", "max_iter": 20}, {"C": 10, "kernel": "rbf", "gamma": "scale", "max_iter": 20}],
+    "logreg": [{"C": 0.1, "penalty": "l2", "max_iter": 20}, {"C": 1, "penalty": "l2", "max_iter": 20}],
+    "rf": [{"n_estimators": 10, "max_depth": 5}, {"n_estimators": 10, "max_depth": 10}],
+    "gbt": [{"n_estimators": 3, "max_depth": 3, "learning_rate": 0.1}, {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.5}],
+}
 SEARCH_GRID = [{"C": 0.1, "penalty": "l2", "max_iter": 20}, {"C": 1.0, "penalty": "l2", "max_iter": 20}]
 HALVING_GRID = [{"C": c, "penalty": "l2", "max_iter": 20} for c in (0.1, 1.0, 10.0)]
 
@@ -90,7 +101,7 @@ def second_frame(spark, sf_dir) -> DataFrame:
         lab = views.with_level_labels(sec).select(
             "item_id", *[F.coalesce(F.col(lv), F.lit(0.0)).alias(lv) for lv in LEVELS]
         )
-        _FRAMES[key] = reliable_checkpoint(lab.join(vec, "item_id"))
+        _FRAMES[key] = reliable_checkpoint(lab.join(vec, "item_id").withColumnRenamed("item_id", "doc_id"))
     return _FRAMES[key]
 
 
@@ -130,9 +141,26 @@ def svm_linear_predict(spark, sf_dir):
 @register("svm_kernel_predict")
 def svm_kernel_predict(spark, sf_dir):
     frame = model_frame(spark, sf_dir)
-    gamma = md.scale_gamma(_train(frame))
-    mapped = md.rbf_features(frame, n_components=128, gamma=gamma)
-    return _level_predictions(spark, sf_dir, "svm_rbf", SVM, frame=mapped)
+    # the map does not depend on the level: fitted once, then a linear machine per level
+    mapped = md.rbf_features(frame, md.RBF_COMPONENTS, md.scale_gamma(_train(frame)))
+    return _level_predictions(spark, sf_dir, "svm", SVM, frame=mapped)
+
+
+@register("svm_poly_predict")
+def svm_poly_predict(spark, sf_dir):
+    frame = model_frame(spark, sf_dir)
+    pca = md.poly_features(_train(frame), md.POLY_COMPONENTS)[1]
+    return _level_predictions(spark, sf_dir, "svm", SVM, frame=reliable_checkpoint(md.poly_expand(frame, pca)))
+
+
+@register("rf_importances")
+def rf_importances(spark, sf_dir):
+    """The 20 features with the largest forest importance per level."""
+    names = feature_state(spark, sf_dir, MAX_FEATURES).names()
+    rows = [(f.level, names[i], float(v)) for f in fit_all_levels(model_frame(spark, sf_dir), "rf", RF)
+            for i, v in zip(f.model.featureImportances.indices, f.model.featureImportances.values)]
+    scores = spark.createDataFrame(rows, "level string, feature string, importance double")
+    return rk.top_k_per_group(scores, "level", TOP_FEATURES_PER_LEVEL)
 
 
 @register("logreg_predict")
@@ -195,55 +223,78 @@ def search_best_params(spark, sf_dir):
     return se.best_params(_search_scores(spark, sf_dir))
 
 
-@register("score_two_sets")
+@register(
+    "score_two_sets",
+    f"""WITH {sql_split_r1()}, {views.sql_second()}
+SELECT d.dataset, l.level, d.n, CAST(0 AS BIGINT) AS n_unscored
+FROM (SELECT 'test' AS dataset, count(*) AS n FROM split_r1 WHERE split = 'test'
+      UNION ALL SELECT 'second', count(*) FROM v_second) d
+CROSS JOIN (SELECT unnest({LEVELS}) AS level) l""",
+)
 def score_two_sets(spark, sf_dir):
-    frame = model_frame(spark, sf_dir)
-    fitted = fit_all_levels(frame, "logreg", LOGREG)
-    test = predict_all(fitted, _test(frame)).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn(
-        "dataset", F.lit("test"))
-    second = predict_all(fitted, second_frame(spark, sf_dir), id_col="item_id").withColumnRenamed(
-        "item_id", "doc_id").withColumn("dataset", F.lit("second"))
-    both = test.unionByName(second)
-    return both.groupBy("dataset", "level").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("yhat").cast("long").alias("n_positive")
-    )
+    """Rows scored by the search winners in each test set and level, and those left without a score."""
+    fitted = _tuned(spark, sf_dir, "logreg")
+    parts = [predict_all(fitted, frame).select(F.lit(name).alias("dataset"), "level", "yhat", "score")
+             for name, frame in (("test", _test(model_frame(spark, sf_dir))), ("second", second_frame(spark, sf_dir)))]
+    bad = ~F.col("yhat").isin(0, 1) | F.col("score").isNull() | F.isnan("score")
+    return parts[0].unionByName(parts[1]).groupBy("dataset", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("n_unscored"))
+
+
+def _gold(spark, sf_dir) -> DataFrame:
+    """(dataset, doc_id, level, y) of both test sets, from their label tables alone."""
+    def long(frame, id_col, dataset):
+        return frame.select(F.lit(dataset).alias("dataset"), F.col(id_col).cast("string").alias("doc_id"), *LEVELS).unpivot(
+            ["dataset", "doc_id"], LEVELS, "level", "y").withColumn("y", F.col("y").cast("int"))
+
+    return long(_test(model_frame(spark, sf_dir)), "doc_id", "test").unionByName(
+        long(second_frame(spark, sf_dir), "doc_id", "second"))
+
+
+def _tuned(spark, sf_dir, kind: str) -> list[md.FittedLevel]:
+    """The search winner of every level, fitted again on all training rows; once per session."""
+    key = _key(spark, sf_dir, f"tuned-{kind}")
+    if key not in _FRAMES:
+        _FRAMES[key] = se.tune(_train(model_frame(spark, sf_dir)), LEVELS, kind, TUNE_GRIDS[kind], N_FOLDS)
+    return _FRAMES[key]
 
 
 @register("train_levels_report")
 def train_levels_report(spark, sf_dir):
-    """All levels × two models, both test sets, headline metrics and fit seconds in one table."""
-    frame = model_frame(spark, sf_dir)
-    sec = second_frame(spark, sf_dir)
+    """All levels × five models: search, refit, both test sets, metrics from predictions joined with gold by key."""
     parts, fit_rows = [], []
-    for kind, params in (("logreg", LOGREG), ("svm", SVM)):
-        fitted = fit_all_levels(frame, kind, params)
-        fit_rows += [(kind, f.level, float(f.fit_seconds)) for f in fitted]
-        parts.append(predict_all(fitted, _test(frame)).withColumn("doc_id", F.col("doc_id").cast("string"))
-                     .withColumn("dataset", F.lit("test")).withColumn("model", F.lit(kind)))
-        parts.append(
-            predict_all(fitted, sec, id_col="item_id").withColumnRenamed("item_id", "doc_id")
-            .withColumn("dataset", F.lit("second")).withColumn("model", F.lit(kind))
-        )
-    preds = reduce(DataFrame.unionByName, parts)
+    for kind in TUNE_GRIDS:
+        fitted = _tuned(spark, sf_dir, kind)
+        fit_rows += [(kind, f.level, float(f.fit_seconds), md.params_key(f.params)) for f in fitted]
+        for dataset, frame in (("test", _test(model_frame(spark, sf_dir))), ("second", second_frame(spark, sf_dir))):
+            parts.append(predict_all(fitted, frame).select(
+                F.lit(dataset).alias("dataset"), F.lit(kind).alias("model"), F.col("doc_id").cast("string").alias("doc_id"),
+                "level", "yhat"))
+    preds = ev.with_gold(reduce(DataFrame.unionByName, parts), _gold(spark, sf_dir), ["dataset", "doc_id", "level"])
     metrics = ev.headline(preds, ["dataset", "level", "model"])
-    times = spark.createDataFrame(fit_rows, "model string, level string, fit_seconds double")
+    times = spark.createDataFrame(fit_rows, "model string, level string, fit_seconds double, best_params string")
     return metrics.join(F.broadcast(times), ["model", "level"]).select(
-        "dataset", "level", "model", "accuracy", "kappa", "auc", "f1", F.round("fit_seconds", 3).alias("fit_seconds")
+        "dataset", "level", "model", "best_params", "accuracy", "kappa", "auc", "f1",
+        F.round("fit_seconds", 3).alias("fit_seconds")
     )
 
 
-@register("model_persist_roundtrip")
+@register(
+    "model_persist_roundtrip",
+    f"""WITH {sql_split_r1()}
+SELECT 'remember' AS level, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differ FROM split_r1 WHERE split = 'test'""",
+)
 def model_persist_roundtrip(spark, sf_dir):
-    """Fit, save to the shared scratch folder, load, and predict with both copies."""
+    """Save the search winner of a level to the shared scratch folder, load it, and count where the copies differ."""
     from pyspark.ml.classification import LogisticRegressionModel
 
-    frame = model_frame(spark, sf_dir)
-    fitted = md.fit_level(_train(frame), "remember", "logreg", LOGREG)
+    winner = next(f for f in _tuned(spark, sf_dir, "logreg") if f.level == "remember")
     path = scratch_path(spark, "model-logreg-remember")
-    fitted.model.write().overwrite().save(path)
+    winner.model.write().overwrite().save(path)
     loaded = LogisticRegressionModel.load(path)
-    test = _test(frame)
-    before = fitted.model.transform(test).select("doc_id", F.col("prediction").cast("int").alias("yhat_before"))
-    after = loaded.transform(test).select("doc_id", F.col("prediction").cast("int").alias("yhat_after"))
-    return before.join(after, "doc_id")
-
+    test = _test(model_frame(spark, sf_dir))
+    before = winner.model.transform(test).select("doc_id", F.col("prediction").alias("before"))
+    after = loaded.transform(test).select("doc_id", F.col("prediction").alias("after"))
+    return before.join(after, "doc_id").agg(
+        F.lit("remember").alias("level"), F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(F.col("before") != F.col("after"), 1)).alias("n_differ"))

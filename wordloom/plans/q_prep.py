@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from ..functions.constants import BANK_OBJECTIVE_TO_LEVEL, LEVELS, SPLIT_SEED, TEST_SHARE
-from ..functions.text import word_tokens
+from ..functions.text import lexicon_tokens
 from ..operators import aggregates as agg
 from ..operators import lexicon as lx
 from ..operators import prep
@@ -15,7 +15,7 @@ from ..operators.sampling import random_split
 from ..session import read_table
 from . import views
 from .registry import builtin_lexicon, register
-from .sql_common import q, sql_lex_match, sql_word_tokens
+from .sql_common import q, sql_lex_match, sql_treebank_tokens
 
 TEST_FRACTION = Fraction(TEST_SHARE).limit_denominator(1000)
 
@@ -165,11 +165,11 @@ def agg_label_cardinality(spark, sf_dir):
     "agg_length_profile",
     f"""SELECT min(len_) AS min_len, max(len_) AS max_len, round(avg(CAST(len_ AS DOUBLE)), 6) AS mean_len,
        round(quantile_cont(len_, 0.995), 6) AS p995
-FROM (SELECT len({sql_word_tokens('text')}) AS len_ FROM documents)""",
+FROM (SELECT len({sql_treebank_tokens('text')}) AS len_ FROM documents)""",
 )
 def agg_length_profile(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return agg.length_profile(docs.select(F.size(word_tokens("text")).alias("len_")), "len_")
+    return agg.length_profile(docs.select(F.size(lexicon_tokens("text", treebank=True)).alias("len_")), "len_")
 
 
 @register(

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from ..functions.text import ASCII_PUNCT_CLASS, BLANK_RUN, WORD_TOKEN
+from ..functions.text import (
+    ASCII_PUNCT_CLASS,
+    BLANK_RUN,
+    TREEBANK_FUSED,
+    TREEBANK_FUSED_BEFORE_BLANK,
+    TREEBANK_QUOTES,
+    WORD_TOKEN,
+)
 from ..sources.lexicon import builtin_lexicon_text
 
 
@@ -15,6 +22,19 @@ def sql_lex_tokens(expr: str = "text") -> str:
     return f"list_filter(string_split_regex({cleaned}, {q(BLANK_RUN)}), lambda x: x <> '')"
 
 
+def sql_treebank_tokens(expr: str = "text") -> str:
+    """Lexicon tokens with the fused-word and quote rules."""
+    out = f"regexp_replace(lower(coalesce({expr}, '')), {q(ASCII_PUNCT_CLASS)}, '', 'g')"
+    for a, b in TREEBANK_FUSED:
+        out = f"regexp_replace({out}, {q(chr(92) + 'b(' + a + ')(' + b + ')' + chr(92) + 'b')}, '\\1 \\2', 'g')"
+    for a, b in TREEBANK_FUSED_BEFORE_BLANK:
+        pattern = chr(92) + "b(" + a + ")(" + b + ")([ \\t\\n\\r\\f\\x0B])"
+        out = f"regexp_replace({out}, {q(pattern)}, '\\1 \\2\\3', 'g')"
+    for ch, rep in TREEBANK_QUOTES:
+        out = f"replace({out}, {q(ch)}, {q(rep)})"
+    return f"list_filter(string_split_regex({out}, {q(BLANK_RUN)}), lambda x: x <> '')"
+
+
 def sql_word_tokens(expr: str = "text") -> str:
     return f"regexp_extract_all(lower(coalesce({expr}, '')), {q(WORD_TOKEN)})"
 
