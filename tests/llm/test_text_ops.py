@@ -110,8 +110,24 @@ def test_ngram_join_empty_table(empty_docs):
     assert ngram_join.ngram_components(empty_docs).count() == 0
 
 
-def test_ngram_join_dense_and_borderline_groups(spark):
-    """A chain of near copies, and groups whose members are near the limit of 85 percent."""
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 60, n)) for n in (40, 30, 20, 1, 50)]
+    got = ngram_join.shared_counts(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(a, b))
+
+
+@pytest.mark.parametrize(("few", "rounds"), [(32, 3), (2, 0), (2, 1)])
+def test_ngram_join_dense_and_borderline_groups(spark, monkeypatch, few, rounds):
+    """A chain of near copies, and groups whose members are near the limit of 85 percent; with few star rounds
+    the rest is left to rows or to blocks of clusters."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
     rows, doc = [], 0
     for g in range(4):
         base = words(1000 + g, 120).split(" ")
