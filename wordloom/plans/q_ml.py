@@ -42,9 +42,9 @@ SVM = {"C": 1.0, "max_iter": 50}
 RF = {"n_estimators": 20, "max_depth": 8}
 GBT = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1}
 MULTI_RF = {"n_estimators": 30, "max_depth": 10}
-# Two candidates of each model's grid (REFERENCE_GRIDS): a search of all of them is a matter of hours.
+# One or two candidates of each model's grid (REFERENCE_GRIDS): a search of all of them is a matter of hours.
 TUNE_GRIDS = {
-    "nb": [{"var_smoothing": 1e-8}, {"var_smoothing": 1e-9}],
+    "nb": [{"var_smoothing": 1e-9}],
     "svm": [{"C": 0.1, "kernel": "linear", "max_iter": 20}, {"C": 10, "kernel": "rbf", "gamma": "scale", "max_iter": 20}],
     "logreg": [{"C": 0.1, "penalty": "l2", "max_iter": 20}, {"C": 1, "penalty": "l2", "max_iter": 20}],
     "rf": [{"n_estimators": 10, "max_depth": 5}, {"n_estimators": 10, "max_depth": 10}],
