@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ from pyspark.sql import types as T
 from .common import map_arrow
 from .scan import Joined, code_point_classes, piece_hashes
 
-MEMO = 500_000
-SLICE_CHARS = 1_000_000  # characters encoded at a time
-SLICE_ROWS = 512  # rows decoded at a time
+MEMO = 200_000
+SLICE_BYTES = 500_000  # bytes of text encoded at a time
+SLICE_IDS = 100_000  # ids decoded at a time
 KEYS_PER_BUCKET = 4
 
 
@@ -213,17 +214,24 @@ def _encoder(vocab: Vocabulary) -> Encoder:
     return _ENCODERS[vocab.name]
 
 
-def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive rows with about ``chars`` characters of text (one row at least); null texts are empty."""
-    texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield batch.slice(begin, i - begin), texts[begin:i]
-            begin, size = i, 0
-        size += len(t) + 1
-    if begin < len(texts):
-        yield batch.slice(begin), texts[begin:]
+def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive rows with about ``size`` bytes of text (one row at least); null texts are empty."""
+    bytes_of = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
+    for begin, end in cuts_of(bytes_of, size):
+        part = batch.slice(begin, end - begin)
+        yield part, ["" if t is None else t for t in part.column(text).to_pylist()]
+
+
+def cuts_of(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows whose sizes sum to ``limit`` at most, or of one row."""
+    begin = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > limit:
+            yield begin, i
+            begin, held = i, 0
+        held += n + 1
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def _replace(df: DataFrame, column: str, kind: T.DataType) -> tuple[list[str], T.StructType]:
@@ -231,6 +239,30 @@ def _replace(df: DataFrame, column: str, kind: T.DataType) -> tuple[list[str], T
     return names, T.StructType([df.schema[c] for c in names] + [T.StructField(column, kind)])
 
 
+class Decoder:
+    """Token bytes as one pool, so that many ids are decoded by one gather."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.pool = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        self.first = np.cumsum(self.size) - self.size
+
+    def decode_all(self, lists: pa.Array) -> pa.Array:
+        """Bytes of each list of ids; a null list is empty."""
+        lists = lists.fill_null([])
+        flat = lists.flatten().to_numpy()
+        raw = gather(self.pool, self.first[flat], self.size[flat])
+        ends = np.concatenate([[0], np.cumsum(self.size[flat])])
+        cuts = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [
+            None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _id_lists(encoder: Encoder, texts: list[str]) -> pa.Array:
+    flat, cuts = encoder.encode_all(texts)
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))
+
+
 def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the ids (array<int>) of every whole ``text``."""
     sent = df.sparkSession.sparkContext.broadcast(vocab)
@@ -240,9 +272,8 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "ids
         encoder = _encoder(sent.value)
         for whole in batches:
             for batch, texts in slices(whole, text):
-                flat, cuts = encoder.encode_all(texts)
-                column = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [column], [*kept, ids])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in kept] + [_id_lists(encoder, texts)], [*kept, ids])
 
     return map_arrow(df, run, schema)
 
@@ -253,22 +284,32 @@ def decode(df: DataFrame, vocab: Vocabulary, ids: str = "ids", out: str = "decod
     kept, schema = _replace(df, out, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sent.value
-        pool = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        first = np.cumsum(size) - size
+        decoder = Decoder(sent.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
-                lists = batch.column(ids).fill_null([])
-                flat = lists.flatten().to_numpy()
-                raw = gather(pool, first[flat], size[flat])
-                ends = np.concatenate([[0], np.cumsum(size[flat])])
-                cuts = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
-                column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows,
-                                               [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+            lengths = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy()
+            for begin, end in cuts_of(lengths, SLICE_IDS):
+                batch = whole.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in kept] + [decoder.decode_all(batch.column(ids))], [*kept, out])
+
+    return map_arrow(df, run, schema)
+
+
+def encode_and_decode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "ids",
+                      out: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one pass: one worker a task instead of two, and no ids sent between them."""
+    sent = df.sparkSession.sparkContext.broadcast(vocab)
+    kept = [c for c in df.columns if c not in (ids, out)]
+    schema = T.StructType([df.schema[c] for c in kept] + [
+        T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(sent.value), Decoder(sent.value.tokens)
+        for whole in batches:
+            for batch, texts in slices(whole, text):
+                lists = _id_lists(encoder, texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in kept] + [column.cast(pa.binary())], [*kept, out])
+                    [batch.column(c) for c in kept] + [lists, decoder.decode_all(lists)], [*kept, ids, out])
 
     return map_arrow(df, run, schema)
 

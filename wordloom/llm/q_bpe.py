@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, decode, encode, ids_digest
+from .bpe import Vocabulary, encode_and_decode, ids_digest
 from .common import register, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -16,6 +16,6 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = Vocabulary.read(public_tokenizers.path(VOCABULARY))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, vocab).drop("text"), vocab)
+    both = encode_and_decode(docs, vocab)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
