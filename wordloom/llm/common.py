@@ -13,6 +13,7 @@ from ..session import checked_broadcast, scratch_path
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 SMALL_ROWS, SMALL_BYTES = 500_000, 32 * 1024 * 1024
 
 QUERIES: dict[str, QueryFn] = {}
@@ -72,8 +73,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with the package shipped."""
-    ship(df.sparkSession)
+    """``df.mapInArrow`` with the package shipped and batches of ``BATCH_ROWS`` rows at most: texts are long."""
+    spark = df.sparkSession
+    ship(spark)
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
@@ -86,10 +90,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     key only of thin (id, id) rows combined map-side by ``min``, and lineage is cut by
     storing the table.  Isolated nodes are their own component.
     """
+    def state(df: DataFrame) -> tuple:
+        """Number and hash of the edges: equal tables have equal states."""
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
     e = edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct()
     e = stored(e, "edges")
+    now = state(e)
     for _ in range(max_rounds):
-        if e.isEmpty():
+        if now[0] == 0:
             break
         # large star: every larger neighbour of u links to the smallest neighbour of u (u included)
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
@@ -102,10 +111,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         small = large.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")),
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        new = stored(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
-        done = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
-        e = new
-        if done:
+        e = stored(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
+        before, now = now, state(e)
+        if now == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
