@@ -365,8 +365,9 @@ def _equal_texts(numbered: DataFrame) -> DataFrame:
     """(doc, copy, pos, n): the runs of documents whose whole text an earlier document has."""
     long_ones = numbered.where(F.octet_length("text") >= LENGTH).select(
         "doc", "copy", F.octet_length("text").alias("size"), F.unhex(F.md5("text")).alias("digest"))
-    first = long_ones.groupBy("digest", "size").agg(
-        F.min(F.struct("doc", "copy")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # stored, so that the join below deals its sides by itself and Spark can split a large group of copies
+    first = stored(long_ones.groupBy("digest", "size").agg(
+        F.min(F.struct("doc", "copy")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "first-texts")
     later = long_ones.join(first, ["digest", "size"]).where(
         (F.col("doc") != F.col("first.doc")) | (F.col("copy") != F.col("first.copy")))
     return stored(later.select("doc", "copy", F.lit(0).alias("pos"), (F.col("size") - LENGTH + 1).cast("int").alias("n")),
