@@ -6,7 +6,7 @@ a whole pre-token is a token, and which.  Tier two, for the misses, merges the
 pre-token's bytes, kept as a linked list, by a heap of candidate pairs (lowest
 rank first, leftmost among equals).  Each distinct
 pre-token (by 64-bit hash) of a slice of texts is resolved once and kept in a
-memo of at most ``MEMO`` entries per worker that is emptied when full, so memory is
+memo of at most ``MEMO`` entries per task that is emptied when full, so memory is
 bounded and every text is encoded whole.
 
 The vocabulary file is a parameter; the driver reads it once and sends the hash
@@ -203,17 +203,6 @@ def gather(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray
     return pool[np.repeat(first - before, count) + np.arange(int(count.sum()), dtype=np.int64)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(vocab: Vocabulary) -> Encoder:
-    """The worker's encoder of this vocabulary; its memo serves the tasks that follow."""
-    if vocab.name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[vocab.name] = Encoder(vocab)
-    return _ENCODERS[vocab.name]
-
-
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive rows with about ``size`` bytes of text (one row at least); null texts are empty."""
     bytes_of = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
@@ -269,7 +258,7 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "ids
     kept, schema = _replace(df, ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent.value)
+        encoder = Encoder(sent.value)
         for whole in batches:
             for batch, texts in slices(whole, text):
                 yield pa.RecordBatch.from_arrays(
@@ -304,7 +293,7 @@ def encode_and_decode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids:
         T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _encoder(sent.value), Decoder(sent.value.tokens)
+        encoder, decoder = Encoder(sent.value), Decoder(sent.value.tokens)
         for whole in batches:
             for batch, texts in slices(whole, text):
                 lists = _id_lists(encoder, texts)
