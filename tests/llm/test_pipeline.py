@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 import __spark_entry__ as entry
 from wordloom.llm import catalog, chat_format, mixing
 
-from .conftest import DOC_SCHEMA, SF
+from .conftest import DOC_SCHEMA, SF, words
 
 CHAT = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()),
@@ -124,6 +124,37 @@ def test_pipeline_run(spark):
         assert r["ids"] == library.encode_ordinary(text)
 
 
+def test_pipeline_keeps_one_text_of_a_large_copy_group(spark):
+    import corpus_pipeline as cp
+
+    copied = "\n".join(words(1000 + k, 25) for k in range(6))
+    nav = "Shared line of the site"
+    rows = [(k, copied, "en", "a", len(copied)) for k in range(30)]
+    for k in range(30, 90):
+        text = "\n".join([nav, words(k, 30), words(500 + k, 30)])
+        rows.append((k, text, "en", "ab"[k % 2], len(text)))
+    rows += [(90 + k, "Only\nboilerplate", "en", "b", 16) for k in range(4)]
+    rows += [(94 + k, f"Only\nboilerplate\n{words(94 + k, 20)}", "en", "b", 0) for k in range(4)]
+    docs = cp.boilerplate(spark, spark.createDataFrame(rows, DOC_SCHEMA).repartition(4), SF)
+    texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in docs.collect()}
+    assert len(texts) == len(rows) and all(t.strip() for t, _ in texts.values())
+    assert all(texts[k] == (copied, len(copied)) for k in range(30))
+    assert all(nav not in texts[k][0] and texts[k][1] == len(texts[k][0]) for k in range(30, 90))
+    kept = {r["doc_id"]: r["text"] for r in cp.near_copies(spark, docs, SF).collect()}
+    assert [k for k, t in kept.items() if t == copied] == [0] and not set(range(1, 30)) & set(kept)
+    assert set(range(30, 90)) <= set(kept)
+
+
+def test_line_dedup_counts_copies_once(spark):
+    from wordloom.llm.line_dedup import boilerplate_lines
+
+    rows = [(k, "x\ny", "en", "a", 3) for k in range(9)] + [(9, "x\nz", "en", "a", 3), (10, "x\nz", "en", "a", 3)]
+    rows += [(11, "x\nw", "en", "a", 3), (12, None, "en", "a", None), (13, "", "en", "a", 0)]
+    df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(4)
+    got = boilerplate_lines(df, "source", "text", 0.1, 1, copies_once=True)
+    assert sorted((r["_n"], r["_np"]) for r in got.collect()) == [(1, 4)] * 3 + [(3, 4)]
+
+
 def test_entry_lists_every_query():
     names = entry.queries()
     assert "pipeline" in names

@@ -11,10 +11,14 @@ often it repeats in a page.  Everything is a DataFrame expression:
 * texts are filtered by an array expression; they are shuffled only when the
   lists of all hosts together pass the broadcast bound.
 
+Before a stage that removes copies (``copies_once``), pages with equal texts of a host are one page, and a page
+whose every line is boilerplate stays as it is: otherwise a group of copies loses its lines, and its one
+text with them.
+
 Defined results: a null text stays null and counts as a page; blank lines are
 never boilerplate; a page whose every line is boilerplate keeps an empty text;
 pages with a null host have no site and stay as they are; repeated rows are
-pages of their own; further columns are carried through.
+pages of their own unless ``copies_once``; further columns are carried through.
 """
 
 from __future__ import annotations
@@ -32,26 +36,50 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
+def _counted_once(src: DataFrame, keys: Column) -> tuple[DataFrame, DataFrame]:
+    """(_h, _k) rows, and (_h, _np): pages of a host with equal texts are one page.
+
+    Only the lines of texts that a host has several times are made distinct by their text.
+    """
+    src = src.withColumn("_d", F.unhex(F.md5(F.coalesce("_t", F.lit("")))))
+    texts = stored(src.groupBy("_h", "_d").agg(F.count(F.lit(1)).alias("_m")), "page-texts")
+    repeated = small_side(texts.where("_m > 1").select("_h", "_d", F.lit(True).alias("_again")))
+    lines = src.join(repeated, ["_h", "_d"], "left").select("_h", "_d", "_again", F.explode_outer(keys).alias("_k"))
+    lines = lines.where("_k is not null")
+    once = lines.where("_again").select("_h", "_k", "_d").distinct().select("_h", "_k")
+    return (lines.where("_again is null").select("_h", "_k").unionByName(once),
+            texts.groupBy("_h").agg(F.count(F.lit(1)).alias("_np")))
+
+
 def boilerplate_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO,
-                      min_pages: int = MIN_PAGES) -> DataFrame:
+                      min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """(host, key, n_pages, host_pages) of the lines above the ratio and on ``min_pages`` pages at least."""
     src = pages.select(F.col(host).alias("_h"), F.col(text).alias("_t")).where("_h is not null")
     keys = F.array_distinct(F.transform(F.filter(F.split("_t", "\n"), lambda x: F.trim(x) != ""), _key))
-    counts = (src.select("_h", F.explode_outer(keys).alias("_k")).where("_k is not null")
-              .groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages))
-    totals = src.groupBy("_h").agg(F.count(F.lit(1)).alias("_np"))
+    if copies_once:
+        lines, totals = _counted_once(src, keys)
+    else:
+        lines = src.select("_h", F.explode_outer(keys).alias("_k")).where("_k is not null")
+        totals = src.groupBy("_h").agg(F.count(F.lit(1)).alias("_np"))
+    counts = lines.groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
     return counts.join(totals, "_h").where(F.col("_n") > F.lit(ratio) * F.col("_np"))
 
 
 def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
-               min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with boilerplate lines removed from ``text``, plus ``_n_lines`` and ``_n_dropped`` (long)."""
-    lists = boilerplate_lines(pages, host, text, ratio, min_pages).groupBy(F.col("_h").alias("_host")).agg(
+               min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+    """``pages`` with boilerplate lines removed from ``text``, plus ``_n_lines`` and ``_n_dropped`` (long).
+
+    ``copies_once``: a line counts once per different text of its host, and a page whose every line is
+    boilerplate stays as it is, for a later stage that finds copies.
+    """
+    lists = boilerplate_lines(pages, host, text, ratio, min_pages, copies_once).groupBy(F.col("_h").alias("_host")).agg(
         F.collect_list("_k").alias("_drop"))
     lists = small_side(stored(lists, "boilerplate"))
     joined = pages.join(lists, F.col(host) == F.col("_host"), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x)))
+    if copies_once:
+        kept = F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(lines)
     joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     n_kept = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_kept")).cast("long")
