@@ -155,6 +155,39 @@ def test_line_dedup_counts_copies_once(spark):
     assert sorted((r["_n"], r["_np"]) for r in got.collect()) == [(1, 4)] * 3 + [(3, 4)]
 
 
+def test_pipeline_language_stage_rejects_gibberish_and_unlearned_languages(spark):
+    import random
+
+    import corpus_pipeline as cp
+
+    r = random.Random(5)
+
+    def letters(alphabet, n, least=2, most=9):
+        return " ".join("".join(r.choice(alphabet) for _ in range(r.randint(least, most))) for _ in range(n))
+
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+        "sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di "
+        "coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+        "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en "
+        "geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen."]
+    bad = foreign + [letters(latin, 80), letters("0123456789abcdef", 20, 32, 32), letters(latin, 15)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = docs.where("lang is not null and length(text) > 60").collect()
+    short = [" ".join(x["text"].split()[:3]) for x in clean[::10]]
+    extra = [(10**6 + k, t, "en" if k % 2 else None, "a", len(t)) for k, t in enumerate(bad)]
+    extra += [(2 * 10**6 + k, t, None, "a", len(t)) for k, t in enumerate(short)]
+    every = docs.unionByName(spark.createDataFrame(extra, DOC_SCHEMA).select(docs.columns))
+    kept = {x["doc_id"] for x in cp.language_id(spark, every, SF).select("doc_id").collect()}
+    assert not {k for k in kept if 10**6 <= k < 2 * 10**6}
+    lost = [t for k, t in enumerate(short) if 2 * 10**6 + k not in kept and any(c.isalpha() for c in t)]
+    assert not lost, lost
+    gone = [(x["doc_id"], x["text"][:80]) for x in clean if x["doc_id"] not in kept and any(c.isalpha() for c in x["text"])]
+    assert not gone, gone
+
+
 def test_entry_lists_every_query():
     names = entry.queries()
     assert "pipeline" in names

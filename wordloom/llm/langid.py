@@ -39,6 +39,7 @@ from .common import map_arrow
 from .scan import LETTER, SEPARATOR, Joined, code_point_classes, mix64
 
 ORDERS = (1, 2, 3, 4)
+LONG_ORDERS = (3, 4)  # short n-grams are the script's, long ones the language's
 SAMPLE_DOCS = 3000  # sampled documents a language, in expectation
 MIN_SHARE = 0.004
 REL_SHARE = 0.25
@@ -94,12 +95,12 @@ class Filters:
             fill[k] = bit.mean()
         return cls(languages, words, fill ** HASHES, default, code_point_classes())
 
-    def counts(self, joined: Joined) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, joined: Joined, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
         """Per text: n-grams, and n-grams in each language's filter."""
         n_texts = len(joined.sep)
         total = np.zeros(n_texts)
         found = np.zeros((len(self.languages), n_texts))
-        for order in ORDERS:
+        for order in orders:
             at, h = ngrams(joined, order)
             of = np.searchsorted(joined.sep, at)  # text of each n-gram
             cuts = np.searchsorted(of, np.arange(n_texts + 1))
@@ -114,23 +115,34 @@ class Filters:
                     found[k] += np.diff(np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])[cuts])
         return total, found
 
+    def _right(self, total: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Counts per language without those expected from false positives."""
+        f = self.false_positive[:, None]
+        return np.maximum(0.0, (found - total * f) / np.maximum(1e-9, 1.0 - f))
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Per text: language, score, and coverage (the share of its n-grams that the language has)."""
+        return self.evidence(texts)[:3]
+
+    def evidence(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``predict``, and the number of n-grams of ``LONG_ORDERS`` and the coverage over these."""
         joined = Joined([t.lower() for t in texts], self.classes)
         letters = np.concatenate([[0], np.cumsum(joined.kind == LETTER, dtype=np.int64)])[np.append(0, joined.sep)]
         some = np.diff(letters) > 0
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        total, found = self.counts(joined)
-        f = self.false_positive[:, None]
-        right = np.maximum(0.0, (found - total * f) / np.maximum(1e-9, 1.0 - f))
+            return [UNKNOWN] * len(texts), *(np.zeros(len(texts)) for _ in range(4))
+        long, long_found = self.counts(joined, LONG_ORDERS)
+        total, found = self.counts(joined, tuple(o for o in ORDERS if o not in LONG_ORDERS))
+        total, found = total + long, found + long_found
+        right = self._right(total, found)
         best, mass = right.argmax(axis=0), right.sum(axis=0)
         top = right[best, np.arange(len(texts))]
         score = np.where(some & (mass > 0), top / np.maximum(mass, 1e-300), 0.0)
         names = [UNKNOWN if not s else self.languages[b] if m > 0 else self.default
                  for s, b, m in zip(some.tolist(), best.tolist(), mass.tolist(), strict=True)]
         coverage = np.where(some, top / np.maximum(total, 1.0), 0.0)
-        return names, np.clip(score, 0.0, 1.0), np.clip(coverage, 0.0, 1.0)
+        long_cover = self._right(long, long_found)[best, np.arange(len(texts))] / np.maximum(long, 1.0)
+        return names, np.clip(score, 0.0, 1.0), np.clip(coverage, 0.0, 1.0), long, np.clip(long_cover, 0.0, 1.0)
 
 
 def _count_ngrams(docs: DataFrame) -> DataFrame:
@@ -154,8 +166,12 @@ def _count_ngrams(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "h long, lang string, n long")
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
-    """Filters from the ``text`` and non-null ``lang`` of ``docs`` (with ``doc_id``, used for sampling only)."""
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least_docs: int = 1) -> Filters:
+    """Filters from the ``text`` and non-null ``lang`` of ``docs`` (with ``doc_id``, used for sampling only).
+
+    ``least_docs``: documents that hold an n-gram, at most a twentieth of the language's sample; with 1 a
+    small table's every document vouches for itself.
+    """
     docs = docs.select("doc_id", "text", "lang").where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -171,7 +187,10 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     share = F.lit(0.0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, F.col("n") / n_docs[lang]).otherwise(share)
-    kept = (counted.withColumn("share", share).where(F.col("share") >= MIN_SHARE)
+    least = F.lit(1.0)
+    for lang in languages:
+        least = F.when(F.col("lang") == lang, min(least_docs, max(1.0, n_docs[lang] / 20))).otherwise(least)
+    kept = (counted.withColumn("share", share).where((F.col("share") >= MIN_SHARE) & (F.col("n") >= least))
             .groupBy("h").agg(F.collect_list(F.struct("lang", "share")).alias("l"), F.max("share").alias("m"))
             .select("h", F.filter("l", lambda x: x["share"] >= F.col("m") * REL_SHARE)["lang"].alias("l")))
     rows = kept.toPandas()
@@ -185,20 +204,23 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "lang_pred",
-             score: str = "score", coverage: str = "coverage") -> DataFrame:
-    """``docs`` with the predicted language, its score and its coverage for every whole ``text``."""
+             score: str = "score", coverage: str = "coverage", long: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with the predicted language, its score and its coverage for every whole ``text``.
+
+    ``long``: names of two more columns, the number of n-grams of ``LONG_ORDERS`` and the coverage over these.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    kept = [c for c in docs.columns if c not in (lang, score, coverage)]
+    names = [lang, score, coverage, *(long or ())]
+    kept = [c for c in docs.columns if c not in names]
     schema = T.StructType([docs.schema[c] for c in kept] + [
-        T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()),
-        T.StructField(coverage, T.DoubleType())])
+        T.StructField(c, T.DoubleType() if c != lang else T.StringType()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in slices(whole, text):
-                names, scores, covers = sent.value.predict(texts)
+                told, *numbers = sent.value.evidence(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores), pa.array(covers)],
-                    [*kept, lang, score, coverage])
+                    [batch.column(c) for c in kept] + [pa.array(told, pa.string())]
+                    + [pa.array(x) for x in numbers[:len(names) - 1]], [*kept, *names])
 
     return map_arrow(docs, run, schema)
