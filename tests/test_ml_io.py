@@ -102,6 +102,32 @@ def test_reference_grids_expand_and_build_spark_estimators(spark):
         make_estimator({"linear": "svm", "rbf": "svm_rbf", "poly": "svm_poly"}[p["kernel"]], p, 1000, "remember")
 
 
+def test_queries_search_every_reference_candidate_of_every_kind(spark, monkeypatch):
+    from wordloom.functions.constants import REFERENCE_GRIDS
+    from wordloom.operators import search as se
+    from wordloom.plans import q_ml
+
+    monkeypatch.setattr(q_ml, "_FRAMES", {})
+    monkeypatch.setattr(q_ml, "model_frame", lambda *_: spark.createDataFrame([("train", 0)], "split string, rung_part int"))
+    asked, fitted = [], []
+
+    def evaluate(frame, level, kind, params, fold_col, fold):  # naive Bayes' last value is best
+        asked.append((kind, level, md.params_key(params), fold))
+        return 0.9 if params.get("var_smoothing") == 1e-10 else 0.1
+
+    monkeypatch.setattr(se, "_evaluate", evaluate)
+    monkeypatch.setattr(se, "fit_level", lambda frame, lv, kind, params, n: fitted.append((kind, lv, params)))
+    best = q_ml.search_best_params(spark, "none").collect()
+    assert {(r["model"], r["params"], r["mean_f1"]) for r in best} == {("nb", '{"var_smoothing":1e-10}', 0.9)}
+    want = {(kind, lv, md.params_key(p), f) for kind, grid in REFERENCE_GRIDS.items()
+            for p in md.distinct_candidates(kind, se.expand_grid(grid)) for lv in q_ml.LEVELS for f in range(3)}
+    assert set(asked) == want and len(asked) == len(want) == (3 + 16 + 42 + 54 + 24) * 18
+    q_ml._tuned(spark, "none", "nb")  # the scores are there already
+    assert len(asked) == len(want) and fitted and all(p == {"var_smoothing": 1e-10} for _, _, p in fitted)
+    rows = q_ml.search_halving(spark, "none").collect()
+    assert {(r["model"], r["params"]) for r in rows if r["rung"] == 0} == {(k, p) for k, _, p, _ in want}
+
+
 def test_rbf_features_read_sparse_vectors_and_equal_the_dense_formula(spark):
     import math
 

@@ -82,16 +82,17 @@ def halving_search(frame: DataFrame, levels: list[str], kind: str, grid: list[di
 
 
 def tune(frame: DataFrame, levels: list[str], kind: str, grid: list[dict], k: int,
-         parallelism: int = 8) -> list[FittedLevel]:
-    """Grid search, then the best candidate of each level fitted again on all of ``frame``."""
+         parallelism: int = 8, scores: DataFrame | None = None) -> list[FittedLevel]:
+    """Grid search, then the best candidate of each level fitted again on all of ``frame``.
+
+    ``scores``: the search's scores where it has been run.
+    """
     grid = distinct_candidates(kind, grid)
     n = frame.count()
-    if len(grid) == 1:  # nothing to choose from
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            return list(pool.map(lambda lv: fit_level(frame, lv, kind, grid[0], n), levels))
     by_key = {params_key(p): p for p in grid}
-    best = best_params(scores_frame(frame.sparkSession, grid_search(frame, levels, kind, grid, k, parallelism=parallelism)))
-    winners = {r["level"]: by_key[r["params"]] for r in best.collect()}
+    if scores is None:
+        scores = scores_frame(frame.sparkSession, grid_search(frame, levels, kind, grid, k, parallelism=parallelism))
+    winners = {r["level"]: by_key[r["params"]] for r in best_params(scores).collect()}
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         return list(pool.map(lambda lv: fit_level(frame, lv, kind, winners[lv], n), levels))
 

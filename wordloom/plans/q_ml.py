@@ -21,6 +21,7 @@ from ..functions.constants import (
     LEVELS,
     MAX_FEATURES,
     N_FOLDS,
+    REFERENCE_GRIDS,
     TOP_FEATURES_PER_LEVEL,
 )
 from ..operators import evaluate as ev
@@ -42,16 +43,8 @@ SVM = {"C": 1.0, "max_iter": 50}
 RF = {"n_estimators": 20, "max_depth": 8}
 GBT = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1}
 MULTI_RF = {"n_estimators": 30, "max_depth": 10}
-# One or two candidates of each model's grid (REFERENCE_GRIDS): a search of all of them is a matter of hours.
-TUNE_GRIDS = {
-    "nb": [{"var_smoothing": 1e-9}],
-    "svm": [{"C": 0.1, "kernel": "linear", "max_iter": 20}, {"C": 10, "kernel": "rbf", "gamma": "scale", "max_iter": 20}],
-    "logreg": [{"C": 0.1, "penalty": "l2", "max_iter": 20}, {"C": 1, "penalty": "l2", "max_iter": 20}],
-    "rf": [{"n_estimators": 10, "max_depth": 5}, {"n_estimators": 10, "max_depth": 10}],
-    "gbt": [{"n_estimators": 3, "max_depth": 3, "learning_rate": 0.1}, {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.5}],
-}
-SEARCH_GRID = [{"C": 0.1, "penalty": "l2", "max_iter": 20}, {"C": 1.0, "penalty": "l2", "max_iter": 20}]
-HALVING_GRID = [{"C": c, "penalty": "l2", "max_iter": 20} for c in (0.1, 1.0, 10.0)]
+# Every different candidate of the reference's grids: 3 + 16 + 42 + 54 + 24, times six levels and three folds.
+TUNE_GRIDS = {kind: md.distinct_candidates(kind, se.expand_grid(grid)) for kind, grid in REFERENCE_GRIDS.items()}
 
 
 def _key(spark, sf_dir, name):
@@ -197,15 +190,19 @@ def multilabel_proba_wide(spark, sf_dir):
     return md.proba_wide(_multilabel(spark, sf_dir), LEVELS)
 
 
-def _search_scores(spark, sf_dir) -> DataFrame:
-    key = _key(spark, sf_dir, "grid")
+def _kind_scores(spark, sf_dir, kind: str) -> DataFrame:
+    """Scores of all candidates of one kind; once per session."""
+    key = _key(spark, sf_dir, f"grid-{kind}")
     if key not in _FRAMES:
         frame = _train(model_frame(spark, sf_dir))
-        rows = se.grid_search(frame, LEVELS, "logreg", SEARCH_GRID, N_FOLDS)
-        _FRAMES[key] = se.scores_frame(spark, rows)
+        _FRAMES[key] = se.scores_frame(spark, se.grid_search(frame, LEVELS, kind, TUNE_GRIDS[kind], N_FOLDS))
     return _FRAMES[key]
 
 
+def _search_scores(spark, sf_dir) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_kind_scores(spark, sf_dir, kind) for kind in TUNE_GRIDS])
+
+
 @register("search_grid")
 def search_grid(spark, sf_dir):
     return _search_scores(spark, sf_dir).withColumn("f1", F.round("f1", 6))
@@ -214,7 +211,8 @@ def search_grid(spark, sf_dir):
 @register("search_halving")
 def search_halving(spark, sf_dir):
     frame = _train(model_frame(spark, sf_dir))
-    rows = se.halving_search(frame, LEVELS, "logreg", HALVING_GRID, N_FOLDS, HALVING_RUNGS, HALVING_FACTOR)
+    rows = [row for kind, grid in TUNE_GRIDS.items()
+            for row in se.halving_search(frame, LEVELS, kind, grid, N_FOLDS, HALVING_RUNGS, HALVING_FACTOR)]
     return se.scores_frame(spark, rows).withColumn("f1", F.round("f1", 6))
 
 
@@ -255,7 +253,8 @@ def _tuned(spark, sf_dir, kind: str) -> list[md.FittedLevel]:
     """The search winner of every level, fitted again on all training rows; once per session."""
     key = _key(spark, sf_dir, f"tuned-{kind}")
     if key not in _FRAMES:
-        _FRAMES[key] = se.tune(_train(model_frame(spark, sf_dir)), LEVELS, kind, TUNE_GRIDS[kind], N_FOLDS)
+        _FRAMES[key] = se.tune(_train(model_frame(spark, sf_dir)), LEVELS, kind, TUNE_GRIDS[kind], N_FOLDS,
+                               scores=_kind_scores(spark, sf_dir, kind))
     return _FRAMES[key]
 
 
