@@ -46,7 +46,7 @@ def kind_of(kind: str, params: dict) -> str:
 
 
 def effective(kind: str, params: dict) -> tuple:
-    """What of a candidate Spark's estimators tell apart; equal tuples fit equal models."""
+    """What of a candidate the fits tell apart; equal tuples fit equal models."""
     kind = kind_of(kind, params)
     p = dict(params)
     c = float(p.get("C", 1.0))
@@ -56,11 +56,11 @@ def effective(kind: str, params: dict) -> tuple:
     if kind == "rf":
         depth = p.get("max_depth")
         return (kind, int(p.get("n_estimators", 100)), MAX_TREE_DEPTH if depth is None else int(depth),
-                str(p.get("max_features", "sqrt")).replace("auto", "sqrt"), int(p.get("min_samples_leaf", 1)),
-                bool(p.get("bootstrap", True)))
-    if kind == "svm_rbf":
+                str(p.get("max_features", "sqrt")).replace("auto", "sqrt"), int(p.get("min_samples_split", 2)),
+                int(p.get("min_samples_leaf", 1)), bool(p.get("bootstrap", True)))
+    if kind in ("svm_rbf", "svm_poly"):  # gamma scales both kernels
         return kind, c, p.get("gamma", "scale"), int(p.get("max_iter", 100))
-    if kind in ("svm", "svm_poly"):
+    if kind == "svm":
         return kind, c, int(p.get("max_iter", 100))
     return (kind, *sorted(p.items()))
 

@@ -1,23 +1,37 @@
-"""Hyper-parameter search (M9-M11, M17): k-fold grid search and successive halving.
+"""Hyper-parameter search (M9-M12, M17): k-fold grid search, successive halving, refits, predictions on any table.
 
-Fits are Spark jobs; the driver only loops over (candidate, fold) pairs and
-keeps a table of scores.  Several fits run at once from a thread pool, the
-way ``CrossValidator(parallelism=k)`` does.  Folds are stratified hash-ordered
-chunks (``sampling.kfold``); halving rungs are nested hash-ordered subsets
-(``sampling.halving_rungs``), so every run sees the same rows.
+Candidates are searched on a bounded labelled sample: at most ``LABELLED_ROWS`` training rows, the first in md5 order
+(``blocks.labelled_sample``; the bound is a parameter).  The sample travels once as a broadcast variable, and every
+(kind, level, fold, group of candidates that share a fit) is one row of a job table and one task of one Spark
+job, so a search is a few jobs however many candidates it has.  Scores come back as rows; fitted winners are written as a
+table in the shared folder and read again for predictions, which run over all rows of a table in one narrow pass.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from concurrent.futures import ThreadPoolExecutor
+import time
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .evaluate import confusion, f1_pos
-from .models import FittedLevel, distinct_candidates, fit_candidate, fit_level, params_key
+from ..session import ship
+from .blocks import Sample, Sparse
+from .fits import TREE_ARRAYS, Model, Prepared, fit_candidates, grow_outputs, jobs_of, prepare
+from .models import distinct_candidates, params_key
+from .trees import Bins, Trees
+
+LABELLED_ROWS = 2_000
+# Rows that the smallest rung must have, per class and fold.
+LEAST_ROWS = 2
+SCORE_SCHEMA = "level string, model string, params string, rung int, fold int, f1 double"
+MODEL_SCHEMA = "level string, model string, params string, fit_seconds double, n_rows long, blob binary"
 
 
 def expand_grid(grid: dict) -> list[dict]:
@@ -26,10 +40,83 @@ def expand_grid(grid: dict) -> list[dict]:
     return [dict(zip(names, values)) for values in itertools.product(*(grid[n] for n in names))]
 
 
-def _f1(model, val: DataFrame, label: str) -> float | None:
-    pred = model.transform(val).select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
-    row = confusion(pred, []).select(f1_pos().alias("f1")).first()
-    return float(row["f1"]) if row is not None and row["f1"] is not None else None
+def f1_of(y: np.ndarray, yhat: np.ndarray) -> float:
+    """F1 of the positive class; 0 where it is undefined."""
+    hit, said, real = int((y & yhat).sum()), int(yhat.sum()), int(y.sum())
+    return 2.0 * hit / (said + real) if hit else 0.0
+
+
+@dataclass
+class Work:
+    """What all tasks of a search share."""
+
+    sample: Sample
+    bins: Bins
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+_PREPARED: dict[str, Prepared] = {}
+
+
+def _prepared(work: Work) -> Prepared:
+    """The sample's rows in this worker, made once for all tasks of a search."""
+    if work.name not in _PREPARED:
+        _PREPARED.clear()
+        _PREPARED[work.name] = Prepared(work.sample.x.dense(), work.bins)
+    return _PREPARED[work.name]
+
+
+def _run_jobs(spark: SparkSession, work, jobs: list[dict], run, schema: str) -> list:
+    """One task per job, the dear ones first; ``run(rows, sample, job)`` gives the job's result rows."""
+    if not jobs:
+        return []
+    ship(spark)
+    dear = {"rf": 0, "gbt": 1}
+    sent_jobs = spark.sparkContext.broadcast(sorted(jobs, key=lambda j: dear.get(j["kind"], 2)))
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                shared = work.value
+                got = run(_prepared(shared), shared.sample, sent_jobs.value[i])
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got, strict=True)], names)
+
+    n = len(jobs)
+    return spark.range(0, n, 1, n).mapInArrow(task, schema).collect()
+
+
+def _scores(rows: Prepared, sample: Sample, job: dict) -> list[tuple]:
+    """(place, level, fold, f1) of the job's candidates; f1 null in a rung too small to hold the fold."""
+    level, fold, n = job["level"], job["fold"], job["n"]
+    at = sample.levels.index(level)
+    own = sample.fold[:n, at] == fold
+    train, val = np.flatnonzero(~own), np.flatnonzero(own)
+    if not len(train) or not len(val):
+        return [(i, level, fold, None) for i in job["places"]]
+    y = sample.y[:, at]
+    prepare(job["kind"], rows)
+    held = rows.rows(val)
+    models = fit_candidates(job["kind"], job["params"], rows.rows(train), y[train])
+    return [(i, level, fold, f1_of(y[val], m.predict(held)[0])) for i, m in zip(job["places"], models, strict=True)]
+
+
+def _score_all(spark, work, alive: dict[tuple[str, str], list[int]], grids: dict[str, list[dict]], k: int,
+               n_rows: dict[str, int]) -> dict[tuple, float | None]:
+    """{(kind, level, place, fold): f1} of the candidates ``alive`` for each (kind, level)."""
+    jobs = []
+    for (kind, level), places in alive.items():
+        for group in jobs_of(kind, [grids[kind][i] for i in places]):
+            mine = [places[g] for g in group]
+            jobs += [{"kind": kind, "level": level, "fold": f, "n": n_rows[kind], "places": mine,
+                      "params": [grids[kind][i] for i in mine]} for f in range(k)]
+
+    def run(rows: Prepared, sample: Sample, job: dict) -> list[tuple]:
+        return [(job["kind"], *r) for r in _scores(rows, sample, job)]
+
+    got = _run_jobs(spark, work, jobs, run, "kind string, place long, level string, fold long, f1 double")
+    return {(r["kind"], r["level"], r["place"], r["fold"]): r["f1"] for r in got}
 
 
 def _mean(scores: list[float | None]) -> float:
@@ -38,77 +125,145 @@ def _mean(scores: list[float | None]) -> float:
     return sum(known) / len(known) if known else -math.inf
 
 
-def _evaluate(frame: DataFrame, level: str, kind: str, params: dict, fold_col: str, fold: int) -> float | None:
-    train = frame.filter(F.col(fold_col) != fold)
-    val = frame.filter(F.col(fold_col) == fold)
-    n = train.count()
-    if n == 0 or val.limit(1).count() == 0:
-        return None  # a rung too small to hold this fold has no score, and no part in the mean
-    return _f1(fit_candidate(train, level, kind, params, n), val, level)
+def grid_search(spark: SparkSession, work, levels: list[str], grids: dict[str, list[dict]], k: int) -> list[tuple]:
+    """Rows (level, model, params, rung=0, fold, f1) for every kind × level × different candidate × fold."""
+    grids = {kind: distinct_candidates(kind, g) for kind, g in grids.items()}
+    n = len(work.value.sample.x)
+    found = _score_all(spark, work, {(kind, lv): list(range(len(g))) for kind, g in grids.items() for lv in levels}, grids, k,
+                       dict.fromkeys(grids, n))
+    return [(lv, kind, params_key(grids[kind][i]), 0, f, s) for (kind, lv, i, f), s in found.items()]
 
 
-def grid_search(frame: DataFrame, levels: list[str], kind: str, grid: list[dict], k: int,
-                fold_col: str = "fold_{level}", parallelism: int = 4) -> list[tuple]:
-    """Rows (level, model, params, rung=0, fold, f1) for every level × different candidate × fold."""
-    grid = distinct_candidates(kind, grid)
-    jobs = [(lv, p, f) for lv in levels for p in grid for f in range(k)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(lambda j: _evaluate(frame, j[0], kind, j[1], fold_col.format(level=j[0]), j[2]), jobs))
-    return [(lv, kind, params_key(p), 0, f, s) for (lv, p, f), s in zip(jobs, scores)]
+def halving_schedule(n_candidates: int, n_rows: int, factor: int, k: int, n_classes: int = 2) -> list[tuple[int, int]]:
+    """(candidates, rows) of every rung: candidates shrink and rows grow by ``factor``; the last rung uses what the
+    number of rungs allows, starting from the most rows with which that many rungs still fit."""
+    least = k * LEAST_ROWS * n_classes
+    wanted = 1 + int(math.log(max(n_candidates, 1), factor) + 1e-9)
+    first = max(least, n_rows // factor ** (wanted - 1))
+    possible = 1 + (int(math.log(n_rows / first, factor) + 1e-9) if n_rows >= first else 0)
+    return [(math.ceil(n_candidates / factor ** r), min(n_rows, first * factor ** r)) for r in range(min(wanted, possible))]
 
 
-def halving_search(frame: DataFrame, levels: list[str], kind: str, grid: list[dict], k: int, rungs: int,
-                   factor: int, rung_col: str = "rung_part", fold_col: str = "fold_{level}",
-                   parallelism: int = 4) -> list[tuple]:
-    """Successive halving: rung r trains on rows with ``rung_col <= r`` (nested, growing);
-    after each rung the best ceil(c / factor) candidates per level go on."""
+def halving_search(spark: SparkSession, work, levels: list[str], grids: dict[str, list[dict]], k: int, factor: int) -> list[tuple]:
+    """Successive halving: rung r scores the best candidates of rung r - 1 on more rows (nested, in md5 order).
+    Every kind has the rungs of its own number of candidates; kinds with a further rung run in one job."""
+    grids = {kind: distinct_candidates(kind, g) for kind, g in grids.items()}
+    n = len(work.value.sample.x)
+    schedule = {kind: halving_schedule(len(g), n, factor, k) for kind, g in grids.items()}
+    alive = {(kind, lv): list(range(len(g))) for kind, g in grids.items() for lv in levels}
     out: list[tuple] = []
-    grid = distinct_candidates(kind, grid)
-    alive = {lv: list(grid) for lv in levels}
-    for r in range(rungs):
-        sub = frame.filter(F.col(rung_col) <= r)
-        jobs = [(lv, p, f) for lv in levels for p in alive[lv] for f in range(k)]
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            scores = list(pool.map(lambda j: _evaluate(sub, j[0], kind, j[1], fold_col.format(level=j[0]), j[2]), jobs))
-        per: dict = {}
-        for (lv, p, f), s in zip(jobs, scores):
-            out.append((lv, kind, params_key(p), r, f, s))
-            per.setdefault((lv, params_key(p)), []).append(s)
-        if r < rungs - 1:
-            for lv in levels:
-                ranked = sorted(alive[lv], key=lambda p: (-_mean(per[(lv, params_key(p))]), params_key(p)))
-                alive[lv] = ranked[: max(1, math.ceil(len(ranked) / factor))]
+    for r in range(max(map(len, schedule.values()))):
+        alive = {key: places for key, places in alive.items() if r < len(schedule[key[0]])}
+        found = _score_all(spark, work, alive, grids, k, {kind: s[min(r, len(s) - 1)][1] for kind, s in schedule.items()})
+        out += [(lv, kind, params_key(grids[kind][i]), r, f, s) for (kind, lv, i, f), s in found.items()]
+        for (kind, lv), places in alive.items():
+            if r + 1 < len(schedule[kind]):
+                mean = {i: _mean([found[kind, lv, i, f] for f in range(k)]) for i in places}
+                ranked = sorted(places, key=lambda i: (-mean[i], params_key(grids[kind][i])))
+                alive[kind, lv] = ranked[:schedule[kind][r + 1][0]]
     return out
 
 
-def tune(frame: DataFrame, levels: list[str], kind: str, grid: list[dict], k: int,
-         parallelism: int = 8, scores: DataFrame | None = None) -> list[FittedLevel]:
-    """Grid search, then the best candidate of each level fitted again on all of ``frame``.
-
-    ``scores``: the search's scores where it has been run.
-    """
-    grid = distinct_candidates(kind, grid)
-    n = frame.count()
-    by_key = {params_key(p): p for p in grid}
-    if scores is None:
-        scores = scores_frame(frame.sparkSession, grid_search(frame, levels, kind, grid, k, parallelism=parallelism))
-    winners = {r["level"]: by_key[r["params"]] for r in best_params(scores).collect()}
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(lambda lv: fit_level(frame, lv, kind, winners[lv], n), levels))
-
-
-SCORE_SCHEMA = "level string, model string, params string, rung int, fold int, f1 double"
-
-
 def scores_frame(spark, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, SCORE_SCHEMA)
 
 
 def best_params(scores: DataFrame, digits: int | None = 6) -> DataFrame:
-    """Top candidate per level on its last rung: mean F1 over folds, ties by params text."""
+    """Top candidate per level and model on its last rung: mean F1 over folds, ties by params text."""
     last = scores.groupBy("level", "model").agg(F.max("rung").alias("_last"))
     s = scores.join(last, ["level", "model"]).filter(F.col("rung") == F.col("_last"))
     mean = s.groupBy("level", "model", "params").agg(F.avg("f1").alias("mean_f1"))
-    w = Window.partitionBy("level").orderBy(F.desc_nulls_last("mean_f1"), F.asc("params"))
+    w = Window.partitionBy("level", "model").orderBy(F.desc_nulls_last("mean_f1"), F.asc("params"))
     top = mean.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
     return top.select("level", "model", "params", (F.round("mean_f1", digits) if digits is not None else F.col("mean_f1")).alias("mean_f1"))
+
+
+def refit(spark: SparkSession, work, winners: list[tuple[str, str, dict]]) -> list[tuple]:
+    """(level, kind, params, seconds, rows, model as bytes) of each (level, kind, params), fitted on the whole sample."""
+    jobs = [{"kind": kind, "level": lv, "params": p} for lv, kind, p in winners]
+
+    def run(rows: Prepared, sample: Sample, job: dict) -> list[tuple]:
+        begin = time.time()
+        model = fit_candidates(job["kind"], [job["params"]], rows, sample.y[:, sample.levels.index(job["level"])])[0]
+        return [(job["level"], job["kind"], params_key(job["params"]), time.time() - begin, len(rows.x), model.to_bytes())]
+
+    return [tuple(r) for r in _run_jobs(spark, work, jobs, run, MODEL_SCHEMA)]
+
+
+def save_models(spark: SparkSession, rows: list[tuple], path: str) -> None:
+    """A row per (level, model): parameters, fit seconds and the model's arrays."""
+    spark.createDataFrame(rows, MODEL_SCHEMA).write.parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> list[tuple[str, str, Model]]:
+    return [(r["level"], r["model"], Model.from_bytes(r["blob"])) for r in spark.read.parquet(path).orderBy("model", "level").collect()]
+
+
+def predict_models(frame: DataFrame, models: list[tuple[str, str, Model]], bins: Bins, dim: int, id_col: str = "doc_id",
+                   features_col: str = "features") -> DataFrame:
+    """(id, level, model, yhat, score) of every row of ``frame`` and every model, in one narrow pass."""
+    spark = frame.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast((models, bins))
+    kind = frame.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, edges = sent.value
+        for batch in batches:
+            sparse = Sparse.of_vectors(batch.column("_x"), dim)
+            for start, x in sparse.slices():
+                ids = batch.column(id_col).slice(start, len(x))
+                rows = Prepared(x, edges)
+                for level, name, model in fitted:
+                    yhat, score = model.predict(rows)
+                    model.shared.clear()
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array([level] * len(x)), pa.array([name] * len(x)), pa.array(yhat, pa.int32()), pa.array(score)],
+                        [id_col, "level", "model", "yhat", "score"])
+
+    return frame.select(id_col, F.col(features_col).alias("_x")).mapInArrow(
+        run, f"`{id_col}` {kind}, level string, model string, yhat int, score double")
+
+
+def share(spark: SparkSession, sample: Sample):
+    """The search's sample and bins as a broadcast variable; its size is bounded by the sample's rows."""
+    return spark.sparkContext.broadcast(Work(sample, Bins.fit(sample.x.dense())))
+
+
+def joint_forest(spark: SparkSession, work, n_trees: int, trees_a_job: int = 10) -> Model:
+    """One forest with an output per level: every split lowers the Gini impurity summed over all levels (M7).
+
+    Full depth, square root of the features a node, rows drawn with repeats; a job grows ``trees_a_job`` of the trees.
+    """
+    jobs = [{"kind": "rf", "first": t, "n": min(trees_a_job, n_trees - t)} for t in range(0, n_trees, trees_a_job)]
+
+    def run(rows: Prepared, sample: Sample, job: dict) -> list[tuple]:
+        trees = grow_outputs(rows, sample.y, job["first"], job["n"])
+        return [(job["first"], Model("joint_rf", {"n_estimators": job["n"]}, {f: getattr(trees, f) for f in TREE_ARRAYS}).to_bytes())]
+
+    parts = sorted(map(tuple, _run_jobs(spark, work, jobs, run, "first long, blob binary")))
+    trees = Trees.joined([Trees(*(Model.from_bytes(blob).arrays[f] for f in TREE_ARRAYS)) for _, blob in parts])
+    return Model("joint_rf", {"n_estimators": n_trees}, {f: getattr(trees, f) for f in TREE_ARRAYS})
+
+
+def predict_outputs(frame: DataFrame, model: Model, levels: list[str], bins: Bins, dim: int, id_col: str = "doc_id",
+                    features_col: str = "features") -> DataFrame:
+    """(id, level, yhat, score): the six probabilities of a joint forest for every row, in one narrow pass."""
+    spark = frame.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast((model, bins))
+    kind = frame.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, edges = sent.value
+        for batch in batches:
+            for start, x in Sparse.of_vectors(batch.column("_x"), dim).slices():
+                ids = batch.column(id_col).slice(start, len(x))
+                score = fitted.outputs(Prepared(x, edges))
+                for k, level in enumerate(levels):
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array([level] * len(x)), pa.array((score[:, k] > 0.5).astype(np.int32)), pa.array(score[:, k])],
+                        [id_col, "level", "yhat", "score"])
+
+    return frame.select(id_col, F.col(features_col).alias("_x")).mapInArrow(
+        run, f"`{id_col}` {kind}, level string, yhat int, score double")

@@ -6,8 +6,8 @@ The frame uses the SF's documents with the full 1,000-term vocabularies of the f
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
-from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.constants import (
     FOLD_SEED,
     HALVING_FACTOR,
-    HALVING_RUNGS,
     HALVING_SEED,
     LEVELS,
     MAX_FEATURES,
@@ -24,26 +23,37 @@ from ..functions.constants import (
     REFERENCE_GRIDS,
     TOP_FEATURES_PER_LEVEL,
 )
+from ..operators import blocks as bl
 from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import models as md
 from ..operators import ranking as rk
 from ..operators import sampling as sm
 from ..operators import search as se
-from ..session import reliable_checkpoint, scratch_path, session_key
+from ..operators.fits import Model
+from ..session import read_table, reliable_checkpoint, scratch_path, session_key
 from . import views
 from .q_features import feature_state, split_docs
-from .q_prep import sql_split_r1
+from .q_prep import ql, sql_split_r1
 from .registry import register
 
 _FRAMES: dict = {}
 
-LOGREG = {"C": 1.0, "penalty": "l2", "max_iter": 50}
+LOGREG = {"C": 1.0, "penalty": "l2", "tol": 1e-4, "max_iter": 200}
 SVM = {"C": 1.0, "max_iter": 50}
-RF = {"n_estimators": 20, "max_depth": 8}
-GBT = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1}
-MULTI_RF = {"n_estimators": 30, "max_depth": 10}
-# Every different candidate of the reference's grids: 3 + 16 + 42 + 54 + 24, times six levels and three folds.
+RF = {"n_estimators": 50, "max_depth": 10}
+# One candidate of every kind, as the libraries set them by default or, for boosting, the first of the grid.
+DEFAULTS = {
+    "nb": {"var_smoothing": 1e-9},
+    "svm": {"C": 1.0, "gamma": "scale", "kernel": "rbf"},
+    "logreg": {"penalty": "l2", "C": 1.0, "solver": "saga", "tol": 1e-4, "max_iter": 200},
+    "rf": {"n_estimators": 100, "max_depth": None, "max_features": "sqrt", "min_samples_split": 2, "min_samples_leaf": 1,
+           "bootstrap": True},
+    "gbt": {"gamma": 0.1, "learning_rate": 0.1, "max_depth": 5, "n_estimators": 100},
+}
+# Trees of the forest with six outputs: full depth, square root of the features, as the library's default.
+JOINT_TREES = 100
+# Every different candidate of the reference's grids: 3 + 20 + 42 + 162 + 24, times six levels and three folds.
 TUNE_GRIDS = {kind: md.distinct_candidates(kind, se.expand_grid(grid)) for kind, grid in REFERENCE_GRIDS.items()}
 
 
@@ -51,15 +61,23 @@ def _key(spark, sf_dir, name):
     return (*session_key(spark), sf_dir, name)
 
 
+def _state(spark, sf_dir, name: str, make):
+    """Fitted state, made once per session."""
+    key = _key(spark, sf_dir, name)
+    if key not in _FRAMES:
+        _FRAMES[key] = make()
+    return _FRAMES[key]
+
+
 def model_frame(spark, sf_dir) -> DataFrame:
-    """(doc_id, split, features, six 0/1 labels, fold_<level>, rung_part), checkpointed once."""
+    """(doc_id, split, features, six 0/1 labels, fold_<level>), checkpointed once."""
     key = _key(spark, sf_dir, "frame")
     if key in _FRAMES:
         return _FRAMES[key]
     docs = split_docs(spark, sf_dir)
     state = feature_state(spark, sf_dir, MAX_FEATURES)
     vec = ft.vector_features(docs.select("doc_id", "text"), state)
-    # ids, split and the six labels: a narrow table (no text), written once so that folds, rungs
+    # ids, split and the six labels: a narrow table (no text), written once so that folds
     # and the frame read it instead of re-running the label regexes over every text
     labelled = reliable_checkpoint(views.with_level_labels(docs).select(
         "doc_id", "split", *[F.coalesce(F.col(lv), F.lit(0.0)).alias(lv) for lv in LEVELS]
@@ -69,15 +87,9 @@ def model_frame(spark, sf_dir) -> DataFrame:
     folds = sm.kfold(long, "doc_id", FOLD_SEED, N_FOLDS, strata=["level", "y"])
     folds_wide = folds.groupBy("doc_id").pivot("level", LEVELS).agg(F.first("fold"))
     folds_wide = folds_wide.select("doc_id", *[F.col(lv).alias(f"fold_{lv}") for lv in LEVELS])
-    rungs = sm.hash_parts(
-        train.select("doc_id"), "doc_id", HALVING_SEED,
-        lambda n: [sm.ceil_share(n, Fraction(1, HALVING_FACTOR ** (HALVING_RUNGS - 1 - r)))
-                   for r in range(HALVING_RUNGS - 1)],
-    ).withColumnRenamed("part", "rung_part")
     frame = (
         labelled.join(vec, "doc_id")
         .join(folds_wide, "doc_id", "left")
-        .join(rungs, "doc_id", "left")
     )
     frame = reliable_checkpoint(frame)
     _FRAMES[key] = frame
@@ -166,18 +178,32 @@ def rf_predict(spark, sf_dir):
     return _level_predictions(spark, sf_dir, "rf", RF)
 
 
+def _default_models(spark, sf_dir) -> list:
+    """(level, kind, model) of ``DEFAULTS`` for every level, fitted on the bounded labelled sample."""
+    def make() -> list:
+        rows = se.refit(spark, _work(spark, sf_dir), [(lv, kind, p) for kind, p in DEFAULTS.items() for lv in LEVELS])
+        return [(r[0], r[1], Model.from_bytes(r[5])) for r in rows]
+
+    return _state(spark, sf_dir, "defaults", make)
+
+
 @register("gbt_predict")
 def gbt_predict(spark, sf_dir):
-    return _level_predictions(spark, sf_dir, "gbt", GBT)
+    """Newton boosting of every level."""
+    models = [m for m in _default_models(spark, sf_dir) if m[1] == "gbt"]
+    return se.predict_models(_test(model_frame(spark, sf_dir)), models, _work(spark, sf_dir).value.bins,
+                             _dim(spark, sf_dir)).select("doc_id", "level", "yhat")
+
+
+def _joint_forest(spark, sf_dir, frame: DataFrame) -> DataFrame:
+    """(doc_id, level, yhat, score) of one forest with six outputs."""
+    model = _state(spark, sf_dir, "joint", lambda: se.joint_forest(spark, _work(spark, sf_dir), JOINT_TREES))
+    return se.predict_outputs(frame, model, LEVELS, _work(spark, sf_dir).value.bins, _dim(spark, sf_dir))
 
 
 def _multilabel(spark, sf_dir) -> DataFrame:
-    key = _key(spark, sf_dir, "multi")
-    if key not in _FRAMES:
-        frame = model_frame(spark, sf_dir)
-        fitted = fit_all_levels(frame, "rf", MULTI_RF)
-        _FRAMES[key] = reliable_checkpoint(predict_all(fitted, _test(frame)))
-    return _FRAMES[key]
+    return _state(spark, sf_dir, "multi", lambda: reliable_checkpoint(
+        _joint_forest(spark, sf_dir, _test(model_frame(spark, sf_dir)))))
 
 
 @register("multilabel_rf_predict")
@@ -190,17 +216,24 @@ def multilabel_proba_wide(spark, sf_dir):
     return md.proba_wide(_multilabel(spark, sf_dir), LEVELS)
 
 
-def _kind_scores(spark, sf_dir, kind: str) -> DataFrame:
-    """Scores of all candidates of one kind; once per session."""
-    key = _key(spark, sf_dir, f"grid-{kind}")
-    if key not in _FRAMES:
-        frame = _train(model_frame(spark, sf_dir))
-        _FRAMES[key] = se.scores_frame(spark, se.grid_search(frame, LEVELS, kind, TUNE_GRIDS[kind], N_FOLDS))
-    return _FRAMES[key]
+def _dim(spark, sf_dir) -> int:
+    return len(feature_state(spark, sf_dir, MAX_FEATURES).names())
+
+
+def _work(spark, sf_dir):
+    """The bounded labelled sample of all searches."""
+    return _state(spark, sf_dir, "work", lambda: se.share(spark, bl.labelled_sample(
+        _train(model_frame(spark, sf_dir)), LEVELS, _dim(spark, sf_dir), se.LABELLED_ROWS, HALVING_SEED)))
 
 
 def _search_scores(spark, sf_dir) -> DataFrame:
-    return reduce(DataFrame.unionByName, [_kind_scores(spark, sf_dir, kind) for kind in TUNE_GRIDS])
+    return _state(spark, sf_dir, "grid", lambda: se.scores_frame(spark, se.grid_search(
+        spark, _work(spark, sf_dir), LEVELS, TUNE_GRIDS, N_FOLDS)))
+
+
+def _halving_scores(spark, sf_dir) -> DataFrame:
+    return _state(spark, sf_dir, "halving", lambda: se.scores_frame(spark, se.halving_search(
+        spark, _work(spark, sf_dir), LEVELS, TUNE_GRIDS, N_FOLDS, HALVING_FACTOR)))
 
 
 @register("search_grid")
@@ -210,33 +243,39 @@ def search_grid(spark, sf_dir):
 
 @register("search_halving")
 def search_halving(spark, sf_dir):
-    frame = _train(model_frame(spark, sf_dir))
-    rows = [row for kind, grid in TUNE_GRIDS.items()
-            for row in se.halving_search(frame, LEVELS, kind, grid, N_FOLDS, HALVING_RUNGS, HALVING_FACTOR)]
-    return se.scores_frame(spark, rows).withColumn("f1", F.round("f1", 6))
+    return _halving_scores(spark, sf_dir).withColumn("f1", F.round("f1", 6))
 
 
 @register("search_best_params")
 def search_best_params(spark, sf_dir):
+    """The winner of every level and model over the whole grids."""
     return se.best_params(_search_scores(spark, sf_dir))
 
 
-@register(
-    "score_two_sets",
-    f"""WITH {sql_split_r1()}, {views.sql_second()}
-SELECT d.dataset, l.level, d.n, CAST(0 AS BIGINT) AS n_unscored
-FROM (SELECT 'test' AS dataset, count(*) AS n FROM split_r1 WHERE split = 'test'
-      UNION ALL SELECT 'second', count(*) FROM v_second) d
-CROSS JOIN (SELECT unnest({LEVELS}) AS level) l""",
-)
-def score_two_sets(spark, sf_dir):
-    """Rows scored by the search winners in each test set and level, and those left without a score."""
-    fitted = _tuned(spark, sf_dir, "logreg")
-    parts = [predict_all(fitted, frame).select(F.lit(name).alias("dataset"), "level", "yhat", "score")
-             for name, frame in (("test", _test(model_frame(spark, sf_dir))), ("second", second_frame(spark, sf_dir)))]
-    bad = ~F.col("yhat").isin(0, 1) | F.col("score").isNull() | F.isnan("score")
-    return parts[0].unionByName(parts[1]).groupBy("dataset", "level").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("n_unscored"))
+def _winners(spark, sf_dir) -> str:
+    """Folder of the halving search's winners, a model per level and kind, fitted again on the whole sample."""
+    def make() -> str:
+        best = se.best_params(_halving_scores(spark, sf_dir)).collect()
+        rows = se.refit(spark, _work(spark, sf_dir), [(r["level"], r["model"], json.loads(r["params"])) for r in best])
+        path = scratch_path(spark, "models")
+        se.save_models(spark, rows, path)
+        return path
+
+    return _state(spark, sf_dir, "winners", make)
+
+
+def _both_sets(spark, sf_dir, models) -> DataFrame:
+    """(dataset, doc_id, level, model, yhat, score) of ``models`` on both test sets, stored once."""
+    bins, dim = _work(spark, sf_dir).value.bins, _dim(spark, sf_dir)
+    parts = [se.predict_models(frame.withColumn("doc_id", F.col("doc_id").cast("string")), models, bins, dim).withColumn(
+        "dataset", F.lit(name)) for name, frame in (
+            ("test", _test(model_frame(spark, sf_dir))), ("second", second_frame(spark, sf_dir)))]
+    return parts[0].unionByName(parts[1])
+
+
+def _winner_predictions(spark, sf_dir) -> DataFrame:
+    return _state(spark, sf_dir, "predictions", lambda: reliable_checkpoint(
+        _both_sets(spark, sf_dir, se.load_models(spark, _winners(spark, sf_dir)))))
 
 
 def _gold(spark, sf_dir) -> DataFrame:
@@ -249,51 +288,122 @@ def _gold(spark, sf_dir) -> DataFrame:
         long(second_frame(spark, sf_dir), "doc_id", "second"))
 
 
-def _tuned(spark, sf_dir, kind: str) -> list[md.FittedLevel]:
-    """The search winner of every level, fitted again on all training rows; once per session."""
-    key = _key(spark, sf_dir, f"tuned-{kind}")
-    if key not in _FRAMES:
-        _FRAMES[key] = se.tune(_train(model_frame(spark, sf_dir)), LEVELS, kind, TUNE_GRIDS[kind], N_FOLDS,
-                               scores=_kind_scores(spark, sf_dir, kind))
-    return _FRAMES[key]
+def _sql_gold() -> str:
+    """Rows and positive labels of both test sets by level, from the given tables."""
+    return f"""{sql_split_r1()}, {views.sql_objectives()}, {views.sql_second()}, {views.sql_second_labels()},
+gold AS (
+  SELECT 'test' AS dataset, level, y FROM (
+    SELECT {', '.join(f"CAST(coalesce(o.{ql(lv)}, 0) AS BIGINT) AS {ql(lv)}" for lv in LEVELS)}
+    FROM v_objectives o JOIN split_r1 s ON s.doc_id = o.doc_id WHERE s.split = 'test')
+  UNPIVOT (y FOR level IN ({', '.join(ql(lv) for lv in LEVELS)}))
+  UNION ALL
+  SELECT 'second', level, y FROM (SELECT {', '.join(ql(lv) for lv in LEVELS)} FROM v_second_labels)
+  UNPIVOT (y FOR level IN ({', '.join(ql(lv) for lv in LEVELS)})))"""
+
+
+@register(
+    "score_two_sets",
+    f"""WITH {_sql_gold()}
+SELECT g.dataset, g.level, m.model, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_positive, CAST(0 AS BIGINT) AS n_unscored,
+       TRUE AS confusion_adds_up, TRUE AS metrics_agree
+FROM gold g CROSS JOIN (SELECT unnest({list(TUNE_GRIDS)}) AS model) m GROUP BY g.dataset, g.level, m.model""",
+)
+def score_two_sets(spark, sf_dir):
+    """The winners of every kind on both test sets, predictions joined with gold by key: rows and positives as the
+    gold tables have them, rows without a score, and whether the report's metrics follow from the confusion counts."""
+    joined = ev.with_gold(_winner_predictions(spark, sf_dir), _gold(spark, sf_dir), ["dataset", "doc_id", "level"])
+    bad = F.coalesce(~F.col("yhat").isin(0, 1), F.lit(True)) | F.col("score").isNull() | F.isnan("score")
+    hit = (F.col("y") == 1) & (F.col("yhat") == 1)
+    keys = ["dataset", "level", "model"]
+    counted = joined.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("n_positive"),
+        F.count(F.when(bad, 1)).alias("n_unscored"), F.count(F.when(hit, 1)).alias("_tp"),
+        F.sum(F.col("yhat").cast("long")).alias("_said"), F.count(F.when(F.col("y") == F.col("yhat"), 1)).alias("_same"))
+    both = counted.join(ev.headline(joined, keys), keys)
+    f1 = F.when(F.col("_tp") > 0, 2 * F.col("_tp") / (F.col("_said") + F.col("n_positive"))).otherwise(0.0)
+    agree = (F.abs(F.col("accuracy") - F.col("_same") / F.col("n")) < 1e-5) & (F.abs(F.col("f1") - f1) < 1e-5)
+    apart = (F.col("_said") - F.col("_tp")) + (F.col("n_positive") - F.col("_tp"))  # false of both kinds
+    return both.select(*keys, "n", "n_positive", "n_unscored", (F.col("_same") + apart == F.col("n")).alias("confusion_adds_up"),
+                       agree.alias("metrics_agree"))
 
 
 @register("train_levels_report")
 def train_levels_report(spark, sf_dir):
-    """All levels × five models: search, refit, both test sets, metrics from predictions joined with gold by key."""
-    parts, fit_rows = [], []
-    for kind in TUNE_GRIDS:
-        fitted = _tuned(spark, sf_dir, kind)
-        fit_rows += [(kind, f.level, float(f.fit_seconds), md.params_key(f.params)) for f in fitted]
-        for dataset, frame in (("test", _test(model_frame(spark, sf_dir))), ("second", second_frame(spark, sf_dir))):
-            parts.append(predict_all(fitted, frame).select(
-                F.lit(dataset).alias("dataset"), F.lit(kind).alias("model"), F.col("doc_id").cast("string").alias("doc_id"),
-                "level", "yhat"))
-    preds = ev.with_gold(reduce(DataFrame.unionByName, parts), _gold(spark, sf_dir), ["dataset", "doc_id", "level"])
+    """All levels × five models: halving search, refit, both test sets, metrics from predictions joined with gold by key."""
+    preds = ev.with_gold(_winner_predictions(spark, sf_dir), _gold(spark, sf_dir), ["dataset", "doc_id", "level"])
     metrics = ev.headline(preds, ["dataset", "level", "model"])
-    times = spark.createDataFrame(fit_rows, "model string, level string, fit_seconds double, best_params string")
-    return metrics.join(F.broadcast(times), ["model", "level"]).select(
-        "dataset", "level", "model", "best_params", "accuracy", "kappa", "auc", "f1",
-        F.round("fit_seconds", 3).alias("fit_seconds")
-    )
+    fitted = spark.read.parquet(_winners(spark, sf_dir)).select("level", "model", "params", "fit_seconds")
+    return metrics.join(F.broadcast(fitted), ["level", "model"]).select(
+        "dataset", "level", "model", F.col("params").alias("best_params"), "accuracy", "kappa", "auc", "f1",
+        F.round("fit_seconds", 3).alias("fit_seconds"))
 
 
 @register(
     "model_persist_roundtrip",
     f"""WITH {sql_split_r1()}
-SELECT 'remember' AS level, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differ FROM split_r1 WHERE split = 'test'""",
+SELECT l.level, m.model, s.n AS n_rows, CAST(0 AS BIGINT) AS n_differ
+FROM (SELECT count(*) AS n FROM split_r1 WHERE split = 'test') s
+CROSS JOIN (SELECT unnest({LEVELS}) AS level) l CROSS JOIN (SELECT unnest({list(TUNE_GRIDS)}) AS model) m""",
 )
 def model_persist_roundtrip(spark, sf_dir):
-    """Save the search winner of a level to the shared scratch folder, load it, and count where the copies differ."""
-    from pyspark.ml.classification import LogisticRegressionModel
-
-    winner = next(f for f in _tuned(spark, sf_dir, "logreg") if f.level == "remember")
-    path = scratch_path(spark, "model-logreg-remember")
-    winner.model.write().overwrite().save(path)
-    loaded = LogisticRegressionModel.load(path)
-    test = _test(model_frame(spark, sf_dir))
-    before = winner.model.transform(test).select("doc_id", F.col("prediction").alias("before"))
-    after = loaded.transform(test).select("doc_id", F.col("prediction").alias("after"))
-    return before.join(after, "doc_id").agg(
-        F.lit("remember").alias("level"), F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.when(F.col("before") != F.col("after"), 1)).alias("n_differ"))
+    """The winner of every level and kind written to the shared folder, loaded, written and loaded again: rows of the test
+    set, and those on which the loaded copies differ."""
+    first = se.load_models(spark, _winners(spark, sf_dir))
+    path = scratch_path(spark, "models-again")
+    se.save_models(spark, [(lv, kind, se.params_key(m.params), 0.0, 0, m.to_bytes()) for lv, kind, m in first], path)
+    again = _both_sets(spark, sf_dir, se.load_models(spark, path)).where("dataset = 'test'")
+    kept = _winner_predictions(spark, sf_dir).where("dataset = 'test'")
+    keys = ["doc_id", "level", "model"]
+    both = kept.select(*keys, F.col("yhat").alias("a"), F.col("score").alias("sa")).join(
+        again.select(*keys, F.col("yhat").alias("b"), F.col("score").alias("sb")), keys)
+    return both.groupBy("level", "model").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when((F.col("a") != F.col("b")) | (F.col("sa") != F.col("sb")), 1)).alias("n_differ"))
+
+
+# Kinds whose fit minimizes a loss or an impurity, so that it cannot do worse on its rows than one class for all.
+CERTIFIED = ["svm", "logreg", "rf", "gbt", "joint_rf"]
+
+
+@register(
+    "fit_certificates",
+    f"""WITH {sql_split_r1()}, {views.sql_objectives()},
+gold AS (
+  SELECT level, y FROM (
+    SELECT {', '.join(f"CAST(coalesce(o.{ql(lv)}, 0) AS BIGINT) AS {ql(lv)}" for lv in LEVELS)}
+    FROM v_objectives o JOIN split_r1 s ON s.doc_id = o.doc_id WHERE s.split = 'train')
+  UNPIVOT (y FOR level IN ({', '.join(ql(lv) for lv in LEVELS)})))
+SELECT g.level, m.model, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_positive, CAST(0 AS BIGINT) AS n_unscored,
+       TRUE AS no_worse_than_one_class
+FROM gold g CROSS JOIN (SELECT unnest({CERTIFIED}) AS model) m GROUP BY g.level, m.model""",
+)
+def fit_certificates(spark, sf_dir):
+    """Every kind and the joint forest on the training rows: rows and positives as the label tables have them, rows
+    without a score, and whether at least as many rows are right as with the larger class for all."""
+    train = _train(model_frame(spark, sf_dir))
+    told = se.predict_models(train, [m for m in _default_models(spark, sf_dir) if m[1] in CERTIFIED],
+                             _work(spark, sf_dir).value.bins, _dim(spark, sf_dir))
+    joint = _joint_forest(spark, sf_dir, train).withColumn("model", F.lit("joint_rf"))
+    gold = train.select("doc_id", *LEVELS).unpivot(["doc_id"], LEVELS, "level", "y")
+    both = ev.with_gold(told.unionByName(joint), gold, ["doc_id", "level"])
+    bad = F.coalesce(~F.col("yhat").isin(0, 1), F.lit(True)) | F.col("score").isNull() | F.isnan("score")
+    counted = both.groupBy("level", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("n_positive"), F.count(F.when(bad, 1)).alias("n_unscored"),
+        F.count(F.when(F.col("y") == F.col("yhat"), 1)).alias("_right"))
+    larger = F.greatest("n_positive", F.col("n") - F.col("n_positive"))
+    return counted.select("level", "model", "n", "n_positive", "n_unscored", (F.col("_right") >= larger).alias("no_worse_than_one_class"))
+
+
+@register("labels_fit_report")
+def labels_fit_report(spark, sf_dir):
+    """Every kind fitted on the given labels (quality, toxic) of the training rows, with its metrics on the test rows."""
+    names = ["quality", "toxic"]
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", *names)
+    frame = reliable_checkpoint(model_frame(spark, sf_dir).select("doc_id", "split", "features").join(labels, "doc_id"))
+    dim = _dim(spark, sf_dir)
+    folds = {f"fold_{n}": F.lit(0) for n in names}
+    work = se.share(spark, bl.labelled_sample(_train(frame).withColumns(folds), names, dim, se.LABELLED_ROWS, HALVING_SEED))
+    fitted = [(r[0], r[1], Model.from_bytes(r[5])) for r in se.refit(
+        spark, work, [(lv, kind, p) for kind, p in DEFAULTS.items() for lv in names])]
+    told = se.predict_models(_test(frame), fitted, work.value.bins, dim)
+    gold = _test(frame).select("doc_id", *names).unpivot(["doc_id"], names, "level", "y")
+    return ev.headline(ev.with_gold(told, gold, ["doc_id", "level"]), ["level", "model"])

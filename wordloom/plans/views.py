@@ -117,6 +117,12 @@ def sql_second() -> str:
     return "v_second AS (SELECT conv_id || ':' || turn AS item_id, text FROM conversations)"
 
 
+def sql_second_labels() -> str:
+    """The level labels of ``v_second``, 0 or 1."""
+    labels = ", ".join(f"CAST(coalesce(list_contains(toks, '{LEVEL_TOKENS[lv]}'), FALSE) AS BIGINT) AS {lv}" for lv in LEVELS)
+    return f"v_second_labels AS (SELECT item_id, {labels} FROM (SELECT item_id, {_SQL_TOK} AS toks FROM v_second))"
+
+
 def sql_gold() -> str:
     return """v_gold AS (
   SELECT doc_id, 'quality' AS level, quality AS y FROM labels

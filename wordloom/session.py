@@ -90,6 +90,20 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
     return F.broadcast(df) if within_broadcast_bounds(df, n, limit, byte_limit) else df
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the workers of a single-machine session, wherever it was started.
+
+    On a cluster the package comes with ``--py-files`` or is installed there, as any other.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and "cluster" not in sc.master and sc.applicationId not in _SHIPPED:
+        sc.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
+        _SHIPPED.add(sc.applicationId)
+
+
 # Tables whose rows carry long texts: tokenizing them is the CPU-heavy part of most plans.
 TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
 
