@@ -1,11 +1,12 @@
 """Search loops, persistence and streaming on tiny inputs."""
 
+import pytest
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import functions as F
 
 from wordloom.operators import lexicon as lx
 from wordloom.operators import models as md
 from wordloom.operators import search as se
+from wordloom.operators.fits import Model
 from wordloom.session import scratch_path
 from wordloom.sources import persist
 from wordloom.streaming import lexicon_stream
@@ -15,37 +16,17 @@ def _frame(spark):
     rows = []
     for i in range(60):
         y = float(i % 2)
-        rows.append((i, Vectors.dense([y + 0.1 * (i % 5), 1.0 - y, float(i % 3)]), y, (i // 3) % 3, i % 3))
+        rows.append((i, Vectors.dense([y + 0.1 * (i % 5), 1.0 - y, float(i % 3)]), y, (i // 3) % 3))
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql import types as T
 
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("features", VectorUDT()),
         T.StructField("a", T.DoubleType()), T.StructField("fold_a", T.IntegerType()),
-        T.StructField("rung_part", T.IntegerType()),
     ])
     return spark.createDataFrame(rows, schema)
 
 
-def test_grid_search_rows_and_best_params(spark):
-    fr = _frame(spark)
-    grid = [{"C": 0.1, "max_iter": 10}, {"C": 10.0, "max_iter": 10}]
-    rows = se.grid_search(fr, ["a"], "logreg", grid, 3, parallelism=2)
-    assert len(rows) == 6 and all(0.0 <= r[5] <= 1.0 for r in rows)
-    best = se.best_params(se.scores_frame(spark, rows)).collect()
-    assert len(best) == 1 and best[0].params in {md.params_key(g) for g in grid}
-
-
-def test_halving_keeps_a_third_each_rung(spark):
-    fr = _frame(spark)
-    grid = [{"C": c, "max_iter": 5} for c in (0.01, 0.1, 1.0)]
-    rows = se.halving_search(fr, ["a"], "logreg", grid, 3, rungs=2, factor=3, parallelism=2)
-    per_rung = {}
-    for r in rows:
-        per_rung.setdefault(r[3], set()).add(r[2])
-    assert len(per_rung[0]) == 3 and len(per_rung[1]) == 1
-
-
 def test_estimator_mapping(spark):
     lr = md.make_estimator("logreg", {"C": 2.0, "penalty": "l1"}, 100, "a")
     assert lr.getRegParam() == 1.0 / 200 and lr.getElasticNetParam() == 1.0 and not lr.getStandardization()
@@ -92,59 +73,60 @@ def test_reference_grids_expand_and_build_spark_estimators(spark):
     assert sizes == {"nb": 3, "svm": 24, "logreg": 54, "rf": 324, "gbt": 24}
     first = expand_grid(REFERENCE_GRIDS["logreg"])[0]
     assert first == {"penalty": "l1", "C": 0.1, "solver": "saga", "tol": 0.01, "max_iter": 200}
-    different = {k: len(md.distinct_candidates(k, expand_grid(g))) for k, g in REFERENCE_GRIDS.items()}
-    # no penalty: C has no part; min_samples_split has none, "auto" is "sqrt"; linear and polynomial kernels have no gamma
-    assert different == {"nb": 3, "svm": 4 + 4 + 8, "logreg": 42, "rf": 54, "gbt": 24}
-    for kind in ("logreg", "rf", "gbt"):
+    for kind in ("logreg", "rf", "svm"):
         for p in expand_grid(REFERENCE_GRIDS[kind]):
             make_estimator(kind, p, 1000, "remember")
-    for p in expand_grid(REFERENCE_GRIDS["svm"]):
-        make_estimator({"linear": "svm", "rbf": "svm_rbf", "poly": "svm_poly"}[p["kernel"]], p, 1000, "remember")
 
 
 def test_queries_search_every_reference_candidate_of_every_kind(spark, monkeypatch):
+    from types import SimpleNamespace
+
     from wordloom.functions.constants import REFERENCE_GRIDS
-    from wordloom.operators import search as se
     from wordloom.plans import q_ml
 
     monkeypatch.setattr(q_ml, "_FRAMES", {})
-    monkeypatch.setattr(q_ml, "model_frame", lambda *_: spark.createDataFrame([("train", 0)], "split string, rung_part int"))
-    asked, fitted = [], []
-
-    def evaluate(frame, level, kind, params, fold_col, fold):  # naive Bayes' last value is best
-        asked.append((kind, level, md.params_key(params), fold))
-        return 0.9 if params.get("var_smoothing") == 1e-10 else 0.1
-
-    monkeypatch.setattr(se, "_evaluate", evaluate)
-    monkeypatch.setattr(se, "fit_level", lambda frame, lv, kind, params, n: fitted.append((kind, lv, params)))
+    monkeypatch.setattr(q_ml, "_work", lambda *_: SimpleNamespace(value=SimpleNamespace(sample=SimpleNamespace(x=range(800)))))
+    asked = []
+
+    def run_jobs(spark, work, jobs, run, schema):  # naive Bayes' last value is best
+        out = []
+        for j in jobs:
+            for place, params in zip(j["places"], j["params"]):
+                asked.append((j["kind"], j["level"], md.params_key(params), j["fold"]))
+                out.append({"kind": j["kind"], "level": j["level"], "place": place, "fold": j["fold"],
+                            "f1": 0.9 if params.get("var_smoothing") == 1e-10 else 0.1})
+        return out
+
+    monkeypatch.setattr(se, "_run_jobs", run_jobs)
     best = q_ml.search_best_params(spark, "none").collect()
-    assert {(r["model"], r["params"], r["mean_f1"]) for r in best} == {("nb", '{"var_smoothing":1e-10}', 0.9)}
+    assert len(best) == 30  # a row per level and model
+    assert {(r["params"], r["mean_f1"]) for r in best if r["model"] == "nb"} == {('{"var_smoothing":1e-10}', 0.9)}
     want = {(kind, lv, md.params_key(p), f) for kind, grid in REFERENCE_GRIDS.items()
             for p in md.distinct_candidates(kind, se.expand_grid(grid)) for lv in q_ml.LEVELS for f in range(3)}
-    assert set(asked) == want and len(asked) == len(want) == (3 + 16 + 42 + 54 + 24) * 18
-    q_ml._tuned(spark, "none", "nb")  # the scores are there already
-    assert len(asked) == len(want) and fitted and all(p == {"var_smoothing": 1e-10} for _, _, p in fitted)
+    assert set(asked) == want and len(asked) == len(want) == (3 + 20 + 42 + 162 + 24) * 18
     rows = q_ml.search_halving(spark, "none").collect()
     assert {(r["model"], r["params"]) for r in rows if r["rung"] == 0} == {(k, p) for k, _, p, _ in want}
+    assert {k: max(r["rung"] for r in rows if r["model"] == k) + 1 for k in REFERENCE_GRIDS} == {
+        "nb": 2, "svm": 3, "logreg": 4, "rf": 4, "gbt": 3}
 
 
-def test_rbf_features_read_sparse_vectors_and_equal_the_dense_formula(spark):
-    import math
-
+@pytest.mark.parametrize("kind", ["rbf", "poly"])
+def test_kernel_features_read_stored_vectors_and_equal_the_map(spark, kind):
     import numpy as np
     from pyspark.ml.linalg import Vectors, VectorUDT
     from pyspark.sql import types as T
 
-    from wordloom.operators.models import rbf_features
+    from wordloom.operators.kernels import KernelMap
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("features", VectorUDT())])
-    rows = [(1, Vectors.sparse(5, [1, 3], [1.0, 2.0])), (2, Vectors.dense([1.0, 2, 3, 4, 5])), (3, Vectors.sparse(5, [], []))]
-    got = {r.id: r.features.toArray() for r in rbf_features(spark.createDataFrame(rows, schema), 8, 0.5).collect()}
-    rng = np.random.default_rng(666)
-    w = rng.normal(0.0, math.sqrt(1.0), size=(5, 8))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=8)
-    for i, v in rows:
-        assert np.allclose(got[i], math.sqrt(2.0 / 8) * np.cos(v.toArray() @ w + b))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", VectorUDT()),
+                           T.StructField("_z", T.StringType())])
+    rows = [(1, Vectors.sparse(5, [1, 3], [1.0, 2.0]), "x"), (2, Vectors.dense([1.0, 2, 3, 4, 5]), None),
+            (3, Vectors.sparse(5, [], []), "y")]
+    mapping = KernelMap(kind, 0.5, 5, components=16)
+    out = md.kernel_features(spark.createDataFrame(rows, schema).drop("_z"), mapping)
+    got = {r.doc_id: r.features.toArray() for r in out.collect()}
+    for i, v, _ in rows:
+        assert np.allclose(got[i], mapping(v.toArray()[None])[0])
 
 
 def test_csv_round_trip_keeps_empty_and_missing_texts_apart(spark):
@@ -173,9 +155,12 @@ def test_naive_bayes_variance_of_close_values(spark):
 
 
 def test_search_without_rows_gives_no_score(spark):
+    from wordloom.operators import blocks as bl
+
     fr = _frame(spark).filter("fold_a <> 1")
-    rows = se.grid_search(fr, ["a"], "logreg", [{"C": 1.0, "max_iter": 5}], 3, parallelism=2)
-    assert [r[5] is None for r in rows] == [False, True, False]
+    work = se.share(spark, bl.labelled_sample(fr, ["a"], 3, 100, "s"))
+    rows = se.grid_search(spark, work, ["a"], {"nb": [{"var_smoothing": 1e-9}]}, 3)
+    assert sorted((r[4], r[5] is None) for r in rows) == [(0, False), (1, True), (2, False)]
     best = se.best_params(se.scores_frame(spark, rows)).first()
     assert best.mean_f1 is not None
 
@@ -183,8 +168,6 @@ def test_search_without_rows_gives_no_score(spark):
 def test_checkpoint_folder_is_asked_for_on_a_cluster():
     from types import SimpleNamespace
 
-    import pytest
-
     from wordloom.session import ensure_checkpoint_dir
 
     conf = SimpleNamespace(get=lambda key, default=None: default)
@@ -195,8 +178,6 @@ def test_checkpoint_folder_is_asked_for_on_a_cluster():
 
 
 def test_unknown_parameters_are_an_error():
-    import pytest
-
     with pytest.raises(ValueError):
         md.make_estimator("logreg", {"C": 1.0, "gama": 2}, 10, "a")
 
@@ -208,21 +189,25 @@ def test_search_kinds_fit_what_they_name(spark):
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql import types as T
 
+    from wordloom.operators import blocks as bl
+
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", VectorUDT()),
                            T.StructField("a", T.DoubleType()), T.StructField("fold_a", T.IntegerType())])
     rows = []
     for i in range(90):
         r, t = (0.3, i * 0.7) if i % 2 else (2.0, i * 0.7)
         rows.append((i, Vectors.dense([r * math.cos(t), r * math.sin(t)]), float(i % 2), i % 3))
-    fr = spark.createDataFrame(rows, schema).cache()
-    grid = [{"C": 10.0, "kernel": "linear", "max_iter": 20}, {"C": 10.0, "kernel": "rbf", "gamma": "scale", "max_iter": 20}]
+    fr = spark.createDataFrame(rows, schema)
+    work = se.share(spark, bl.labelled_sample(fr, ["a"], 2, 100, "s"))
+    grid = [{"C": 10.0, "kernel": "linear", "gamma": "scale"}, {"C": 10.0, "kernel": "rbf", "gamma": "scale"}]
     scores = {}
-    for _, kind, params, _, _, f1 in se.grid_search(fr, ["a"], "svm", grid, 3, parallelism=2):
+    for _, kind, params, _, _, f1 in se.grid_search(spark, work, ["a"], {"svm": grid}, 3):
         scores.setdefault("rbf" in params, []).append(f1)
     assert min(scores[True]) > 0.95 > max(scores[False])
-    best = se.tune(fr, ["a"], "nb", [{"var_smoothing": 1e-9}], 3)[0]
-    out = md.predict_level(best, fr, keep=["fold_a"])
-    assert out.where("y = yhat").count() >= 85
+    best = se.refit(spark, work, [("a", "nb", {"var_smoothing": 1e-9})])
+    model = [(r[0], r[1], Model.from_bytes(r[5])) for r in best]
+    out = {r["doc_id"]: r["yhat"] for r in se.predict_models(fr, model, work.value.bins, 2).collect()}
+    assert sum(out[i] == i % 2 for i in range(90)) >= 85
 
 
 def test_predictions_meet_gold_by_key(spark):

@@ -10,9 +10,6 @@ from wordloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings labels conversations".split()
-# Fits of minutes; their parts are tested on small frames in test_ml_io.py.
-SLOW = {"gbt_predict", "search_halving", "train_levels_report", "multilabel_rf_predict", "multilabel_proba_wide",
-        "score_two_sets", "model_persist_roundtrip", "svm_poly_predict", "rf_importances"}
 
 
 def norm(v):
@@ -46,7 +43,7 @@ def test_every_query_has_a_name_and_oracles_are_subset():
     assert len(q) >= 70
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql())))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     res = con.execute(entry.oracle_sql()[name])
@@ -55,7 +52,7 @@ def test_query_matches_oracle(spark, con, name):
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(ocols, res.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_rows_only_queries_run(spark, name):
     df = entry.queries()[name](spark, SF)
     assert df.count() > 0

@@ -48,9 +48,8 @@ TOP_FEATURE_FREQUENCY = 10
 ROUND_DIGITS = 6
 
 # The hyper-parameter grids of the reference's training script, per model, in its
-# order (scikit-learn names; models.make_estimator maps them to Spark ML parameters).  Expand a
-# grid with operators.search.expand_grid.  The SVM kernels other than "linear" run as feature
-# maps (models.rbf_features / models.poly_features) with the kinds "svm_rbf" / "svm_poly".
+# order.  Expand a grid with operators.search.expand_grid; operators.fits fits every candidate.
+# The SVM kernels other than "linear" run as feature maps (operators.kernels).
 REFERENCE_GRIDS = {
     "nb": {"var_smoothing": [1e-8, 1e-9, 1e-10]},
     "svm": {"C": [0.1, 1, 10, 100], "gamma": ["scale", "auto"], "kernel": ["linear", "poly", "rbf"]},

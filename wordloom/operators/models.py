@@ -8,22 +8,27 @@ same frame, so no per-level copy of the data exists.
 Parameter names follow the reference's grids; the mapping is:
   C → regParam = 1 / (C · n) (sums versus means of the loss), standardization off;
   penalty l1/l2/none → elasticNetParam 1/0 and regParam 0 for none;
-  n_estimators → numTrees / maxIter; max_depth None → 30 (Spark's limit);
-  learning_rate → stepSize; gamma (boosting) → minInfoGain (different scale).
+  n_estimators → numTrees; max_depth None → 30 (Spark's limit).
+Boosting, kernel candidates and all searches are fitted by ``fits`` on a bounded labelled sample.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+from .blocks import Sparse
+from .kernels import KernelMap
+
 MAX_TREE_DEPTH = 30
 
 
@@ -36,8 +41,6 @@ KNOWN_PARAMS = {
     "nb": {"var_smoothing"},
 }
 KERNEL_KINDS = {"linear": "svm", "rbf": "svm_rbf", "poly": "svm_poly"}
-RBF_COMPONENTS = 128
-POLY_COMPONENTS = 12
 
 
 def kind_of(kind: str, params: dict) -> str:
@@ -81,7 +84,6 @@ def params_key(params: dict) -> str:
 def make_estimator(kind: str, params: dict, n_train: int, label_col: str, features_col: str = "features",
                    seed: int = 666):
     from pyspark.ml.classification import (
-        GBTClassifier,
         LinearSVC,
         LogisticRegression,
         RandomForestClassifier,
@@ -90,7 +92,7 @@ def make_estimator(kind: str, params: dict, n_train: int, label_col: str, featur
     p = dict(params)
     if kind in KNOWN_PARAMS and (unknown := set(p) - KNOWN_PARAMS[kind]):
         raise ValueError(f"unknown parameters of {kind}: {sorted(unknown)}")
-    if kind in ("svm", "svm_rbf", "svm_poly"):
+    if kind == "svm":
         c = float(p.get("C", 1.0))
         return LinearSVC(
             featuresCol=features_col, labelCol=label_col, regParam=1.0 / (c * max(n_train, 1)),
@@ -114,14 +116,6 @@ def make_estimator(kind: str, params: dict, n_train: int, label_col: str, featur
             minInstancesPerNode=int(p.get("min_samples_leaf", 1)), bootstrap=bool(p.get("bootstrap", True)),
             seed=seed,
         )
-    if kind == "nb":
-        return None  # fitted by RelationalNB
-    if kind == "gbt":
-        return GBTClassifier(
-            featuresCol=features_col, labelCol=label_col, maxIter=int(p.get("n_estimators", 20)),
-            maxDepth=int(p.get("max_depth", 3)), stepSize=float(p.get("learning_rate", 0.1)),
-            minInfoGain=float(p.get("gamma", 0.0)), seed=seed,
-        )
     raise ValueError(f"unknown model kind {kind!r}")
 
 
@@ -129,9 +123,7 @@ def positive_score(kind: str):
     """Column with the positive-class score of a fitted model's output."""
     from pyspark.ml.functions import vector_to_array
 
-    if kind == "nb":
-        return F.col("prediction")
-    if kind.startswith("svm"):
+    if kind == "svm":
         return vector_to_array(F.col("rawPrediction"))[1]
     return vector_to_array(F.col("probability"))[1]
 
@@ -145,73 +137,12 @@ class FittedLevel:
     fit_seconds: float
 
 
-class MappedModel:
-    """A fitted model behind a feature map that was fitted on the same rows."""
-
-    def __init__(self, mapped, model):
-        self.mapped, self.model = mapped, model
-
-    def transform(self, frame: DataFrame) -> DataFrame:
-        return self.model.transform(self.mapped(frame))
-
-
-class RelationalNB:
-    """Gaussian naive Bayes on all entries of the feature vectors, as aggregates and joins."""
-
-    def __init__(self, frame: DataFrame, level: str, var_smoothing: float, id_col: str, features_col: str):
-        from . import naive_bayes as nb
-
-        self.nb, self.level, self.id_col, self.features_col = nb, level, id_col, features_col
-        dim = len(frame.select(features_col).first()[0])
-        targets = frame.select(id_col, F.lit(level).alias("level"), F.col(level).cast("int").alias("y"))
-        self.model = nb.fit(self._entries(frame), targets, [str(i) for i in range(dim)], id_col, var_smoothing)
-
-    def _entries(self, frame: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        long = frame.select(self.id_col, F.posexplode(vector_to_array(F.col(self.features_col))).alias("f", "value"))
-        return long.where(F.col("value") != 0).select(self.id_col, F.col("f").cast("string").alias("feature"), "value")
-
-    def transform(self, frame: DataFrame) -> DataFrame:
-        rows = frame.select(self.id_col, F.lit(self.level).alias("level"))
-        told = self.nb.predict(self.model, self._entries(frame), rows, self.id_col)
-        return frame.join(told.select(self.id_col, F.col("yhat").cast("double").alias("prediction")), self.id_col)
-
-
-def fit_candidate(frame: DataFrame, level: str, kind: str, params: dict, n_train: int | None = None,
-                  features_col: str = "features", id_col: str = "doc_id"):
-    """A fitted object with ``transform``: kernel maps and naive Bayes included, fitted on ``frame`` alone."""
-    kind = kind_of(kind, params)
-    n = frame.count() if n_train is None else n_train
-    if kind == "nb":
-        make_estimator(kind, params, n, level, features_col)
-        return RelationalNB(frame, level, float(params.get("var_smoothing", 1e-9)), id_col, features_col)
-    est = make_estimator(kind, params, n, level, features_col)
-    if kind == "svm_rbf":
-        gamma = params.get("gamma", "scale")
-        if gamma == "scale":
-            gamma = scale_gamma(frame, features_col)
-        elif gamma == "auto":
-            gamma = 1.0 / len(frame.select(features_col).first()[0])
-
-        def mapped(df: DataFrame) -> DataFrame:
-            return rbf_features(df, RBF_COMPONENTS, float(gamma), input_col=features_col, output_col=features_col)
-    elif kind == "svm_poly":
-        pca = poly_features(frame, POLY_COMPONENTS, input_col=features_col, output_col=features_col)[1]
-
-        def mapped(df: DataFrame) -> DataFrame:
-            return poly_expand(df, pca, input_col=features_col, output_col=features_col)
-    else:
-        return est.fit(frame)
-    return MappedModel(mapped, est.fit(mapped(frame)))
-
-
 def fit_level(frame: DataFrame, level: str, kind: str, params: dict, n_train: int | None = None,
               features_col: str = "features") -> FittedLevel:
     """Fit one level on ``frame`` (rows already restricted to training rows)."""
     n = frame.count() if n_train is None else n_train
     t0 = time.time()
-    model = fit_candidate(frame, level, kind, params, n, features_col)
+    model = make_estimator(kind, params, n, level, features_col).fit(frame)
     return FittedLevel(level, kind, params, model, time.time() - t0)
 
 
@@ -227,59 +158,27 @@ def predict_level(fitted: FittedLevel, frame: DataFrame, id_col: str = "doc_id",
 
 # ------------------------------------------------------------ kernels
 
+def kernel_features(frame: DataFrame, mapping: KernelMap, id_col: str = "doc_id", input_col: str = "features",
+                    output_col: str = "features") -> DataFrame:
+    """``frame`` with the kernel map of its vectors, in one narrow pass over Arrow batches.
 
-def rbf_features(frame: DataFrame, n_components: int, gamma: float, seed: int = 666,
-                 input_col: str = "features", output_col: str = "features") -> DataFrame:
-    """Random Fourier features z(x) = sqrt(2/D) · cos(W x + b), W ~ N(0, 2γ), b ~ U(0, 2π).
-
-    An approximation of the RBF kernel (stated as such).  The projection runs
-    as an Arrow-batched pandas UDF that receives the vectors in their stored
-    form (sparse: indices and values), so only the non-zero entries cross
-    Arrow and W x costs one small product over the rows of W that a vector
-    uses; the random matrix travels once per executor as a broadcast variable.
+    Vectors cross Arrow in their stored form; a slice of rows at a time is mapped by matrix products.
     """
     from pyspark.ml.functions import array_to_vector
 
-    dim = len(frame.select(input_col).first()[0])
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(dim, n_components))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
-    bc = frame.sparkSession.sparkContext.broadcast((w, b))
-    scale = math.sqrt(2.0 / n_components)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(v):
-        # ``v`` holds the vector's stored fields: type (0 sparse, 1 dense), size, indices, values
-        import pandas as pd
-
-        wm, bv = bc.value
-        kinds, idx, vals = v["type"].to_numpy(), v["indices"].to_numpy(), v["values"].to_numpy()
-        out = []
-        for k, ii, vv in zip(kinds, idx, vals):
-            x = np.asarray(vv, dtype=np.float64)
-            acc = x @ wm if k == 1 else x @ wm[np.asarray(ii, dtype=np.int64)]
-            out.append(scale * np.cos(acc + bv))
-        return pd.Series(out)
-
-    return frame.withColumn(output_col, array_to_vector(project(F.col(input_col))))
-
-
-def poly_features(frame: DataFrame, k: int, degree: int = 2, input_col: str = "features",
-                  output_col: str = "features"):
-    """Polynomial kernel map on a PCA-reduced vector (JVM transformers); returns (frame, fitted PCA)."""
-    from pyspark.ml.feature import PCA
-
-    pca = PCA(k=k, inputCol=input_col, outputCol="_pca").fit(frame)
-    return poly_expand(frame, pca, degree, input_col, output_col), pca
-
+    ship(frame.sparkSession)
+    others = [c for c in frame.columns if c != input_col]
+    schema = T.StructType([frame.schema[c] for c in others] + [T.StructField("_z", T.ArrayType(T.DoubleType()))])
 
-def poly_expand(frame: DataFrame, pca, degree: int = 2, input_col: str = "features",
-                output_col: str = "features") -> DataFrame:
-    """The polynomial map with a PCA fitted before."""
-    from pyspark.ml.feature import PolynomialExpansion
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, x in Sparse.of_vectors(batch.column(input_col), mapping.dim).slices():
+                z = mapping(x)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), z.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(x)) for c in others), lists], [*others, "_z"])
 
-    out = PolynomialExpansion(degree=degree, inputCol="_pca", outputCol="_poly").transform(pca.transform(frame))
-    return out.drop(input_col).withColumnRenamed("_poly", output_col).drop("_pca")
+    out = frame.select(*others, input_col).mapInArrow(run, schema)
+    return out.withColumn(output_col, array_to_vector("_z")).drop("_z")
 
 
 def scale_gamma(frame: DataFrame, input_col: str = "features") -> float:

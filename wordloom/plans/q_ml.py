@@ -31,6 +31,7 @@ from ..operators import ranking as rk
 from ..operators import sampling as sm
 from ..operators import search as se
 from ..operators.fits import Model
+from ..operators.kernels import KernelMap, gamma_of, kernel_error
 from ..session import read_table, reliable_checkpoint, scratch_path, session_key
 from . import views
 from .q_features import feature_state, split_docs
@@ -143,19 +144,31 @@ def svm_linear_predict(spark, sf_dir):
     return _level_predictions(spark, sf_dir, "svm", SVM)
 
 
+def _kernel_predictions(spark, sf_dir, kernel: str) -> DataFrame:
+    """A linear machine per level on the mapped rows; the map does not depend on the level and is made once."""
+    frame = model_frame(spark, sf_dir)
+    mapping = KernelMap(kernel, md.scale_gamma(_train(frame)), _dim(spark, sf_dir))
+    columns = ["doc_id", "split", "features", *LEVELS]
+    return _level_predictions(spark, sf_dir, "svm", SVM, frame=reliable_checkpoint(md.kernel_features(frame.select(*columns), mapping)))
+
+
 @register("svm_kernel_predict")
 def svm_kernel_predict(spark, sf_dir):
-    frame = model_frame(spark, sf_dir)
-    # the map does not depend on the level: fitted once, then a linear machine per level
-    mapped = md.rbf_features(frame, md.RBF_COMPONENTS, md.scale_gamma(_train(frame)))
-    return _level_predictions(spark, sf_dir, "svm", SVM, frame=mapped)
+    return _kernel_predictions(spark, sf_dir, "rbf")
 
 
 @register("svm_poly_predict")
 def svm_poly_predict(spark, sf_dir):
-    frame = model_frame(spark, sf_dir)
-    pca = md.poly_features(_train(frame), md.POLY_COMPONENTS)[1]
-    return _level_predictions(spark, sf_dir, "svm", SVM, frame=reliable_checkpoint(md.poly_expand(frame, pca)))
+    return _kernel_predictions(spark, sf_dir, "poly")
+
+
+@register("kernel_map_error")
+def kernel_map_error(spark, sf_dir):
+    """Error of both kernel maps against the exact kernels on the labelled sample, for every gamma setting."""
+    x = _work(spark, sf_dir).value.sample.x.dense()
+    rows = [(kind, setting, g, len(x), kernel_error(KernelMap(kind, g, x.shape[1]), x)) for kind in ("rbf", "poly")
+            for setting in ("scale", "auto") for g in [gamma_of(setting, x)]]
+    return spark.createDataFrame(rows, "kernel string, setting string, gamma double, n_rows long, relative_error double")
 
 
 @register("rf_importances")
