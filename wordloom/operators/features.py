@@ -248,35 +248,58 @@ def shrink_features(state: FeatureState, max_features: int) -> FeatureState:
     return FeatureState(uni=uni, bi=state.bi.top(max_features), tfidf=tf, lexicon=state.lexicon)
 
 
+def _tagged(block: str, terms: Column) -> Column:
+    return F.arrays_zip(F.array_repeat(F.lit(block), F.size(terms)).alias("block"), terms.alias("term"))
+
+
 def feature_matrix_long(docs: DataFrame, state: FeatureState, id_col: str = "doc_id", text_col: str = "text",
-                        digits: int | None = ROUND_DIGITS) -> DataFrame:
-    """(id, feature, value, block): union of the blocks in their fixed order; zeros are absent except ari."""
+                        digits: int | None = ROUND_DIGITS, keep: list[str] | None = None) -> DataFrame:
+    """(id, keep…, feature, value, block): all five blocks; zeros are absent except ari.
+
+    One scan of the texts and one explode: unigrams, bigrams and lexicon tokens leave a row together as (block, term),
+    meet the vocabularies and the lexicon in broadcast joins, and are counted by one keyed aggregate.  Only the TF-IDF
+    norm needs a window, by row, over the counts.
+    """
+    from ..functions.text import lexicon_tokens
     from . import lexicon as lx
 
-    docs = docs.select(id_col, text_col)
-    counts = ngram_counts(docs, {"uni": state.uni, "bi": state.bi}, id_col, text_col)
-    uni_c = counts.filter(F.col("block") == "uni").drop("block")
-    bi_c = counts.filter(F.col("block") == "bi").drop("block")
-    parts = [
-        uni_c.select(id_col, F.concat(F.lit("uni_"), "term").alias("feature"),
-                     F.col("n").cast("double").alias("value"), F.lit("uni").alias("block")),
-        bi_c.select(id_col, F.concat(F.lit("bi_"), "term").alias("feature"),
-                    F.col("n").cast("double").alias("value"), F.lit("bi").alias("block")),
-        tfidf_long(uni_c, state.tfidf, id_col, digits).select(
-            id_col, F.concat(F.lit("tfidf_"), "term").alias("feature"), F.col("tfidf").alias("value"),
-            F.lit("tfidf").alias("block")),
-        readability(docs, id_col, text_col, digits).select(
-            id_col, F.lit("ari").alias("feature"), F.col("ari").alias("value"), F.lit("ari").alias("block")),
-    ]
-    if state.lexicon is not None:
-        parts.append(
-            lx.category_scores(docs, state.lexicon, id_col, text_col, digits).select(
-                id_col, F.col("category").alias("feature"), F.col("score").alias("value"), F.lit("lex").alias("block"))
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = docs.sparkSession
+    lexicon = state.lexicon
+    keys = [id_col, *(keep or [])]
+    t = add_token_columns(docs.select(*keys, text_col), text_col)
+    marks = [_tagged("uni", F.col(UNI_COL)), _tagged("bi", F.col(BI_COL)), _tagged("ari", F.array(F.lit("ari")))]
+    if lexicon is not None:
+        t = t.withColumn("_lex_toks", lexicon_tokens(text_col, lexicon.treebank))
+        marks.append(_tagged("lex", F.col("_lex_toks")))
+    # before the explode: expressions beside it are evaluated for every row that it makes
+    t = t.withColumn("_ari", automated_readability_index(text_col)).withColumn(
+        "_n_lex", F.size("_lex_toks") if lexicon is not None else F.lit(0)).withColumn("_marks", F.concat(*marks))
+    rows = explode_rows(t, [F.col(c) for c in (*keys, "_ari", "_n_lex")], F.col("_marks"), "_z").select(
+        *keys, "_ari", "_n_lex", F.col("_z.block").alias("block"), F.col("_z.term").alias("_term"))
+    # the fitted vocabularies: at most 2 × max_features rows
+    known = [("uni", w, f"uni_{w}", x) for w, x in zip(state.tfidf.vocab.terms, state.tfidf.weights, strict=True)]
+    known += [("bi", w, f"bi_{w}", None) for w in state.bi.terms] + [("ari", "ari", "ari", None)]
+    vocab = spark.createDataFrame(known, "block string, _term string, _name string, _idf double")
+    rows = rows.join(F.broadcast(vocab), ["block", "_term"], "left")
+    names = F.array("_name")
+    if lexicon is not None:
+        rows = rows.withColumn("_tok", F.when(F.col("block") == "lex", F.col("_term")))
+        rows = lx.match_tokens(rows, "_tok", lexicon)
+        names = F.when(F.col("block") == "lex", F.col("match_cats")).otherwise(names)
+    rows = rows.select(*keys, "_ari", "_n_lex", "block", "_idf", F.explode_outer(names).alias("feature")).where("feature is not null")
+    counts = rows.groupBy(*keys, "block", "feature").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_ari").alias("_ari"), F.max("_n_lex").alias("_n_lex"), F.max("_idf").alias("_idf"))
+    n = F.col("_n").cast("double")
+    weight = F.when(F.col("block") == "uni", n * F.col("_idf"))
+    norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy(*keys)))
+    value = F.when(F.col("block") == "ari", _r(F.col("_ari"), digits)).when(
+        F.col("block") == "lex", _r(F.lit(100.0) * n / F.col("_n_lex").cast("double"), digits)).otherwise(n)
+    counts = counts.select(*keys, "block", "feature", value.alias("value"), _r(weight / norm, digits).alias("_tfidf"))
+    own = F.struct("feature", "value", "block")
+    scaled = F.struct(F.concat(F.lit("tfidf_"), F.substring("feature", 5, 1 << 30)).alias("feature"),
+                      F.col("_tfidf").alias("value"), F.lit("tfidf").alias("block"))
+    out = counts.select(*keys, F.explode(F.when(F.col("block") == "uni", F.array(own, scaled)).otherwise(F.array(own))).alias("_x"))
+    return out.select(*keys, "_x.feature", "_x.value", "_x.block")
 
 
 # ------------------------------------------------------------- ML vectors

@@ -199,16 +199,24 @@ def feat_ari(spark, sf_dir):
     return ft.readability(read_table(spark, sf_dir, "documents"))
 
 
-def _matrix_sql() -> str:
-    return f"""{sql_feature_ctes()}, {sql_tfidf_apply('tt', 'train_docs')},
-{sql_lex_match('train_docs')},
+def _matrix_parts(docs: str, id_col: str, lex_match: str) -> str:
+    """CTE m (id, feature, value, block) of all five blocks for the rows of ``docs``."""
+    return f"""{sql_tfidf_apply('tt', docs, id_col)},
+{lex_match},
+mt AS (SELECT {id_col}, {sql_ftoks()} AS t FROM {docs}),
 m AS (
-  SELECT doc_id, 'uni_' || term AS feature, CAST(n AS DOUBLE) AS value, 'uni' AS block
-    FROM uni_all WHERE term IN (SELECT term FROM uni_vocab)
-  UNION ALL SELECT doc_id, 'bi_' || term, CAST(n AS DOUBLE), 'bi' FROM bi_all WHERE term IN (SELECT term FROM bi_vocab)
+  SELECT {id_col}, 'uni_' || term AS feature, CAST(count(*) AS DOUBLE) AS value, 'uni' AS block
+    FROM (SELECT {id_col}, unnest(t) AS term FROM mt) WHERE term IN (SELECT term FROM uni_vocab) GROUP BY {id_col}, term
+  UNION ALL SELECT {id_col}, 'bi_' || term, CAST(count(*) AS DOUBLE), 'bi'
+    FROM (SELECT {id_col}, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM mt)
+    WHERE term IN (SELECT term FROM bi_vocab) GROUP BY {id_col}, term
   UNION ALL SELECT id, 'tfidf_' || term, tfidf, 'tfidf' FROM tt
-  UNION ALL SELECT doc_id, 'ari', round({sql_ari()}, 6), 'ari' FROM train_docs
-  UNION ALL SELECT doc_id, category, score, 'lex' FROM lex_scores)"""
+  UNION ALL SELECT {id_col}, 'ari', round({sql_ari()}, 6), 'ari' FROM {docs}
+  UNION ALL SELECT {id_col}, category, score, 'lex' FROM lex_scores)"""
+
+
+def _matrix_sql() -> str:
+    return f"{sql_feature_ctes()}, {_matrix_parts('train_docs', 'doc_id', sql_lex_match('train_docs'))}"
 
 
 @register("feat_matrix_long", f"WITH {_matrix_sql()} SELECT doc_id, feature, value FROM m")
@@ -217,6 +225,18 @@ def feat_matrix_long(spark, sf_dir):
     return ft.feature_matrix_long(train_docs(spark, sf_dir), st).drop("block")
 
 
+@register(
+    "feat_matrix_second_set",
+    f"""WITH {sql_feature_ctes()}, {views.sql_second()},
+second_docs AS (SELECT item_id AS doc_id, text FROM v_second),
+{_matrix_parts('second_docs', 'doc_id', sql_lex_match('second_docs'))}
+SELECT doc_id AS item_id, feature, value, block FROM m""",
+)
+def feat_matrix_second_set(spark, sf_dir):
+    """All five blocks of the second table, with the state fitted on the training rows."""
+    return ft.feature_matrix_long(views.second_set(spark, sf_dir), feature_state(spark, sf_dir), id_col="item_id")
+
+
 def _sum_block(b: str) -> str:
     return f"round(coalesce(sum(CASE WHEN block = '{b}' THEN value END), 0.0), 6) AS sum_{b}"
 

@@ -56,29 +56,33 @@ feat AS (
 tg AS (SELECT u.doc_id, u.level, s.split FROM ({unp}) u JOIN split_r1 s ON s.doc_id = u.doc_id),
 nr AS (SELECT level, split, count(DISTINCT doc_id) AS n_rows FROM tg GROUP BY level, split),
 nf AS (SELECT split, count(DISTINCT feature) AS n_features FROM feat GROUP BY split)
-SELECT nr.level, nr.split, nr.n_rows, nf.n_features FROM nr JOIN nf ON nf.split = nr.split"""
+SELECT nr.level, nr.split, nr.n_rows, nf.n_features, nn.n_names, CAST(0 AS BIGINT) AS n_unnamed
+FROM nr JOIN nf ON nf.split = nr.split,
+  (SELECT (SELECT count(*) FROM uni_vocab) * 2 + (SELECT count(*) FROM bi_vocab) + 1 + (SELECT count(*) FROM lex_categories) AS n_names) nn"""
 
 
 @register("feat_persist_roundtrip", _persist_sql())
 def feat_persist_roundtrip(spark, sf_dir):
-    """Write features (by split) and targets (by level, split), read them back, summarise."""
+    """Write features (by split), targets (by level, split), names and the second table's features, read them back, summarise."""
     st = feature_state(spark, sf_dir, MAX_FEATURES)
     docs = split_docs(spark, sf_dir)
-    feats = None
-    for part in ("train", "test"):
-        m = ft.feature_matrix_long(docs.filter(F.col("split") == part), st).withColumn("split", F.lit(part))
-        feats = m if feats is None else feats.unionByName(m)
+    feats = ft.feature_matrix_long(docs, st, keep=["split"])
     targets = prep.unpivot_levels(views.with_level_labels(docs), ["doc_id", "split"], LEVELS)
+    names = spark.createDataFrame(list(enumerate(st.names())), "pos int, feature string")
+    second = ft.feature_matrix_long(views.second_set(spark, sf_dir), st, id_col="item_id")
     path = scratch_path(spark, "feature-set")
-    persist.save_feature_set(feats, targets, path)
+    persist.save_feature_set(feats, targets, path, names, second)
     t = persist.load_targets(spark, path)
     f = persist.load_features(spark, path)
+    names = persist.load_names(spark, path)
     rows = t.groupBy("level", "split").agg(F.countDistinct("doc_id").alias("n_rows"))
-    ids = t.select("doc_id", "split").distinct()
-    nf = f.join(ids, ["doc_id", "split"], "left_semi").groupBy("split").agg(
-        F.countDistinct("feature").alias("n_features")
-    )
-    return rows.join(F.broadcast(nf), "split").select("level", "split", "n_rows", "n_features")
+    # rows and splits agree in both tables: every feature row has its document's split already
+    nf = f.groupBy("split").agg(F.countDistinct("feature").alias("n_features"))
+    used = f.select("feature").unionByName(persist.load_second(spark, path).select("feature")).distinct()
+    n_unnamed = used.join(F.broadcast(names), "feature", "left_anti").count()
+    return rows.join(F.broadcast(nf), "split").select(
+        "level", "split", "n_rows", "n_features", F.lit(names.count()).cast("long").alias("n_names"),
+        F.lit(n_unnamed).cast("long").alias("n_unnamed"))
 
 
 @register(

@@ -3,7 +3,8 @@
 The reference pickles x/y per level and part; here the feature rows are
 written once (they do not depend on the level) partitioned by ``split`` and
 the targets partitioned by ``level`` and ``split``; loading one (level,
-split) is a partition-pruned read of both plus a join on the row id.
+split) is a partition-pruned read of both plus a join on the row id.  The names of
+the features in vector order and the features of a second table stand beside them.
 """
 
 from __future__ import annotations
@@ -12,8 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def save_feature_set(features: DataFrame, targets: DataFrame, path: str) -> None:
-    """features (id, split, feature, value, …); targets (id, level, split, y)."""
+def save_feature_set(features: DataFrame, targets: DataFrame, path: str, names: DataFrame | None = None,
+                     second: DataFrame | None = None) -> None:
+    """features (id, split, feature, value, …); targets (id, level, split, y); names (pos, feature);
+    second (id, feature, value, …) of another table."""
+    if names is not None:
+        names.write.mode("overwrite").parquet(f"{path}/names")
+    if second is not None:
+        second.write.mode("overwrite").parquet(f"{path}/second")
     features.write.mode("overwrite").partitionBy("split").parquet(f"{path}/features")
     targets.write.mode("overwrite").partitionBy("level", "split").parquet(f"{path}/targets")
 
@@ -26,6 +33,14 @@ def load_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/features")
 
 
+def load_names(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/names")
+
+
+def load_second(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/second")
+
+
 def load_level(spark: SparkSession, path: str, level: str, split: str, id_col: str = "doc_id") -> DataFrame:
     """(id, y, feature, value) of one level and split; both reads prune to one partition."""
     t = load_targets(spark, path).filter((F.col("level") == level) & (F.col("split") == split))
