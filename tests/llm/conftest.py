@@ -51,7 +51,8 @@ def clashing(edge_docs):
     from pyspark.sql import functions as F
 
     names = ["ids", "decoded", "n_tokens", "n_bytes", "score", "lang_pred", "coverage", "topic", "doc", "n", "component",
-             "kept", "runs", "line", "rank", "id", "copy", "weight", "prob"]
+             "kept", "runs", "line", "rank", "id", "copy", "weight", "prob", "_drop", "_host", "_kept", "_prob", "_weight", "_h",
+             "_k", "_n", "_np", "site", "drop", "hits", "digest", "node", "other_id", "page", "of", "_id", "_text", "m_source"]
     out = edge_docs
     for name in names:
         out = out.withColumn(name, F.lit("x"))

@@ -38,6 +38,14 @@ def test_chat_edge_rows(spark):
     assert chat_format.chat_format(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_chat_null_turns_come_first(spark):
+    rows = [(1, None, "user", "x", None, None), (1, -5000, "user", "y", None, None)]
+    rows += [(2, None, "user", "x", None, None), (2, -5000, "user", "y", None, None), (2, 3, "user", "z", None, None)]
+    got = chat_format.chat_format(spark.createDataFrame(rows, CHAT)).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(2, 3)]
+    assert got[0]["rendered"].index("x") < got[0]["rendered"].index("y") < got[0]["rendered"].index("z")
+
+
 def test_raking_reaches_the_margins(spark):
     cells = spark.createDataFrame([("a", "x", 10.0), ("a", "y", 30.0), ("b", "x", 50.0), ("b", "y", 10.0)],
                                   "m1 string, m2 string, w double")
@@ -70,7 +78,7 @@ def test_query_matches_oracle(spark, name):
         return sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows), key=repr)
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = catalog.queries()[name](spark, SF)
     res = con.execute(catalog.oracle_sql()[name])
@@ -145,14 +153,42 @@ def test_pipeline_keeps_one_text_of_a_large_copy_group(spark):
     assert set(range(30, 90)) <= set(kept)
 
 
-def test_line_dedup_counts_copies_once(spark):
+def test_line_dedup_counts_equal_pages_once(spark):
     from wordloom.llm.line_dedup import boilerplate_lines
 
-    rows = [(k, "x\ny", "en", "a", 3) for k in range(9)] + [(9, "x\nz", "en", "a", 3), (10, "x\nz", "en", "a", 3)]
+    rows = [(1, "x\ny", "en", "a", 3)] * 9 + [(9, "x\nz", "en", "a", 3), (9, "x\nz", "en", "a", 3)]
     rows += [(11, "x\nw", "en", "a", 3), (12, None, "en", "a", None), (13, "", "en", "a", 0)]
     df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(4)
-    got = boilerplate_lines(df, "source", "text", 0.1, 1, copies_once=True)
-    assert sorted((r["_n"], r["_np"]) for r in got.collect()) == [(1, 4)] * 3 + [(3, 4)]
+    got = boilerplate_lines(df, "source", "text", 0.1, 1, page="doc_id")
+    assert sorted((r["_n"], r["_np"]) for r in got.collect()) == [(1, 5)] * 3 + [(3, 5)]
+
+
+def test_pipeline_keeps_one_whole_text_of_a_mirror(spark):
+    """30 pages of 100 that differ in one line: their common lines are theirs, not the site's."""
+    import corpus_pipeline as cp
+
+    common = [words(2000 + k, 40) for k in range(6)]
+    rows = [(k, "\n".join([*common, f"visit {k}"]), "en", "a", 1) for k in range(30)]
+    rows += [(k, "\n".join(["Shared line of the site", words(k, 60)]), "en", "a", 1) for k in range(30, 100)]
+    docs = cp.boilerplate(spark, spark.createDataFrame(rows, DOC_SCHEMA).repartition(4), SF)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(texts[k] == rows[k][1] for k in range(30))
+    assert all(texts[k] == words(k, 60) for k in range(30, 100))
+    kept = {r["doc_id"]: r["text"] for r in cp.near_copies(spark, docs, SF).collect()}
+    assert set(kept) == {0, *range(30, 100)} and kept[0] == rows[0][1]
+
+
+def test_pipeline_judges_rows_by_their_own_text(spark):
+    import corpus_pipeline as cp
+
+    copy, own, other = words(1, 60), words(2, 60), words(3, 60)
+    rows = [(1, copy), (2, copy), (2, own), (3, other), (3, words(4, 60)), (3, other), (4, words(5, 60)), (4, words(5, 60)),
+            (None, words(6, 60)), (None, words(7, 60)), (None, copy), (5, ""), (5, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOC_SCHEMA).repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in cp.near_copies(spark, df, SF).collect()), key=repr)
+    want = [(1, copy), (2, own), (3, other), (3, words(4, 60)), (4, words(5, 60)), (None, words(6, 60)), (None, words(7, 60)), (6, "")]
+    assert kept == sorted([*want, (5, ""), (5, None)], key=repr)
+    assert cp.boilerplate(spark, df, SF).count() == len(rows)
 
 
 def test_pipeline_language_stage_rejects_gibberish_and_unlearned_languages(spark):
@@ -191,7 +227,7 @@ def test_pipeline_language_stage_rejects_gibberish_and_unlearned_languages(spark
 def test_entry_lists_every_query():
     names = entry.queries()
     assert "pipeline" in names
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
 
 
 def test_entry_guard_hides_no_error_of_a_present_module():

@@ -41,12 +41,12 @@ def test_top_k_edge_rows(spark, monkeypatch, sizes):
     rows = edge_vectors()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = sorted(map(tuple, topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()))
-    whole = {i: np.floor(256 * v).astype(np.int64) for i, v in usable(rows).items()}
+    whole = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64)) for i, v, *_ in rows
+             if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
     want = []
-    for q, qv in whole.items():
-        if q % 50 == 0:
-            best = sorted((-int(qv @ v), i) for i, v in whole.items() if i != q and len(v) == len(qv))[:5]
-            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    for q in {i for i, _ in whole if i % 50 == 0}:  # repeated rows count as often as they are there
+        best = sorted((-int(qv @ v), i) for j, qv in whole if j == q for i, v in whole if i != q and len(v) == len(qv))[:5]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
     assert got == sorted(want)
 
 
@@ -110,6 +110,41 @@ def test_near_duplicates_dense_group_and_copies(spark):
     assert sorted(map(tuple, neardup_graph.near_duplicates(df).collect())) == brute_links(rows, 0.95)
 
 
+def test_near_duplicates_end_in_the_exact_pass_when_recall_stays_low(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(neardup_graph, "audit", lambda *a, **k: asked.append(1) or 0.0)
+    monkeypatch.setattr(neardup_graph, "_links", lambda points, *_: points.select("vec_id", "n", F.col("vec_id").alias("root")).limit(0))
+    monkeypatch.setattr(neardup_graph, "BLOCK", 30)
+    rows = edge_vectors()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(map(tuple, neardup_graph.near_duplicates(df).collect())) == brute_links(rows, 0.95)
+    assert len(asked) == neardup_graph.ATTEMPTS  # every search is audited
+
+
+def test_audit_weighs_points_and_not_links(spark):
+    """A dense group that is found does not hide that the links of a small one are lost."""
+    r = np.random.default_rng(6)
+    one, two = r.normal(size=16), r.normal(size=16)
+    rows = [(k, [float(c) for c in one + 0.01 * r.normal(size=16)], None, None, None) for k in range(60)]
+    rows += [(100 + k, [float(c) for c in two + 0.01 * r.normal(size=16)], None, None, None) for k in range(20)]
+    points = neardup_graph._points(spark.createDataFrame(rows, SCHEMA))[0]
+    counts = spark.createDataFrame([(k, 59) for k in range(60)], "vec_id long, n_links long")
+    assert neardup_graph.audit(points, counts, 0.95) == pytest.approx(0.75)
+
+
+def test_near_duplicates_of_the_given_vectors(spark):
+    from wordloom.llm import catalog
+
+    from .conftest import SF
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = sorted(map(tuple, catalog.queries()["op10_embedding_neardup"](spark, SF).select(
+        "vec_id", "n_links", "component_id", "kept").collect()))
+    want = brute_links(rows, 0.95)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert sum(g[1:] == w[1:] for g, w in zip(got, want, strict=True)) >= 0.98 * len(want)
+
+
 def test_near_duplicates_empty_table(spark):
     assert neardup_graph.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

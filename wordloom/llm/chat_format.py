@@ -40,7 +40,8 @@ def prefix_hashes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     md5 = F.md5(F.concat(F.col("role"), F.lit("\u0001"), F.col("text")))
     thin = _turns(conversations).select(
         "conv_id", "turn", F.xxhash64("role", "text").alias("_x"), md5.alias("_m"),
-        F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block).alias("_b"))
+        # a null turn comes before every other, as it does when a conversation is rendered
+        F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).alias("_b"))
     # position = rows of earlier blocks + row number inside the block
     per_block = thin.groupBy("conv_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("conv_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

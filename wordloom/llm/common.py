@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast, scratch_path
+from ..session import scratch_path, ship
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -54,22 +55,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a table of ids or the like if it is small by count and size, else none."""
-    return checked_broadcast(df, SMALL_ROWS, SMALL_BYTES)
+    """A broadcast hint for a table of ids or the like if it is small by count and size, else none.
 
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the workers of a single-machine session, wherever it was started.
-
-    On a cluster the package comes with ``--py-files`` or is installed there, as any other.
+    Nothing is kept: ``df`` is a stored table or little more than its scan, which is counted and measured.
     """
-    sc = spark.sparkContext
-    if sc.master.startswith("local") and "cluster" not in sc.master and sc.applicationId not in _SHIPPED:
-        sc.addFile(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), recursive=True)
-        _SHIPPED.add(sc.applicationId)
+    if df.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release_memory() -> None:
+    """Gives a worker's freed memory back: workers outlive tasks, and what they hold adds up over the steps of a job."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
@@ -78,7 +92,14 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     ship(spark)
     if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
         spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

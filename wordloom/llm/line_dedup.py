@@ -8,17 +8,18 @@ often it repeats in a page.  Everything is a DataFrame expression:
   map-side, so neither a hot host nor a hot line meets in one task;
 * the boilerplate lines per host: fewer than (mean lines a page) / ratio of them
   can exceed the ratio, whatever the host's size, so a list per host is bounded;
-* texts are filtered by an array expression; they are shuffled only when the
-  lists of all hosts together pass the broadcast bound.
+* a page's own lines are intersected with its host's list by hash, and its lines are filtered by the few that are
+  left; texts are shuffled only when the lists of all hosts together pass the broadcast bound.
 
-Before a stage that removes copies (``copies_once``), pages with equal texts of a host are one page, and a page
-whose every line is boilerplate stays as it is: otherwise a group of copies loses its lines, and its one
-text with them.
+``page`` names what counts as one page: before a stage that removes copies, pages with the same value (the
+group of near copies that they belong to) are one page of their host, or a group of copies would make its own lines boilerplate
+and lose them; a page whose every line is boilerplate then stays as it is, for that stage to judge.
 
 Defined results: a null text stays null and counts as a page; blank lines are
-never boilerplate; a page whose every line is boilerplate keeps an empty text;
+never boilerplate; a page whose every line is boilerplate keeps an empty text, without ``page``;
 pages with a null host have no site and stay as they are; repeated rows are
-pages of their own unless ``copies_once``; further columns are carried through.
+pages of their own without ``page``; rows whose ``page`` is null are one page of their host; further columns are carried
+through, whatever their names (columns called ``_n_lines`` and ``_n_dropped`` are replaced).
 """
 
 from __future__ import annotations
@@ -26,63 +27,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import fresh, small_side, stored
 
 RATIO = 0.1
 MIN_PAGES = 3
 
 
 def _key(line: Column) -> Column:
-    return F.unhex(F.md5(F.trim(line)))
+    return F.md5(F.trim(line))
 
 
-def _counted_once(src: DataFrame, keys: Column) -> tuple[DataFrame, DataFrame]:
-    """(_h, _k) rows, and (_h, _np): pages of a host with equal texts are one page.
-
-    Only the lines of texts that a host has several times are made distinct by their text.
-    """
-    src = src.withColumn("_d", F.unhex(F.md5(F.coalesce("_t", F.lit("")))))
-    texts = stored(src.groupBy("_h", "_d").agg(F.count(F.lit(1)).alias("_m")), "page-texts")
-    repeated = small_side(texts.where("_m > 1").select("_h", "_d", F.lit(True).alias("_again")))
-    lines = src.join(repeated, ["_h", "_d"], "left").select("_h", "_d", "_again", F.explode_outer(keys).alias("_k"))
-    lines = lines.where("_k is not null")
-    once = lines.where("_again").select("_h", "_k", "_d").distinct().select("_h", "_k")
-    return (lines.where("_again is null").select("_h", "_k").unionByName(once),
-            texts.groupBy("_h").agg(F.count(F.lit(1)).alias("_np")))
+def _keys(text: Column) -> Column:
+    """Different keys of a text's lines that are not blank."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), _key))
 
 
 def boilerplate_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO,
-                      min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
-    """(host, key, n_pages, host_pages) of the lines above the ratio and on ``min_pages`` pages at least."""
-    src = pages.select(F.col(host).alias("_h"), F.col(text).alias("_t")).where("_h is not null")
-    keys = F.array_distinct(F.transform(F.filter(F.split("_t", "\n"), lambda x: F.trim(x) != ""), _key))
-    if copies_once:
-        lines, totals = _counted_once(src, keys)
-    else:
-        lines = src.select("_h", F.explode_outer(keys).alias("_k")).where("_k is not null")
-        totals = src.groupBy("_h").agg(F.count(F.lit(1)).alias("_np"))
+                      min_pages: int = MIN_PAGES, page: str | None = None) -> DataFrame:
+    """(_h, _k, _n, _np): host, 16-byte key, pages with the line and pages of the host, of the lines above the
+    ratio and on ``min_pages`` pages at least."""
+    src = pages.select(F.col(host).alias("_h"), F.col(text).alias("_t"),
+                       (F.lit(None) if page is None else F.col(page)).alias("_p")).where("_h is not null")
+    lines = src.select("_h", "_p", F.explode_outer(_keys(F.col("_t"))).alias("_k")).where("_k is not null")
+    lines = lines.select("_h", "_p", F.unhex("_k").alias("_k"))
+    if page is not None:
+        lines, src = lines.distinct(), src.select("_h", "_p").distinct()
+    totals = src.groupBy("_h").agg(F.count(F.lit(1)).alias("_np"))
     counts = lines.groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
     return counts.join(totals, "_h").where(F.col("_n") > F.lit(ratio) * F.col("_np"))
 
 
 def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
-               min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+               min_pages: int = MIN_PAGES, page: str | None = None) -> DataFrame:
     """``pages`` with boilerplate lines removed from ``text``, plus ``_n_lines`` and ``_n_dropped`` (long).
 
-    ``copies_once``: a line counts once per different text of its host, and a page whose every line is
-    boilerplate stays as it is, for a later stage that finds copies.
+    ``page``: a column whose equal values are one page, and pages of boilerplate only stay whole.
     """
-    lists = boilerplate_lines(pages, host, text, ratio, min_pages, copies_once).groupBy(F.col("_h").alias("_host")).agg(
-        F.collect_list("_k").alias("_drop"))
+    site, drop, hits, kept = fresh(pages, "site", "drop", "hits", "kept")
+    lists = boilerplate_lines(pages, host, text, ratio, min_pages, page).groupBy(F.col("_h").alias(site)).agg(
+        F.collect_list(F.lower(F.hex("_k"))).alias(drop))
     lists = small_side(stored(lists, "boilerplate"))
-    joined = pages.join(lists, F.col(host) == F.col("_host"), "left")
+    joined = pages.join(lists, F.col(host) == F.col(site), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x)))
-    if copies_once:
-        kept = F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(lines)
-    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
+    joined = joined.withColumn(hits, F.when(F.col(drop).isNotNull(), F.array_intersect(_keys(F.col(text)), F.col(drop))))
+    # a page without a hit is not looked at line by line
+    hit = F.coalesce(F.size(hits) > 0, F.lit(False))
+    left = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(hits), _key(x)))
+    if page is not None:
+        left = F.when(F.exists(left, lambda x: F.trim(x) != ""), left).otherwise(lines)
+    joined = joined.withColumn(kept, F.when(hit, left).otherwise(lines))
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    n_kept = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_kept")).cast("long")
+    n_kept = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(kept)).cast("long")
     return (joined.withColumn("_n_lines", n_lines).withColumn("_n_dropped", n_lines - n_kept)
-            .withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
-            .drop("_host", "_drop", "_kept"))
+            .withColumn(text, F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text)))
+            .drop(site, drop, hits, kept))

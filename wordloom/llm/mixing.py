@@ -13,7 +13,8 @@ is 1), decided by a hash of its id.  Only DataFrame functions are used:
 Defined results: a null margin value is a category of its own; a null text has
 weight 0 and is kept by its cell's probability; a margin whose categories hold no tokens is left
 as it is; a document whose id is null is decided by the hash of the empty
-string; repeated rows get the same decision; further columns are carried through.
+string; repeated rows get the same decision; further columns are carried through, whatever their names (columns
+called ``_weight``, ``_prob`` and ``_kept`` are replaced).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import fresh, small_side, stored
 
 NONE = "(none)"
 SWEEPS = 8
@@ -72,8 +73,8 @@ def mix(docs: DataFrame, margins: dict[str, Column], weight: Column, powers: dic
     ``margins``: column by margin name; ``targets``: (margin, share) tables for margins that have
     explicit ones, else tempered observed shares by ``powers``.
     """
-    keyed = docs
-    names = {m: f"_m_{m}" for m in margins}
+    keyed = docs.drop("_weight", "_prob", "_kept")
+    names = dict(zip(margins, fresh(keyed, *(f"m_{m}" for m in margins)), strict=True))
     for m, col in margins.items():
         keyed = keyed.withColumn(names[m], F.coalesce(col.cast("string"), F.lit(NONE)))
     keyed = keyed.withColumn("_weight", weight)
@@ -83,10 +84,10 @@ def mix(docs: DataFrame, margins: dict[str, Column], weight: Column, powers: dic
         given = (targets or {}).get(m)
         wanted[c] = stored(given.select(F.col(m).alias(c), "share") if given is not None
                            else tempered_targets(cells, c, powers[m]), "targets")
-    fitted = rake(cells, wanted, sweeps).withColumn("_r", F.when(F.col("w") > 0, F.col("fit") / F.col("w")))
-    top = fitted.agg(F.max("_r")).first()[0] or 1.0
+    fitted = rake(cells, wanted, sweeps).withColumn("r", F.when(F.col("w") > 0, F.col("fit") / F.col("w")))
+    top = fitted.agg(F.max("r")).first()[0] or 1.0
     # cells without tokens have nothing to weigh: their documents stay
-    probs = fitted.select(*names.values(), F.coalesce(F.col("_r") / F.lit(top), F.lit(1.0)).alias("_prob"))
+    probs = fitted.select(*names.values(), F.coalesce(F.col("r") / F.lit(top), F.lit(1.0)).alias("_prob"))
     out = keyed.join(small_side(probs), list(names.values()), "left")
     u = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast(
         "double") / F.lit(4294967296.0)

@@ -17,8 +17,9 @@
 A pair that meets in several shards counts in the least of them.  Tasks return link
 counts and one row per point and block (its smallest linked id), never pairs, so a group
 of copies costs as many rows as it has members.  ``audit`` measures recall against
-brute force for a sample of points; the search is repeated with a wider beam and more overlap if
-it is below the target.
+brute force after every search, point by point for a sample of points, so that a dense group weighs no more than any
+other; below the target the search is repeated with a wider beam and more overlap, and after ``ATTEMPTS`` searches
+below it all pairs of blocks of all points are compared, which finds every link.
 
 Defined results: vectors null, empty, zero or with null or non-finite components link with
 nothing and are kept; vectors of different lengths do not link; equal repeated rows are
@@ -52,7 +53,8 @@ ALPHA = 1.2
 BEAM = 24
 EXPAND = 4  # points expanded by a query in one step
 RECALL = 0.95
-AUDIT = 64
+AUDIT = 256  # points whose links are counted exactly
+ATTEMPTS = 3
 
 
 def prune_graph(sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -204,8 +206,11 @@ def _build(members: DataFrame) -> DataFrame:
     return lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def _search(members: DataFrame, within: float, beam: int) -> DataFrame:
-    """(vec_id, n, root): per point and pair of blocks its links and the smallest id of its links there."""
+def _search(members: DataFrame, within: float, beam: int | None) -> DataFrame:
+    """(vec_id, n, root): per point and pair of blocks its links and the smallest id of its links there.
+
+    Without a ``beam`` every point of a block is compared with every one of the other.
+    """
     i = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = members.withColumn("other", i)
     pairs = pairs.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
@@ -221,15 +226,18 @@ def _search(members: DataFrame, within: float, beam: int) -> DataFrame:
         none = pa.table({"vec_id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if not len(nodes) or not len(asks):
             return none
-        place = {v: k for k, v in enumerate(ids[nodes].tolist())}
-        linked = np.zeros((len(nodes), len(nodes)), dtype=bool)
-        near = group.column("near").combine_chunks()
-        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
-        for k, row in enumerate(nodes.tolist()):
-            at = [place[v] for v in near[row].as_py() if v in place]
-            linked[k, at] = True
-        sims = x[nodes] @ x[nodes].T
-        found = range_search(x[asks], x[nodes], linked, medoid(sims), within - 1e-6, beam)
+        if beam is None:
+            found = x[asks] @ x[nodes].T >= within - 1e-6
+        else:
+            place = {v: k for k, v in enumerate(ids[nodes].tolist())}
+            linked = np.zeros((len(nodes), len(nodes)), dtype=bool)
+            near = group.column("near").combine_chunks()
+            near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
+            for k, row in enumerate(nodes.tolist()):
+                at = [place[v] for v in near[row].as_py() if v in place]
+                linked[k, at] = True
+            sims = x[nodes] @ x[nodes].T
+            found = range_search(x[asks], x[nodes], linked, medoid(sims), within - 1e-6, beam)
         a, b = np.nonzero(found)
         a, b = asks[a], nodes[b]
         ordered = a < b if asks is nodes else np.ones(len(a), dtype=bool)
@@ -287,8 +295,14 @@ def _links(points: DataFrame, within: float, overlap: int, beam: int) -> DataFra
     return stored(_search(members.join(near, "vec_id"), within, beam), "links")
 
 
+def _exact_links(points: DataFrame, within: float) -> DataFrame:
+    """All links, by all pairs of blocks of points of one length."""
+    members = _blocks(points.withColumn("shard", F.col("dim").cast("long"))).withColumn("all_shards", F.array("shard"))
+    return stored(_search(stored(members, "members"), within, None), "links")
+
+
 def audit(points: DataFrame, counts: DataFrame, within: float, sample: int = AUDIT) -> float:
-    """Share of the true links of ``sample`` points (chosen by hash) that are in ``counts`` (vec_id, n_links)."""
+    """Mean share of their true links that ``counts`` (vec_id, n_links) has of ``sample`` points (chosen by hash) with links."""
     asked = points.orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id").limit(sample).collect()
     if not asked:
         return 1.0
@@ -310,9 +324,9 @@ def audit(points: DataFrame, counts: DataFrame, within: float, sample: int = AUD
 
     true = map_arrow(points.select("vec_id", "dim", "n", "x"), run, "vec_id long, n long").groupBy("vec_id").agg(
         F.sum("n").alias("n"))
-    both = true.where("n > 0").join(counts, "vec_id", "left").agg(
-        F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0)))).alias("found")).first()
-    return 1.0 if not both["n"] else both["found"] / both["n"]
+    share = F.least(F.coalesce("n_links", F.lit(0)) / F.col("n"), F.lit(1.0))
+    mean = true.where("n > 0").join(counts, "vec_id", "left").agg(F.avg(share)).first()[0]
+    return 1.0 if mean is None else mean
 
 
 def near_duplicates(vectors: DataFrame, within: float = 0.95, recall: float = RECALL) -> DataFrame:
@@ -320,12 +334,15 @@ def near_duplicates(vectors: DataFrame, within: float = 0.95, recall: float = RE
     ship(vectors.sparkSession)
     points, copies = _points(vectors)
     overlap, beam = OVERLAP, BEAM
-    for attempt in range(3):
+    for _ in range(ATTEMPTS):
         links = _links(points, within, overlap, beam)
         counts = links.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-        if attempt == 2 or audit(points, counts, within) >= recall:
+        if audit(points, counts, within) >= recall:
             break
         overlap, beam = 2 * overlap, 2 * beam
+    else:
+        links = _exact_links(points, within)
+        counts = links.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     ids = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     roots = connected_components(points.select(F.col("vec_id").alias("id")),
                                  links.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))

@@ -31,7 +31,7 @@ from .word_ids import WordIds
 
 WINDOW = 2048
 OPEN = 64
-FAN_IN = 64
+FAN_IN = 16
 ROUND, GROUP = 1 << 56, 1 << 32  # steps of window numbers by round and by partition or group
 FLUSH_IDS = 1 << 20  # ids held back before a batch leaves the task
 

@@ -22,8 +22,8 @@ block of candidates meet as the rows of one group, keyed by the pair of blocks.
 Each group returns k rows a query, and a window keeps the k best of all.
 
 Defined results: vectors that are null or hold null or non-finite components take no
-part; vectors of different lengths have no score; an equal repeated row counts once, and
-rows with the query's own id are never its answers; ties go to the smaller id.
+part; vectors of different lengths have no score; repeated rows are candidates, and queries, of
+their own; rows with the query's own id are never its answers; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -101,11 +101,12 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` (vec_id, embedding) with ``is_query``."""
     whole = usable(vectors).select(
         "vec_id", F.transform("x", lambda c: F.floor(c * F.lit(scale)).cast("double")).alias("x"),
-        is_query.alias("q")).dropDuplicates(["vec_id", "x"])
-    whole = stored(whole.withColumn("dim", F.size("x")), "whole-vectors")
+        is_query.alias("q"))
+    # rows are numbered, so that repeated rows, each a candidate of its own, spread over the blocks
+    whole = stored(whole.withColumn("dim", F.size("x")).withColumn("row", F.monotonically_increasing_id()), "whole-vectors")
     n, n_queries = whole.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
     c_groups, q_groups = -(-n // CANDIDATES) or 1, -(-n_queries // QUERIES) or 1
-    place = F.xxhash64("vec_id", "x")
+    place = F.xxhash64("row")
     candidates = whole.select("dim", F.pmod(place, F.lit(c_groups)).alias("cg"), F.explode(
         F.sequence(F.lit(0), F.lit(q_groups - 1))).alias("qg"), F.lit(False).alias("q"), "vec_id", "x")
     queries = whole.where("q").select("dim", F.explode(F.sequence(F.lit(0), F.lit(c_groups - 1))).alias("cg"), F.pmod(
