@@ -160,3 +160,35 @@ def test_split_keeps_null_ids_and_repeated_ids(spark, monkeypatch):
     out = sm.kfold(df, "doc_id", "7", 3)
     assert out.count() == len(rows)
     assert out.groupBy("doc_id").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+
+
+def test_splits_and_auc_have_no_single_partition(spark):
+    """No task sees all buckets or scores, in the plan or below its cached tables."""
+    from fractions import Fraction
+
+    df = spark.range(5000).withColumn("g", F.col("id") % 3).repartition(4)
+    plans = [sm.random_split(df, "id", "s", Fraction(1, 5)), sm.kfold(df, "id", "s", 3),
+             sm.random_split(df, "id", "s", Fraction(1, 5), ["g"])]
+    for out in plans:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryRelation" in plan and "SinglePartition" not in plan
+    scores = df.select(F.col("g").alias("level"), (F.col("id") % 2).alias("y"), (F.col("id") / 7).alias("score"))
+    assert "SinglePartition" not in ev.auc_scores(scores, ["level"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_ranks_equal_the_sorted_keys_with_many_digits(spark, monkeypatch):
+    import hashlib
+    from fractions import Fraction
+
+    monkeypatch.setattr(sm, "EDGE_BUCKET_ROWS", 1)  # the longest buckets
+    rows = [(i, "ab"[i % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string").repartition(3)
+
+    def want(ids):
+        order = sorted(ids, key=lambda i: hashlib.md5(f"s:{i}".encode()).hexdigest())
+        return set(order[:-(-len(ids) // 5)])
+
+    got = {r["id"] for r in sm.random_split(df, "id", "s", Fraction(1, 5)).where("split = 'test'").collect()}
+    assert got == want(list(range(600)))
+    got = {r["id"] for r in sm.random_split(df, "id", "s", Fraction(1, 5), ["g"]).where("split = 'test'").collect()}
+    assert got == want(list(range(0, 600, 2))) | want(list(range(1, 600, 2)))

@@ -276,3 +276,33 @@ def test_joint_forest_has_an_output_per_level(spark, work, frame):
 
 def test_levels_of_the_grids():
     assert len(LEVELS) == 6
+
+
+def test_naive_bayes_on_vectors_equals_the_moments_of_dense_rows(spark, frame):
+    from wordloom.operators import naive_bayes as nb
+
+    models = nb.fit_vectors(frame, ["remember", "apply"], var_smoothing=1e-3)
+    rows = frame.orderBy("doc_id").collect()
+    x = np.array([r["features"].toArray() for r in rows])
+    for lv, m in models.items():
+        y = np.array([r[lv] for r in rows])
+        for k in (0, 1):
+            assert np.allclose(m.arrays["mean"][k], x[y == k].mean(axis=0))
+            assert np.allclose(m.arrays["var"][k], x[y == k].var(axis=0) + 1e-3 * x.var(axis=0).max(), rtol=1e-4)
+        told, p = m.predict(fits.Prepared(x, None))
+        log = [np.log(np.mean(y == k)) - 0.5 * (np.log(2 * np.pi * v) + (x - a) ** 2 / v).sum(axis=1)
+               for k, a, v in ((k, m.arrays["mean"][k], m.arrays["var"][k]) for k in (0, 1))]
+        assert np.allclose(p, 1 / (1 + np.exp(log[0] - log[1]))) and np.array_equal(told, (log[1] > log[0]).astype(int))
+    one = nb.fit_vectors(frame.where("remember = 1"), ["remember"])["remember"]
+    assert one.predict(fits.Prepared(x, None))[0].all()  # a class without rows is never chosen
+
+
+def test_stored_linear_model_scores_batches_of_vectors(spark, frame, tmp_path):
+    from wordloom.operators import inference as inf
+
+    w = [0.5, -1.0, 0.0, 2.0, 0.25, -0.5]
+    path = str(tmp_path / "linear")
+    spark.createDataFrame([(-1, 0.1), *enumerate(w)], "pos int, weight double").write.parquet(path)
+    got = {r["doc_id"]: r["score"] for r in inf.score_vectors(frame, path).collect()}
+    for r in frame.collect():
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(r["features"].toArray() @ np.array(w) + 0.1))))

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import ROUND_DIGITS
+from ..session import checked_broadcast, reliable_checkpoint
 
 
 # Distinct scores that one window of the score AUC ranks.
-SCORES_PER_BUCKET = 100_000
 
 
 def _r(c: Column, digits: int | None = ROUND_DIGITS) -> Column:
@@ -199,44 +199,37 @@ def auc_scores(df: DataFrame, group: list[str], y: str = "y", score: str = "scor
     """ROC AUC of scores per group; tied scores count one half.
 
     AUC = Σ_s pos_s · (2·neg_below_s + neg_s) / (2·P·N) over distinct scores s.
-    Distinct scores are collapsed first (partial aggregation).  The running
-    sum of negatives is not one window over the whole group: scores are cut
-    into ``n_buckets`` order-preserving ranges (approximate quantiles, which
-    only affect balance; by default one for every ``SCORES_PER_BUCKET`` distinct
-    scores), a bucket-level prefix sum gives each bucket's offset
-    (small table), and each bucket computes its own running sum.
+    Distinct scores are collapsed first (partial aggregation) and dealt by ranges of (group, score) to ``n_buckets``
+    partitions (the session's number by default), whose rows are written once.  A partition's negatives of a group
+    are counted, the counts of the partitions before are a row's offset, and each partition adds its own running sum:
+    no window spans a group, and nothing that grows with the scores reaches the driver.
     """
-    from pyspark import StorageLevel
-    from pyspark.ml.feature import Bucketizer
-
-    # distinct scores per group, read three times (quantiles, offsets, sums): persisted once
     per = df.groupBy(*group, score).agg(
         F.sum(F.col(y).cast("long")).alias("_pos"),
         (F.count(F.lit(1)) - F.sum(F.col(y).cast("long"))).alias("_neg"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-
-    if n_buckets is None:
-        n_buckets = max(16, -(-per.count() // SCORES_PER_BUCKET))
-    qs = per.approxQuantile(score, [i / n_buckets for i in range(1, n_buckets)], 0.25 / n_buckets) if n_buckets > 1 else []
-    splits = sorted(set(q for q in qs if q is not None))
-    splits = [float("-inf")] + splits + [float("inf")]
-    per = per.withColumn("_sd", F.col(score).cast("double"))
-    if len(splits) > 2:
-        per = Bucketizer(splits=splits, inputCol="_sd", outputCol="_bk", handleInvalid="keep").transform(per)
-    else:
-        per = per.withColumn("_bk", F.lit(0.0))
-    bucket_tot = per.groupBy(*group, "_bk").agg(F.sum("_neg").alias("_bneg"))
-    bw = Window.partitionBy(*group).orderBy("_bk") if group else Window.orderBy("_bk")
-    offsets = bucket_tot.select(
-        *group, "_bk",
-        F.coalesce(F.sum("_bneg").over(bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-    )
-    offsets = checked_small(offsets)
-    within = Window.partitionBy(*group, "_bk").orderBy(score)
-    ranked = per.join(offsets, [*group, "_bk"]).withColumn(
-        "_below",
-        F.col("_off") + F.coalesce(F.sum("_neg").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
+    order = [*group, score]
+    ranged = per.repartitionByRange(*([n_buckets] if n_buckets else []), *order).sortWithinPartitions(*order)
+    # the high bits of the id are the partition
+    ranged = reliable_checkpoint(ranged.withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    totals = ranged.groupBy(*group, "_part").agg(F.sum("_neg").alias("_pneg"))
+    if group:  # at most a row per partition and group that meets it
+        before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*group, "_part", F.coalesce(F.sum("_pneg").over(before), F.lit(0)).alias("_off"))
+    else:
+        rows, below = [], 0
+        for r in sorted(totals.collect()):
+            rows.append((r["_part"], below))
+            below += r["_pneg"]
+        offsets = df.sparkSession.createDataFrame(rows, "_part long, _off long")
+    offsets = checked_small(offsets.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)),
+                                           F.col("_part").alias("_p"), "_off"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    within = Window.partitionBy(*group, "_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.withColumn("_own", F.coalesce(F.sum("_neg").over(within), F.lit(0))).join(offsets, same).withColumn(
+        "_below", F.col("_off") + F.col("_own"))
     agg = ranked.groupBy(*group).agg(
         F.sum(F.col("_pos").cast("double") * (F.lit(2.0) * F.col("_below") + F.col("_neg"))).alias("_num"),
         F.sum("_pos").alias("_p"),
@@ -250,6 +243,4 @@ def auc_scores(df: DataFrame, group: list[str], y: str = "y", score: str = "scor
 
 
 def checked_small(df: DataFrame) -> DataFrame:
-    from ..session import checked_broadcast
-
     return checked_broadcast(df)

@@ -98,3 +98,34 @@ def predict(model: GaussianNBModel, features: DataFrame, rows: DataFrame, id_col
         id_col, "level",
         F.when(F.col("_j1") > F.coalesce(F.col("_j0"), F.lit(float("-inf"))), 1).otherwise(0).cast("int").alias("yhat"),
     )
+
+
+def fit_vectors(frame: DataFrame, levels: list[str], features_col: str = "features", var_smoothing: float = 1e-9) -> dict:
+    """{level: Model} of Gaussian naive Bayes on whole feature vectors, zeros included.
+
+    Moments of every (level, class) come from one aggregate of ``Summarizer`` over the vectors as they are stored: partial sums per
+    partition, a row of moments per (level, class) to the driver.  ε = var_smoothing × the largest feature variance over all rows.
+    """
+    import numpy as np
+    from pyspark.ml.stat import Summarizer
+
+    from .fits import Model
+
+    moments = Summarizer.metrics("mean", "variance", "count").summary(F.col(features_col)).alias("m")
+
+    def parts(row) -> tuple[int, np.ndarray, np.ndarray]:
+        n = int(row["count"])
+        # the summarizer divides by n - 1
+        return n, row["mean"].toArray(), row["variance"].toArray() * ((n - 1) / n if n else 0.0)
+
+    long = frame.unpivot([features_col], levels, "level", "y")
+    found = {(r["level"], int(r["y"])): parts(r["m"]) for r in long.groupBy("level", "y").agg(moments).collect()}
+    _, _, all_var = parts(frame.select(moments).first()["m"])
+    epsilon = var_smoothing * (float(all_var.max()) or 1.0)
+    out = {}
+    for lv in levels:
+        empty = (0, np.zeros(len(all_var)), np.zeros(len(all_var)))
+        n, mean, var = zip(*(found.get((lv, k), empty) for k in (0, 1)))
+        out[lv] = Model("nb", {"var_smoothing": var_smoothing}, {
+            "prior": np.array(n) / max(sum(n), 1), "mean": np.array(mean), "var": np.array(var) + epsilon})
+    return out

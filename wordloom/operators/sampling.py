@@ -43,18 +43,37 @@ def _bucket_of(h: Column, digits: int) -> Column:
     return F.substring(h, 1, digits)
 
 
+def _with_prefix(counts: DataFrame, strata: list[str]) -> DataFrame:
+    """``counts`` (strata…, _b, _cnt) with ``_before`` (rows of the stratum in the buckets before) and ``_n`` (all of them).
+
+    Two levels: buckets with the same first digits are summed up by a window of their own, and the sums of these
+    ranges by a second one over a row per range, so no task sees all buckets of a stratum.  Without strata the ranges (at most
+    16 to the power of half the digits) come to the driver, where their running sum is taken.
+    """
+    half = F.greatest(F.lit(1), F.floor(F.length("_b") / 2)).cast("int")
+    counts = counts.withColumn("_range", F.substring(F.col("_b"), F.lit(1), half))
+    inside = Window.partitionBy(*strata, "_range").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_inside", F.coalesce(F.sum("_cnt").over(inside), F.lit(0)))
+    ranges = counts.groupBy(*strata, "_range").agg(F.sum("_cnt").alias("_rows"))
+    if strata:
+        whole = Window.partitionBy(*strata)
+        earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.select(*strata, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_first"),
+                               F.sum("_rows").over(whole).alias("_n"))
+    else:
+        found = sorted(ranges.collect())
+        total, first, rows = sum(r["_rows"] for r in found), 0, []
+        for r in found:
+            rows.append((r["_range"], first, total))
+            first += r["_rows"]
+        ranges = F.broadcast(counts.sparkSession.createDataFrame(rows, "_range string, _first long, _n long"))
+    left, right, cond = _join_on_stratum(counts, ranges, strata, ["_range"])
+    return left.join(right, cond).select(*strata, "_b", "_cnt", (F.col("_first") + F.col("_inside")).alias("_before"), "_n")
+
+
 def _bucket_table(keyed: DataFrame, strata: list[str], thresholds, stratum_extra) -> tuple[DataFrame, int]:
     """(strata…, _b, _before, _lo, _hi, _t…) per bucket; returns the table and the number of thresholds."""
-    counts = keyed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    order = Window.partitionBy(*strata).orderBy("_b") if strata else Window.orderBy("_b")
-    whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    counts = counts.select(
-        *strata,
-        "_b",
-        "_cnt",
-        F.coalesce(F.sum("_cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_cnt").over(whole).alias("_n"),
-    )
+    counts = _with_prefix(keyed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_cnt")), strata)
     if stratum_extra is not None:
         counts = stratum_extra(counts)
     ts = thresholds(F.col("_n"))

@@ -26,7 +26,9 @@ from ..functions.constants import (
 from ..operators import blocks as bl
 from ..operators import evaluate as ev
 from ..operators import features as ft
+from ..operators import inference as inf
 from ..operators import models as md
+from ..operators import naive_bayes as nb
 from ..operators import ranking as rk
 from ..operators import sampling as sm
 from ..operators import search as se
@@ -34,9 +36,10 @@ from ..operators.fits import Model
 from ..operators.kernels import KernelMap, gamma_of, kernel_error
 from ..session import read_table, reliable_checkpoint, scratch_path, session_key
 from . import views
-from .q_features import feature_state, split_docs
+from .q_features import _matrix_parts, feature_state, split_docs, sql_feature_ctes
 from .q_prep import ql, sql_split_r1
 from .registry import register
+from .sql_common import sql_lex_match
 
 _FRAMES: dict = {}
 
@@ -420,3 +423,74 @@ def labels_fit_report(spark, sf_dir):
     told = se.predict_models(_test(frame), fitted, work.value.bins, dim)
     gold = _test(frame).select("doc_id", *names).unpivot(["doc_id"], names, "level", "y")
     return ev.headline(ev.with_gold(told, gold, ["doc_id", "level"]), ["level", "model"])
+
+
+def _nb_full_sql() -> str:
+    return f"""{sql_feature_ctes()}, {_matrix_parts('documents', 'doc_id', sql_lex_match('documents'))}, {views.sql_objectives()},
+lab AS (SELECT doc_id, level, y, split FROM (
+  SELECT o.doc_id, s.split, {', '.join(f"CAST(coalesce(o.{ql(lv)}, 0) AS BIGINT) AS {ql(lv)}" for lv in LEVELS)}
+  FROM v_objectives o JOIN split_r1 s ON s.doc_id = o.doc_id)
+  UNPIVOT (y FOR level IN ({', '.join(ql(lv) for lv in LEVELS)}))),
+names AS (
+  SELECT 'uni_' || term AS feature FROM uni_vocab UNION ALL SELECT 'tfidf_' || term FROM uni_vocab
+  UNION ALL SELECT 'bi_' || term FROM bi_vocab UNION ALL SELECT 'ari' UNION ALL SELECT category FROM lex_categories),
+nc AS (SELECT level, y, CAST(count(*) AS DOUBLE) AS n FROM lab WHERE split = 'train' GROUP BY level, y),
+nt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM split_r1 WHERE split = 'train'),
+eps AS (SELECT 1e-9 * max(k * v / n + k * (n - k) / (n * n) * a * a) AS eps FROM (
+  SELECT feature, CAST(count(*) AS DOUBLE) AS k, avg(value) AS a, var_pop(value) AS v FROM m
+  JOIN split_r1 s ON s.doc_id = m.doc_id WHERE s.split = 'train' GROUP BY feature), nt),
+seen AS (SELECT l.level, l.y, m.feature, CAST(count(*) AS DOUBLE) AS k, avg(m.value) AS a, var_pop(m.value) AS v
+  FROM m JOIN lab l ON l.doc_id = m.doc_id WHERE l.split = 'train' GROUP BY l.level, l.y, m.feature),
+st AS (SELECT nc.level, nc.y, f.feature, coalesce(k, 0) * coalesce(a, 0) / n AS mean,
+         coalesce(k, 0) * coalesce(v, 0) / n + coalesce(k, 0) * (n - coalesce(k, 0)) / (n * n) * coalesce(a, 0) * coalesce(a, 0)
+         + (SELECT eps FROM eps) AS var
+       FROM nc CROSS JOIN names f LEFT JOIN seen ON seen.level = nc.level AND seen.y = nc.y AND seen.feature = f.feature),
+const AS (SELECT st.level, st.y, ln(max(nc.n) / (SELECT n FROM nt)) - 0.5 * sum(ln(2 * pi() * var)) - 0.5 * sum(mean * mean / var) AS c
+          FROM st JOIN nc ON nc.level = st.level AND nc.y = st.y GROUP BY st.level, st.y),
+jll AS (SELECT m.doc_id, st.level, st.y, max(const.c) + sum(m.value * st.mean / st.var - 0.5 * m.value * m.value / st.var) AS j
+        FROM m JOIN split_r1 s ON s.doc_id = m.doc_id AND s.split = 'test' JOIN st ON st.feature = m.feature
+        JOIN const ON const.level = st.level AND const.y = st.y GROUP BY m.doc_id, st.level, st.y)"""
+
+
+@register(
+    "nb_full_predict",
+    f"""WITH {_nb_full_sql()}
+SELECT doc_id, level, CAST(CASE WHEN max(CASE WHEN y = 1 THEN j END) > max(CASE WHEN y = 0 THEN j END) THEN 1 ELSE 0 END AS INTEGER) AS yhat
+FROM jll GROUP BY doc_id, level""",
+)
+def nb_full_predict(spark, sf_dir):
+    """Gaussian naive Bayes on the whole feature matrix, moments from vectors, posteriors in log space."""
+    frame = model_frame(spark, sf_dir)
+    models = [(lv, "nb", m) for lv, m in nb.fit_vectors(_train(frame), LEVELS).items()]
+    told = se.predict_models(_test(frame), models, _work(spark, sf_dir).value.bins, _dim(spark, sf_dir))
+    return told.select("doc_id", "level", "yhat")
+
+
+@register(
+    "batch_infer_model",
+    f"""WITH {sql_split_r1()} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differ FROM split_r1 WHERE split = 'test'""",
+)
+def batch_infer_model(spark, sf_dir):
+    """A fitted logistic regression written to the shared folder, scored by Arrow batches, against the JVM model's scores."""
+    frame = model_frame(spark, sf_dir)
+    fitted = md.fit_level(_train(frame), LEVELS[0], "logreg", LOGREG)
+    path = scratch_path(spark, "linear-model")
+    weights = [(-1, float(fitted.model.intercept)), *((i, float(w)) for i, w in enumerate(fitted.model.coefficients.toArray()))]
+    spark.createDataFrame(weights, "pos int, weight double").write.parquet(path)
+    own = md.predict_level(fitted, _test(frame)).select("doc_id", F.col("score").alias("jvm"))
+    both = inf.score_vectors(_test(frame), path).join(own, "doc_id")
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.abs(F.col("score") - F.col("jvm")) > 1e-9, 1)).alias("n_differ"))
+
+
+@register("topk_coefficients")
+def topk_coefficients(spark, sf_dir):
+    """The 20 features with the largest absolute coefficients per level, for both linear kinds."""
+    names = feature_state(spark, sf_dir, MAX_FEATURES).names()
+    kinds = {"logreg": DEFAULTS["logreg"], "svm": {"C": 1.0, "gamma": "scale", "kernel": "linear"}}
+    fitted = se.refit(spark, _work(spark, sf_dir), [(lv, kind, p) for kind, p in kinds.items() for lv in LEVELS])
+    rows = [(f"{r[1]}/{r[0]}", n, abs(float(w))) for r in fitted
+            for n, w in zip(names, Model.from_bytes(r[5]).arrays["w"], strict=False) if w]
+    scores = spark.createDataFrame(rows, "level string, feature string, importance double")
+    top = rk.top_k_per_group(scores, "level", TOP_FEATURES_PER_LEVEL)
+    kind_level = F.split("level", "/")
+    return top.select(kind_level[0].alias("model"), kind_level[1].alias("level"), "rank", "feature", "importance")
