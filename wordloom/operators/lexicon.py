@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ROUND_DIGITS
 from ..functions.text import explode_rows, lexicon_tokens
-from ..session import within_broadcast_bounds
+from ..session import BROADCAST_ROW_LIMIT, within_broadcast_bounds
 from ..sources.lexicon import (
     LexiconTables,
     builtin_lexicon_text,
@@ -330,8 +330,12 @@ def scores_by_label(docs: DataFrame, labels: DataFrame, lex: Lexicon, label_col:
     """Mean category percentage per label class (absent category = 0) and documents with the category.
 
     Texts are scored where they lie (narrow); only the small per-document
-    counts and the id/label pairs are shuffled for the join, never the text.
+    counts and the id/label pairs are shuffled for the join, never the text.  Texts without a label
+    are left out before they are cut into tokens, where the labelled ids can be broadcast.
     """
+    known = labels.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    if known.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+        docs = docs.join(F.broadcast(known), id_col, "left_semi")
     labelled = labels.select(id_col, label_col).join(docs.select(id_col), id_col)
     class_sizes = labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
     counts = category_counts(docs, lex, id_col)

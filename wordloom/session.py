@@ -83,11 +83,14 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
 
     Only used for tables that are small by construction (lexicons, vocabularies,
     bucket tables).  The counted frame is cached, so the count is not
-    recomputed and its size is the measured size of the cached columns.
+    recomputed and its size is the measured size of the cached columns; beyond a bound it is released.
     """
-    df = df.cache()
-    n = df.count()
-    return F.broadcast(df) if within_broadcast_bounds(df, n, limit, byte_limit) else df
+    cached = df.cache()
+    n = cached.count()
+    if within_broadcast_bounds(cached, n, limit, byte_limit):
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 _SHIPPED: set[str] = set()
