@@ -130,3 +130,16 @@ def test_op5_counts(spark, counts_of):
     rows = catalog.queries()["op5_token_counts"](spark, SF).collect()
     want = dict(zip(texts, counts_of(list(texts.values())), strict=True))
     assert {r["doc_id"]: (r["n_tokens"], r["over_limit"]) for r in rows} == {k: (n, n > 2048) for k, n in want.items()}
+
+
+def test_blankless_words_are_scanned_in_few_rounds(word_bpe, counts_of, monkeypatch):
+    rounds = []
+    t = transducer.Counter(word_bpe)
+    advance = t.transducer._advance
+    monkeypatch.setattr(t.transducer, "_advance", lambda *a: rounds.append(1) or advance(*a))
+    r = random.Random(4)
+    texts = ["a" * 40000, "".join(r.choice("aeiostrn") for _ in range(30000)), "é" * 9000 + " word " + "the" * 9000, ".,;" * 8000]
+    for text in texts:
+        rounds.clear()
+        assert t.count_all([text]).tolist() == counts_of([text])
+        assert len(rounds) <= 8  # not one per chunk

@@ -16,9 +16,9 @@ restarted when full, which changes no count.
 
 Running.  A slice of texts becomes one symbol sequence cut into chunks that
 advance together, one numpy step per position.  A chunk is a map from state to
-(state, count); from its first word end on it is constant.  A scan over the
-chunks composes the maps: heads before a first word end are then run from the
-state that comes in.  Each document's count is the sum of its own symbols'
+(state, count); from its first word end on it is constant.  A scan composes the
+chunks' maps, whose entries are made for the states that reach them, many chunks at once (``_scan``); heads before a
+first word end are then run from the state that comes in.  Each document's count is the sum of its own symbols'
 transitions.
 
 A task holds one slice of texts and the table.  Defined results: a null text is
@@ -213,6 +213,38 @@ class Transducer:
                 lane, pos, state, stop = lane[going], pos[going], state[going], stop[going]
         return final
 
+    def _scan(self, columns: np.ndarray, out: np.ndarray, begin: np.ndarray, stop: np.ndarray, last: np.ndarray,
+              constant: np.ndarray) -> np.ndarray:
+        """The state that comes into every chunk; chunks without a word end are run from it.
+
+        A chunk with a word end maps every state to ``last``.  The map of any other chunk is filled in where it is asked
+        for: the maps are composed from the left, an entry that is missing stands in by another one of its chunk, and
+        all that was missing on the way is run at once, one lane per chunk.  A round settles the first unsettled chunk at
+        least, and as a rule all of them, since the states that come into a long word soon run together.
+        """
+        maps: list[dict[int, int]] = [{} for _ in begin]
+        ran = np.full(len(begin), -1, dtype=np.int64)
+        came = np.zeros(len(begin), dtype=np.int64)
+        while True:
+            state, missing = 0, []
+            for i in range(len(begin)):
+                came[i] = state
+                if constant[i]:
+                    state = int(last[i])
+                elif state in maps[i]:
+                    state = maps[i][state]
+                else:
+                    missing.append(i)
+                    state = next(iter(maps[i].values()), 0)
+            # in the end every chunk has to stand as run from the state that really comes
+            todo = np.array(missing, dtype=np.int64) if missing else np.flatnonzero(~constant & (ran != came))
+            if not len(todo):
+                return came
+            ended = self._advance(columns, out, begin[todo], stop[todo], came[todo])
+            ran[todo] = came[todo]
+            for i, s, e in zip(todo.tolist(), came[todo].tolist(), ended.tolist(), strict=True):
+                maps[i][s] = e
+
     def run(self, symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """Change of the token count at every symbol of a sequence that begins with a word."""
         n = len(symbols)
@@ -231,17 +263,9 @@ class Transducer:
         constant = first < stop
         head = np.where(constant, first + 1, stop)
         last = self._advance(columns, out, head, stop, np.zeros(len(begin), dtype=np.int64))
-        # scan: the state that comes into a chunk is its predecessor's last one; a chunk that is constant
-        # breaks the chain, so the heads of equal depth after such a chunk run together
-        depth = np.arange(len(begin)) - np.maximum.accumulate(np.where(constant, np.arange(len(begin)), -1))
-        before_depth = np.concatenate([[0], depth[:-1]])  # chunks without a word end just before
-        came = np.zeros(len(begin), dtype=np.int64)
-        for d in range(int(before_depth.max()) + 1):
-            now = np.flatnonzero(before_depth == d)
-            came[now] = np.where(now > 0, last[np.maximum(now - 1, 0)], 0)
-            ended = self._advance(columns, out, begin[now], head[now], came[now])
-            through = ~constant[now]
-            last[now[through]] = ended[through]
+        came = self._scan(columns, out, begin, stop, last, constant)
+        heads = np.flatnonzero(constant)
+        self._advance(columns, out, begin[heads], head[heads], came[heads])
         return out
 
 
