@@ -121,6 +121,28 @@ def test_shared_counts(monkeypatch):
                 assert got[i, j] == len(np.intersect1d(a, b))
 
 
+def test_candidates_of_a_cluster_are_filtered_and_lose_no_link():
+    r = np.random.default_rng(5)
+    percent, sets = 80, []
+    for g in range(12):
+        base = r.choice(5000, 60, replace=False)
+        for k in range(6):
+            s = base.copy()
+            s[: (k * 3) % 14] = r.choice(10**6, (k * 3) % 14)
+            sets.append(np.unique(s[: 60 - 2 * (k % 3)]).astype(np.uint64))
+    prefixes = [s[:ngram_join.prefix_length(len(s), percent)] for s in sets]  # any fixed order is right
+    n = np.array([len(s) for s in sets])
+    sig = np.array([ngram_join._signature(s) for s in sets], dtype=np.uint64).view(np.int64)
+    got = ngram_join.candidates(n, sig, [p.astype(np.int64) for p in prefixes], [np.arange(len(p)) for p in prefixes], percent)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j:
+                common = len(np.intersect1d(a, b))
+                assert got[i, j] or common * 100 < percent * (len(a) + len(b) - common)
+                assert not got[i, j] or len(np.intersect1d(prefixes[i], prefixes[j]))
+    assert got.sum() < 0.2 * len(sets) ** 2
+
+
 @pytest.mark.parametrize(("few", "rounds"), [(32, 3), (2, 0), (2, 1)])
 def test_ngram_join_dense_and_borderline_groups(spark, monkeypatch, few, rounds):
     """A chain of near copies, and groups whose members are near the limit of 85 percent; with few star rounds
