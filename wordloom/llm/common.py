@@ -51,7 +51,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a stored table that no plan reads any more."""
+    path = df.__dict__.pop("_stored_path", None)
+    if path is not None:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -132,7 +143,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         small = large.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")),
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = stored(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
+        old, e = e, stored(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
+        discard(old)
         before, now = now, state(e)
         if now == before:
             break
