@@ -53,6 +53,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    if _MADE:
+        _MADE[-1].append(out)
+    return out
+
+
+# Tables stored on the way to a result, innermost result last.
+_MADE: list[list[DataFrame]] = []
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The stored table of ``make()``; all tables stored on the way to it are deleted."""
+    _MADE.append([])
+    try:
+        out = stored(make(), name)
+    finally:
+        made = _MADE.pop()
+    for table_ in made:
+        if table_ is not out:
+            discard(table_)
+    if _MADE:
+        _MADE[-1].append(out)
     return out
 
 
@@ -88,12 +109,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+M_MMAP_THRESHOLD = -3  # fixed value: a parameter of mallopt
+
+
 def release_memory() -> None:
-    """Gives a worker's freed memory back: workers outlive tasks, and what they hold adds up over the steps of a job."""
+    """Gives a worker's freed memory back: workers outlive tasks, and what they hold adds up over the steps of a job.
+
+    From now on arrays of a megabyte or more go back as soon as they are freed.
+    """
     pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
     try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # a C library without it
+        libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+        libc.malloc_trim(0)
+    except AttributeError:  # a C library without them
         pass
 
 
@@ -105,6 +134,7 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
         spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         try:
             yield from run(batches)
         finally:
