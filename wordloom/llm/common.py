@@ -81,9 +81,9 @@ def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that no plan reads any more."""
     path = df.__dict__.pop("_stored_path", None)
     if path is not None:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_side(df: DataFrame) -> DataFrame:
