@@ -64,6 +64,23 @@ def test_streaming_scores_equal_batch_scores(spark):
     assert got == want and len(got) > 0
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_stream_reads_a_table_of_one_file_or_of_parts(spark, tmp_path, parts):
+    lex = lx.Lexicon.builtin(spark)
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(["the cat and the hat", "un erstes tion", None, "the the"])]
+    docs = spark.createDataFrame(rows, lexicon_stream.DOCUMENT_SCHEMA)
+    if parts:
+        docs.repartition(parts).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(1).write.parquet(f"{tmp_path}/other.parquet")
+    sink = scratch_path(spark, "stream-sink")
+    lexicon_stream.start_scoring(spark, str(tmp_path), "documents.parquet", lex, sink,
+                                 scratch_path(spark, "stream-ck")).awaitTermination()
+    got = sorted(map(tuple, lexicon_stream.read_scores(spark, sink).collect()))
+    assert got == sorted(map(tuple, lx.category_scores(docs.select("doc_id", "text"), lex).collect())) and got
+
+
 def test_reference_grids_expand_and_build_spark_estimators(spark):
     from wordloom.functions.constants import REFERENCE_GRIDS
     from wordloom.operators.models import make_estimator

@@ -19,11 +19,15 @@ DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars
 
 def start_scoring(spark: SparkSession, source_dir: str, file_glob: str, lex: lx.Lexicon, sink_path: str,
                   checkpoint_path: str, available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the streaming query; returns the ``StreamingQuery``."""
-    reader = spark.readStream.schema(DOCUMENT_SCHEMA).option("pathGlobFilter", file_glob)
+    """Start the streaming query; returns the ``StreamingQuery``.
+
+    ``file_glob`` names files of ``source_dir`` or folders of part files: a table may be either.  The braces make any
+    name a pattern, and Spark takes no single file as the base path of a pattern's files.
+    """
+    reader = spark.readStream.schema(DOCUMENT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
+    stream = reader.parquet(f"{source_dir.rstrip('/')}/{{{file_glob}}}")
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         scores = lx.category_scores(batch.select("doc_id", "text"), lex)
