@@ -53,3 +53,20 @@ def test_readability_counts_by_one_pass_agree_with_splitting(spark):
         n_words = lambda s: sum(bool(has.search(x)) for x in re.split(blank, s))
         assert (r.c, r.w) == (len(re.sub(blank, "", t)), n_words(t)), t
         assert r.s == max(1, sum(n_words(p) > 2 for p in re.split(r"[.!?]+", t))), t
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 200_000])
+def test_sequences_with_frequent_and_rare_terms(docs, monkeypatch, frequent):
+    monkeypatch.setattr(ft, "FREQUENT_TERMS", frequent)
+    vocab = ft.fit_sequence_vocab(docs.where("doc_id <> 7 or doc_id is null"))
+    ids = {r.term: r.id for r in vocab.collect()}
+    texts = [r for r in docs.where("doc_id <> 7").collect() if r.text]
+    one = docs.where("doc_id <> 7").unionByName(docs.sparkSession.createDataFrame([(99, "unseen cell")], "doc_id long, text string"))
+    got = {(r.doc_id, r.chunk): (list(r.input_ids), r.n_real) for r in ft.encode_sequences(one, vocab, 10).collect()}
+    want = {}
+    for doc_id, text in [(r.doc_id, r.text) for r in texts] + [(99, "unseen cell")]:
+        seq = [ids.get(w, 1) for w in text.split()]
+        for k in range(0, len(seq), 10):
+            part = seq[k:k + 10]
+            want[doc_id, k // 10] = (part + [0] * (10 - len(part)), len(part))
+    assert got == want
