@@ -1,12 +1,17 @@
 """Steps that must not grow faster than the tables: what they shuffle, keep and run at once, and that results stay exact."""
 
 import re
+import threading
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.operators import features as ft
+from wordloom.plans import q_ml
+from wordloom.sources import persist
 
 ODD = ["one two three. Four five six! a b, c d e", "", None, "x" * 3000, "... ?! .", "a b.c d e f", "é ü ñ 漢 字 語. 1 2 3",
        " lead\ttab\nline\x0bv  ", "- - word - - other - - third -", "a.b c?d e f!g", "w1 w2. w3\nw4 w5 . , ; w6"]
@@ -55,6 +60,26 @@ def test_readability_counts_by_one_pass_agree_with_splitting(spark):
         assert r.s == max(1, sum(n_words(p) > 2 for p in re.split(r"[.!?]+", t))), t
 
 
+@pytest.mark.parametrize("n_rows, at_once", [(10, True), (30_000, False)])
+def test_large_fits_run_one_after_another(spark, monkeypatch, n_rows, at_once):
+    running, most, lock = 0, 0, threading.Lock()
+
+    def fit(tr, level, kind, params, n):
+        nonlocal running, most
+        with lock:
+            running += 1
+            most = max(most, running)
+        time.sleep(0.2)
+        with lock:
+            running -= 1
+        return level
+
+    monkeypatch.setattr(q_ml.md, "fit_level", fit)
+    frame = spark.range(n_rows).withColumn("split", F.lit("train"))
+    assert q_ml.fit_all_levels(frame, "svm", {}) == q_ml.LEVELS
+    assert (most > 1) == at_once
+
+
 @pytest.mark.parametrize("frequent", [0, 3, 200_000])
 def test_sequences_with_frequent_and_rare_terms(docs, monkeypatch, frequent):
     monkeypatch.setattr(ft, "FREQUENT_TERMS", frequent)
@@ -70,3 +95,15 @@ def test_sequences_with_frequent_and_rare_terms(docs, monkeypatch, frequent):
             part = seq[k:k + 10]
             want[doc_id, k // 10] = (part + [0] * (10 - len(part)), len(part))
     assert got == want
+
+
+def test_features_written_by_split_without_a_sort(spark, tmp_path, monkeypatch):
+    feats = spark.createDataFrame([(i, "train" if i % 3 else "test", f"f{i % 2}", 1.0) for i in range(20)],
+                                  "doc_id long, split string, feature string, value double")
+    targets = feats.select("doc_id", F.lit("remember").alias("level"), "split", F.lit(1).alias("y"))
+    persist.save_feature_set(feats, targets, f"{tmp_path}/a")
+    persist.save_feature_set(feats, targets, f"{tmp_path}/b", splits=("train", "test"))
+    a, b = (sorted(map(tuple, persist.load_features(spark, f"{tmp_path}/{x}").select(*feats.columns).collect())) for x in "ab")
+    assert a == b == sorted(map(tuple, feats.collect()))
+    assert sorted(map(tuple, persist.summary(spark, f"{tmp_path}/a").collect())) == sorted(
+        map(tuple, persist.summary(spark, f"{tmp_path}/b").collect()))

@@ -71,7 +71,7 @@ def feat_persist_roundtrip(spark, sf_dir):
     names = spark.createDataFrame(list(enumerate(st.names())), "pos int, feature string")
     second = ft.feature_matrix_long(views.second_set(spark, sf_dir), st, id_col="item_id")
     path = scratch_path(spark, "feature-set")
-    persist.save_feature_set(feats, targets, path, names, second)
+    persist.save_feature_set(feats, targets, path, names, second, splits=("train", "test"))
     t = persist.load_targets(spark, path)
     f = persist.load_features(spark, path)
     names = persist.load_names(spark, path)

@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 
 
 def save_feature_set(features: DataFrame, targets: DataFrame, path: str, names: DataFrame | None = None,
-                     second: DataFrame | None = None) -> None:
+                     second: DataFrame | None = None, splits: tuple[str, ...] | None = None) -> None:
     """features (id, split, feature, value, …); targets (id, level, split, y); names (pos, feature);
-    second (id, feature, value, …) of another table."""
+    second (id, feature, value, …) of another table.
+
+    Where ``splits`` names all values of ``split``, the features of each are written by themselves: the filter reaches
+    the input, so every row is made once, and the many feature rows need no sort by split before they are written."""
     if names is not None:
         names.write.mode("overwrite").parquet(f"{path}/names")
     if second is not None:
         second.write.mode("overwrite").parquet(f"{path}/second")
-    features.write.mode("overwrite").partitionBy("split").parquet(f"{path}/features")
+    if splits is None:
+        features.write.mode("overwrite").partitionBy("split").parquet(f"{path}/features")
+    else:
+        for v in splits:
+            features.where(F.col("split") == v).drop("split").write.mode("overwrite").parquet(f"{path}/features/split={v}")
     targets.write.mode("overwrite").partitionBy("level", "split").parquet(f"{path}/targets")
 
 
