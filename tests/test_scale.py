@@ -107,3 +107,31 @@ def test_features_written_by_split_without_a_sort(spark, tmp_path, monkeypatch):
     assert a == b == sorted(map(tuple, feats.collect()))
     assert sorted(map(tuple, persist.summary(spark, f"{tmp_path}/a").collect())) == sorted(
         map(tuple, persist.summary(spark, f"{tmp_path}/b").collect()))
+
+
+def test_feature_ranking_cuts_a_text_once(spark, tmp_path, monkeypatch):
+    """Labels and terms of the ranking read the same word tokens; stop words and bigrams make no copies as Java strings."""
+    from wordloom.functions.constants import LEVEL_TOKENS, LEVELS
+    from wordloom.operators import features as ft
+    from wordloom.operators import ranking as rk
+    from wordloom.plans import q_models
+
+    texts = [None, "", "a", "the of", *(f"The {LEVEL_TOKENS[LEVELS[k % 6]]} term{k % 5} term{k % 3} of word{k} word{k}" for k in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def spy(tokens, *args, keep=rk.chi_square_by_level):
+        seen.append(tokens)
+        return keep(tokens, *args)
+
+    monkeypatch.setattr(rk, "chi_square_by_level", spy)
+    assert q_models.topk_features_per_level(spark, str(tmp_path)).count() > 0
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "UDF(" not in plan
+    both = ft.add_token_columns(docs)
+    assert "UDF(" not in both._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: r for r in both.collect()}
+    assert [got[i][ft.UNI_COL] for i in range(4)] == [[]] * 4 and [got[i][ft.BI_COL] for i in range(4)] == [[]] * 4
+    assert got[4][ft.BI_COL] == [f"{LEVEL_TOKENS[LEVELS[0]]} term0", "term0 term0", "term0 word0", "word0 word0"]
+    assert ft.add_token_columns(docs, stopwords=[]).where("doc_id = 3").first()[ft.UNI_COL] == ["the", "of"]

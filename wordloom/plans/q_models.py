@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.constants import LEVELS, TOP_FEATURE_FREQUENCY, TOP_FEATURES_PER_LEVEL
+from ..functions.text import word_tokens
 from ..operators import features as ft
 from ..operators import lexicon as lx
 from ..operators import naive_bayes as nb
@@ -24,11 +25,12 @@ from .q_prep import sql_split_r1
 
 def _importance(spark, sf_dir):
     st = feature_state(spark, sf_dir)
-    train = views.with_level_labels(split_docs(spark, sf_dir).filter(F.col("split") == "train"))
-    train = train.select(
-        "doc_id", "text", *[F.coalesce(F.col(lv), F.lit(0.0)).cast("long").alias(lv) for lv in LEVELS]
+    # labels and terms read the same word tokens, so that a text is cut once
+    train = split_docs(spark, sf_dir).filter(F.col("split") == "train").select("doc_id", word_tokens("text").alias("_wt"))
+    train = views.with_level_labels(train, tokens="_wt").select(
+        "doc_id", "_wt", *[F.coalesce(F.col(lv), F.lit(0.0)).cast("long").alias(lv) for lv in LEVELS]
     )
-    toks = ft.add_token_columns(train, bigram=False)
+    toks = ft.add_token_columns(train, bigram=False, tokens="_wt")
     imp = rk.chi_square_by_level(toks, ft.UNI_COL, LEVELS, st.uni.table)
     return imp.select("level", F.concat(F.lit("uni_"), "term").alias("feature"), "importance")
 
