@@ -164,6 +164,34 @@ def test_ngram_join_dense_and_borderline_groups(spark, monkeypatch, few, rounds)
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, 4, 85)
 
 
+def test_ngram_join_rounds_read_open_grams_only(spark, monkeypatch):
+    """After the first round an n-gram whose documents are in one component is read by no later round; a task deals
+    what it holds within a batch."""
+    rows, doc = [], 0
+    for g in range(6):
+        base = words(2000 + g, 100).split(" ")
+        for k in range(20):
+            rows.append((doc, " ".join([*base[:k], f"x{g}{k}", *base[k + 1:]])))
+            doc += 1
+    # two texts that share n-grams and do not link
+    rows += [(doc, words(3000, 30) + " " + words(3001, 12)), (doc + 1, words(3002, 30) + " " + words(3001, 12))]
+    sizes = []
+
+    def spy(df, name, keep=ngram_join.stored):
+        out = keep(df, name)
+        if name in ("postings", "open"):
+            sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", spy)
+    monkeypatch.setattr(ngram_join, "HELD", 50)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows, 4, 85)
+    assert [name for name, _ in sizes] == ["postings"] + ["open"] * ngram_join.STAR_ROUNDS
+    n = [n for _, n in sizes]
+    assert n == sorted(n, reverse=True) and n[-1] < n[0] / 2
+
+
 def test_op4_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = catalog.queries()["op4_ngram_jaccard"](spark, SF).collect()
