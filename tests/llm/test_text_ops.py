@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,32 +165,24 @@ def test_ngram_join_dense_and_borderline_groups(spark, monkeypatch, few, rounds)
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, 4, 85)
 
 
-def test_ngram_join_rounds_read_open_grams_only(spark, monkeypatch):
-    """After the first round an n-gram whose documents are in one component is read by no later round; a task deals
-    what it holds within a batch."""
-    rows, doc = [], 0
-    for g in range(6):
-        base = words(2000 + g, 100).split(" ")
-        for k in range(20):
-            rows.append((doc, " ".join([*base[:k], f"x{g}{k}", *base[k + 1:]])))
-            doc += 1
-    # two texts that share n-grams and do not link
-    rows += [(doc, words(3000, 30) + " " + words(3001, 12)), (doc + 1, words(3002, 30) + " " + words(3001, 12))]
-    sizes = []
+def test_ngram_join_deals_postings_within_a_batch(spark, monkeypatch):
+    """However many texts a batch has, a task holds some ``HELD`` postings, and the dealt blobs hold every one of them."""
+    rows = [(k, words(2000 + k // 4, 100) + f" x{k}") for k in range(40)]
+    dealt = {}
 
-    def spy(df, name, keep=ngram_join.stored):
-        out = keep(df, name)
-        if name in ("postings", "open"):
-            sizes.append((name, out.count()))
-        return out
+    def spy(df, run, schema, keep=ngram_join.map_arrow):
+        dealt[schema] = run
+        return keep(df, run, schema)
 
-    monkeypatch.setattr(ngram_join, "stored", spy)
+    monkeypatch.setattr(ngram_join, "map_arrow", spy)
     monkeypatch.setattr(ngram_join, "HELD", 50)
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, 4, 85)
-    assert [name for name, _ in sizes] == ["postings"] + ["open"] * ngram_join.STAR_ROUNDS
-    n = [n for _, n in sizes]
-    assert n == sorted(n, reverse=True) and n[-1] < n[0] / 2
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], ["doc", "text"])
+    out = list(dealt["part long, blob binary"](iter([batch])))
+    sizes = [sum(len(b.as_py()) for b in x.column("blob")) // ngram_join.POSTING.itemsize for x in out]
+    assert sum(sizes) == sum(ngram_join.prefix_length(len(ngram_join.gram_set(t, 4)), 85) for _, t in rows)
+    assert len(out) > 5 and max(sizes) < 100
 
 
 def test_op4_against_brute_force(spark):
