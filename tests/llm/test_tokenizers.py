@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -84,6 +86,38 @@ def test_encode_decode_edge_rows(clashing, empty_docs, edge_rows, vocab, library
     assert bpe.decode(bpe.encode(empty_docs, vocab), vocab).count() == 0
 
 
+def _held_and_peak(work):
+    """Bytes that ``work()`` leaves allocated while its result lives, and holds at most."""
+    tracemalloc.start()
+    try:
+        result = work()
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    del result
+    return held, peak
+
+
+def test_memo_takes_few_bytes_an_entry(vocab):
+    encoder = bpe.Encoder(vocab)
+    pieces = [["".join(random.Random(i).choices("bcdfgh", k=12)) for i in range(k, k + 1000)] for k in range(0, 40_000, 1000)]
+    held, _ = _held_and_peak(lambda: [encoder.encode_all([" ".join(p)]) and None for p in pieces])
+    ids = sum(len(encoder.encode_all([" ".join(p)])[0]) for p in pieces)
+    assert held < 40 * 40_000 + 4 * ids
+
+
+def test_encoding_a_batch_takes_little_memory(spark, vocab, library, monkeypatch):
+    monkeypatch.setattr(bpe, "map_arrow", lambda df, run, schema: run)
+    run = bpe.encode_and_decode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), vocab)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(50)) for _ in range(300)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
+    rows = []
+    _, peak = _held_and_peak(lambda: rows.extend(x.column("ids").value_lengths().to_pylist() for x in run(iter([batch]))))
+    assert peak < 24_000_000
+    assert [n for x in rows for n in x] == [len(x) for x in library.encode_ordinary_batch(texts)]
+
+
 def test_op2_digests(spark, library):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = catalog.queries()["op2_byte_bpe"](spark, SF).collect()

@@ -7,7 +7,8 @@ pre-token's bytes, kept as a linked list, by a heap of candidate pairs (lowest
 rank first, leftmost among equals).  Each distinct
 pre-token (by 64-bit hash) of a slice of texts is resolved once and kept in a
 memo of at most ``MEMO`` entries per task that is emptied when full, so memory is
-bounded and every text is encoded whole.
+bounded and every text is encoded whole.  The memo is a few sorted arrays, some 30 bytes an entry, and a slice
+is short: what an executor's workers hold comes on top of a heap that earlier steps of a job have filled.
 
 The vocabulary file is a parameter; the driver reads it once and sends the hash
 (a size fixed by the vocabulary) to the tasks.  The work is a narrow map over
@@ -31,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, release_memory
 from .scan import Joined, code_point_classes, piece_hashes
 
 MEMO = 200_000
-SLICE_BYTES = 500_000  # bytes of text encoded at a time
+SLICE_BYTES = 500_000  # bytes of text looked at at a time
+ENCODED_BYTES = 100_000  # bytes of text encoded at a time, which take some 100 bytes each
 SLICE_IDS = 100_000  # ids decoded at a time
 KEYS_PER_BUCKET = 4
 
@@ -159,38 +161,44 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.memo: dict[int, int] = {}  # hash of a pre-token: its place in first, count
-        self.first, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.keys = np.zeros(0, dtype=np.uint64)  # hashes of the pre-tokens, ascending
+        self.first, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)  # their ids in pool
         self.pool = np.zeros(0, dtype=np.int32)
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Takes in pre-tokens not met before, with ascending ``keys``."""
         found = [[rank] if rank >= 0 else merge_bytes(piece, self.ranks)
                  for piece, rank in zip(pieces, self.hash.find(pieces), strict=True)]
         counts = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
         firsts = len(self.pool) + np.cumsum(counts, dtype=np.int64) - counts
-        self.memo.update(zip(keys, range(len(self.memo), len(self.memo) + len(keys)), strict=True))
-        self.first, self.count = np.append(self.first, firsts), np.append(self.count, counts)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.first, self.count = np.insert(self.first, at, firsts), np.insert(self.count, at, counts)
         self.pool = np.append(self.pool, np.fromiter(
             (i for x in found for i in x), dtype=np.int32, count=int(counts.sum())))
 
+    def _unmet(self, keys: np.ndarray) -> np.ndarray:
+        """Places in ``keys`` of those that the memo does not hold."""
+        if not len(self.keys):
+            return np.arange(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[at] != keys)
+
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (one more: the end)."""
         joined = Joined(texts, self.classes)
         starts, ends = joined.spaced_pieces()
         keys, where, inverse = np.unique(
             piece_hashes(joined.cp, starts, ends), return_index=True, return_inverse=True)
-        if len(self.memo) + len(keys) > self.limit:
+        if len(self.keys) + len(keys) > self.limit:
             self._empty()
-        at = [self.memo.get(k, -1) for k in keys.tolist()]
-        new = [i for i, x in enumerate(at) if x < 0]
-        if new:
+        new = self._unmet(keys)
+        if len(new):
             offsets = joined.byte_offsets()
             first, last = offsets[starts[where[new]]].tolist(), offsets[ends[where[new]]].tolist()
             raw = joined.utf8
-            self._learn(keys[new].tolist(), [raw[a:b] for a, b in zip(first, last, strict=True)])
-            for place, i in enumerate(new, len(self.memo) - len(new)):
-                at[i] = place
-        entry = np.array(at, dtype=np.int64)[inverse]
+            self._learn(keys[new], [raw[a:b] for a, b in zip(first, last, strict=True)])
+        entry = np.searchsorted(self.keys, keys)[inverse]
         ids = gather(self.pool, self.first[entry], self.count[entry])
         per_piece = np.concatenate([[0], np.cumsum(self.count[entry], dtype=np.int64)])
         cuts = per_piece[np.searchsorted(starts, np.concatenate([[0], joined.sep]))]
@@ -260,9 +268,10 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
         for whole in batches:
-            for batch, texts in slices(whole, text):
+            for batch, texts in slices(whole, text, ENCODED_BYTES):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in kept] + [_id_lists(encoder, texts)], [*kept, ids])
+                release_memory()
 
     return map_arrow(df, run, schema)
 
@@ -295,10 +304,11 @@ def encode_and_decode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(sent.value), Decoder(sent.value.tokens)
         for whole in batches:
-            for batch, texts in slices(whole, text):
+            for batch, texts in slices(whole, text, ENCODED_BYTES):
                 lists = _id_lists(encoder, texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in kept] + [lists, decoder.decode_all(lists)], [*kept, ids, out])
+                release_memory()
 
     return map_arrow(df, run, schema)
 
