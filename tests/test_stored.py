@@ -171,3 +171,18 @@ def test_queries_fit_and_search_on_all_training_rows(spark, many, monkeypatch):
     assert last == {0}  # two candidates, all rows at once
     fitted = spark.read.parquet(q_ml._winners(spark, "many"))
     assert {r["n_rows"] for r in fitted.collect()} == {2400}
+
+
+def test_sketch_of_the_entries_is_the_sketch_of_dense_rows():
+    from wordloom.operators import kernels
+
+    x = np.random.default_rng(5).normal(size=(30, 40)) * (np.random.default_rng(6).random((30, 40)) < 0.2)
+    h, s = kernels._arrays("poly", 40, 512, kernels.SEED)
+    want = np.ones((30, 257), dtype=complex)
+    for k in range(kernels.DEGREE):
+        sketch = np.zeros((30, 512))
+        for j in range(40):
+            sketch[:, h[k, j]] += x[:, j] * s[k, j]
+        want = want * np.fft.rfft(sketch, axis=1)
+    assert np.allclose(kernels.KernelMap("poly", 1.0, 40).base(x), np.fft.irfft(want, n=512, axis=1))
+    assert kernels.KernelMap("poly", 1.0, 40).base(x[:0]).shape == (0, 512)
